@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +57,20 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.where("component <> was").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
+
+
+def prefix_sums(totals: DataFrame, key: str, amount: str) -> DataFrame:
+    """totals (one row per integer key) with `start`, the sum of amount over smaller keys, and `whole`, the sum of all.
+
+    Sums of blocks of 1024 keys are summed first, so that no task holds more than a block or one row per block.
+    """
+    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = totals.withColumn("_block", F.floor(F.col(key) / 1024))
+    sums = blocked.groupBy("_block").agg(F.sum(amount).alias("_in"))
+    before = sums.select("_block", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("whole"))
+    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.join(before, "_block")
+        .withColumn("start", (F.col("_before") + F.coalesce(F.sum(amount).over(inner), F.lit(0))).cast("long"))
+        .drop("_block", "_before")
+    )
