@@ -178,3 +178,14 @@ def identify(docs: DataFrame, **options: float) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang); learned from rows that are not held out."""
     model = learn(docs.where(~held_out()), **options)
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.1, **options: float) -> DataFrame:
+    """docs, all columns, of the rows whose language is known with a score of `least` or more; lang is then what was found.
+
+    The model learns from docs' own text and lang. Text goes through the scorer beside the other columns, so nothing is joined.
+    """
+    model = learn(docs, **options)
+    scored = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text"), model)
+    kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("doc_id").getField(c).alias(c) for c in docs.columns])

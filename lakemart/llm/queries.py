@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemart.llm import language_id, packing, pii, shard_shuffle, simhash_near_dedup, warc
+from lakemart.llm import embedding_near_dedup, language_id, line_dedup, mixing, packing, pii, shard_shuffle, simhash_near_dedup, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,22 @@ def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -27,6 +39,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: Shares of tokens that op8_mixing aims at.
+TARGETS = {"good": 0.7, "plain": 0.25, "toxic": 0.05}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op9_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_shuffle.shuffle_into_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -36,7 +56,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op3_language_id, op6_pii, op7_packing, op9_shard_shuffle, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_dictionary, op2_line_dedup, op3_language_id, op4_topk_search, op5_embedding_near_dedup,
+        op6_pii, op7_packing, op8_mixing, op9_shard_shuffle, op10_simhash_near_dedup,
+    )
+}
 
 ORACLES = {
     "op1_warc_dictionary": """
@@ -48,4 +74,42 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM f""",
+    "op2_line_dedup": r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+word AS (
+  SELECT doc_id, number, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\x0B\x0C]+'), lambda w: w <> '') AS words
+  FROM line),
+occ AS (SELECT doc_id, number, words, row_number() OVER (ORDER BY doc_id, number) AS place FROM word WHERE len(words) >= 5),
+d AS (SELECT words, min(place) AS place FROM occ GROUP BY words),
+v AS (SELECT words, place, k, list_concat(words[:k - 1], words[k + 1:]) AS rest FROM (SELECT words, place, unnest(range(1, len(words) + 1)) AS k FROM d)),
+by_place AS (SELECT rest, k, min(place) AS place FROM v GROUP BY ALL),
+by_rest AS (SELECT rest, min(place) AS place FROM v GROUP BY rest),
+near AS (
+  SELECT v.words FROM v JOIN by_place b ON v.rest = b.rest AND v.k = b.k WHERE b.place < v.place
+  UNION SELECT v.words FROM v JOIN d ON v.rest = d.words WHERE d.place < v.place
+  UNION SELECT d.words FROM d JOIN by_rest b ON b.rest = d.words WHERE b.place < d.place),
+gone AS (
+  SELECT occ.doc_id, count(*) AS n, string_agg(occ.number::VARCHAR, ',' ORDER BY occ.number) AS dropped
+  FROM occ JOIN d ON occ.words = d.words LEFT JOIN near ON occ.words = near.words
+  WHERE near.words IS NOT NULL OR occ.place > d.place GROUP BY occ.doc_id)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN 0 ELSE len(string_split(t.text, chr(10))) END::BIGINT AS n_lines,
+  coalesce(gone.n, 0)::BIGINT AS n_dropped, coalesce(gone.dropped, '') AS dropped
+FROM documents t LEFT JOIN gone ON t.doc_id = gone.doc_id""",
+    "op4_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
 }
