@@ -174,7 +174,7 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
     for _ in range(steps):
         if max(map(abs, residual)) <= tolerance * total:
             break
-        for form, enough in ((metric, 0.9), (whole, 0.999)):
+        for form, enough in ((metric, 0.9), (whole, 0.99)):
             step = solved(form, residual)
             now_metric, now = measured(table.select("n_tokens", "p", _rate(F.col("rate"), F.col("p"), [*fresh, step], most).alias("rate")))
             now_residual, now_square = missed(now)
@@ -215,7 +215,8 @@ def subsample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], s
     model = learn(docs, labelled, domains, **options)
     posterior = model.posterior(F.col("text"))
     members = written(docs.select(posterior.alias("m")).select("m.n_tokens", "m.p"), "posteriors")
-    rate = _rate(F.lit(1.0), posterior["p"], fit_rates(members, shares, None, 1.0), 1.0)
+    gradients = fit_rates(members, shares, None, 1.0)
+    rate = F.transform(F.array(posterior), lambda m: _rate(F.lit(1.0), m["p"], gradients, 1.0))[0]  # the posterior once, not once a step
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")), F.lit(UNIT)) / F.lit(float(UNIT))
     return docs.where(draw < rate)
 
