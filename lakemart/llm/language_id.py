@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 N = 5
@@ -163,10 +164,10 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             names = np.array([*known.languages, UNKNOWN], object)[np.where(fit, best, len(known.languages))]
             yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(fit, score, 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.lower(text).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(of, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(of, shape)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -252,8 +252,9 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all columns, with the text of each document less its dropped lines. A text that is null or loses nothing is unchanged."""
-    gone = dropped_lines(docs, min_words).select("doc_id", F.transform("dropped", lambda x: x["number"]).alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias("id"), F.transform("dropped", lambda x: x["number"]).alias("gone"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    lines = F.split(F.col("row.text"), "\n", -1)
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return rows.join(gone, "id", "left").select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

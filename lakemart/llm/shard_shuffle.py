@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakemart.llm.shared import fresh_path, prefix_sums
 
@@ -59,8 +60,8 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
         slot = [p + -s * whole // shards for p, s in zip(at, shard, strict=True)]  # the shard begins at the ceiling of s * whole / shards
         return pa.table([rows.column("row").take(pa.array(order)), pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], names=["row", "shard", "slot"])
 
-    kind = scattered.schema["row"].dataType.simpleString()
-    placed = scattered.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(shuffled, f"row {kind}, shard int, slot long")
+    shape = T.StructType([scattered.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    placed = scattered.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(shuffled, shape)
     own = F.col("row").getField("text").cast("string")
     out = placed.select(
         *[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, schema.names, strict=True)],
