@@ -156,5 +156,6 @@ def mini_dimension(dim: DataFrame, columns: Sequence[str], key: str) -> DataFram
 
 def outrigger(dim: DataFrame, mini: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Type 5: the base dimension with the key of its current combination."""
-    same = [dim[c].eqNullSafe(mini[c]) for c in columns]
-    return dim.join(mini, same, "left").select(*[dim[c] for c in dim.columns], F.coalesce(mini[key], F.lit(UNKNOWN_KEY)).alias(key))
+    other = mini.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return dim.join(other, same, "left").select(*dim.columns, F.coalesce("_key", F.lit(UNKNOWN_KEY)).alias(key))

@@ -192,7 +192,7 @@ def staged_hours_loaded(c: Context) -> DataFrame:
 
 def missing_load_dates(c: Context) -> DataFrame:
     span = c["batches"].where("status = 'Succeeded'").agg(F.min("load_date").alias("lo"), F.max("load_date").alias("hi")).where("lo is not null")
-    days = span.select(C.date_key(F.explode(F.sequence("lo", "hi"))).alias("date_key"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day")).select(C.date_key(F.col("day")).alias("date_key"))
     return failed(days.join(c["fte"].select("date_key"), "date_key", "left_anti"))
 
 

@@ -31,8 +31,8 @@ def bind(name: str, sql: str | None = None, prelude: bool = True):
 
 
 def using(f: Callable[..., DataFrame], *parts: Callable[[SparkSession, str], DataFrame], **options: object):
-    """A query that applies f to bound tables."""
-    return lambda spark, d: f(*[p(spark, d) for p in parts], **options)
+    """A query that applies f to bound tables; an option that is a function is called when there is a session."""
+    return lambda spark, d: f(*[p(spark, d) for p in parts], **{k: v() if callable(v) else v for k, v in options.items()})
 
 
 # ---------------------------------------------------------------- aggregates and marts
@@ -124,6 +124,7 @@ bind("kp3_rush_hours", "WITH x AS (SELECT segment_code, dayofweek(event_date) +
 # ---------------------------------------------------------------- windows and top-n
 
 order = lambda *c: [F.desc(x[1:]) if x[0] == "-" else F.asc(x) for x in c]
+later = lambda *c: lambda: order(*c)
 VOLUME = "v AS (SELECT district, road_name, segment_code, sum(vehicle_count)::BIGINT AS n FROM fht JOIN seg USING (segment_key, segment_code) GROUP BY ALL)"
 volume = lambda s, d: T.hourly(s, d).join(T.segments(s, d), ["segment_key", "segment_code"]).groupBy("district", "road_name", "segment_code").agg(F.sum("vehicle_count").alias("n"))
 ROADS = "r AS (SELECT road_name, sum(congestion_index * vehicle_count)::DOUBLE / sum(vehicle_count)::DOUBLE AS congestion FROM fht JOIN seg USING (segment_key) GROUP BY ALL)"
@@ -132,10 +133,10 @@ DAILY = "dd AS (SELECT segment_code, event_date, sum(vehicle_count)::BIGINT AS n
 daily = lambda s, d: T.hourly(s, d).groupBy("segment_code", "event_date").agg(F.sum("vehicle_count").alias("n"))
 
 bind("w1_top3_per_district", f"WITH {VOLUME} SELECT *, row_number() OVER w AS rank FROM v WINDOW w AS (PARTITION BY district ORDER BY n DESC, segment_code) QUALIFY row_number() OVER w <= 3")(
-    using(A.top_n_per_group, volume, by=("district",), order=order("-n", "segment_code"), n=3)
+    using(A.top_n_per_group, volume, by=("district",), order=later("-n", "segment_code"), n=3)
 )
 bind("w2_rank_and_dense_rank", f"WITH {ROADS} SELECT *, rank() OVER (ORDER BY congestion DESC) AS rank_with_gaps, dense_rank() OVER (ORDER BY congestion DESC) AS rank_no_gaps FROM r")(using(A.rank_both, roads, measure="congestion"))
-bind("w3_ntile", f"WITH {VOLUME} SELECT *, ntile(4) OVER (ORDER BY n DESC, segment_code) AS bucket FROM v")(using(A.quantile_bucket, volume, order=order("-n", "segment_code"), n=4))
+bind("w3_ntile", f"WITH {VOLUME} SELECT *, ntile(4) OVER (ORDER BY n DESC, segment_code) AS bucket FROM v")(using(A.quantile_bucket, volume, order=later("-n", "segment_code"), n=4))
 bind("w4_running_share", "SELECT segment_code, hour_of_day, vehicle_count, sum(vehicle_count) OVER (PARTITION BY segment_code ORDER BY hour_of_day ROWS UNBOUNDED PRECEDING)::BIGINT AS running, sum(vehicle_count) OVER (PARTITION BY segment_code ORDER BY hour_of_day ROWS UNBOUNDED PRECEDING)::DOUBLE * 100 / sum(vehicle_count) OVER (PARTITION BY segment_code)::DOUBLE AS pct_of_total FROM fht WHERE date_key = (SELECT max(date_key) FROM fht)")(
     lambda s, d: (lambda h: A.running_share(h.join(F.broadcast(h.agg(F.max("date_key").alias("date_key"))), "date_key").select("segment_code", "hour_of_day", "vehicle_count"), ("segment_code",), ("hour_of_day",), "vehicle_count"))(T.hourly(s, d))
 )
@@ -168,7 +169,7 @@ bind("t3_top_percent", "SELECT segment_code, event_date, hour_of_day, congestion
 )
 NESTED = "WITH b AS (SELECT nation, sum(quantity)::BIGINT AS outer_total FROM sales GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 5), m AS (SELECT nation, month, sum(quantity)::BIGINT AS n FROM sales GROUP BY ALL) SELECT nation, month, n, outer_total, row_number() OVER (PARTITION BY nation ORDER BY n DESC, month) AS rank FROM m JOIN b USING (nation) QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, month) <= 3"
 bind("t4_nested_top_n", NESTED)(lambda s, d: A.nested_top_n(T.sales(s, d).groupBy("nation", "month").agg(F.sum("quantity").alias("n")), "nation", "n", 5, order("-n", "month"), 3))
-bind("t5_top_n", f"WITH {VOLUME} SELECT * FROM v ORDER BY n DESC, segment_code LIMIT 10")(using(A.top_n, volume, order=order("-n", "segment_code"), n=10))
+bind("t5_top_n", f"WITH {VOLUME} SELECT * FROM v ORDER BY n DESC, segment_code LIMIT 10")(using(A.top_n, volume, order=later("-n", "segment_code"), n=10))
 SPINE = "sp AS (SELECT k.date_key, g.segment_code, r.h::INT AS hour_of_day, coalesce(f.vehicle_count, 0)::BIGINT AS vehicle_count FROM (SELECT DISTINCT date_key FROM fht) k CROSS JOIN (SELECT DISTINCT segment_code FROM seg) g CROSS JOIN range(24) r(h) LEFT JOIN fht f ON f.date_key = k.date_key AND f.segment_code = g.segment_code AND f.hour_of_day = r.h)"
 
 

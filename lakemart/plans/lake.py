@@ -56,7 +56,7 @@ def transform(spark: SparkSession, lake: str, load_date: str) -> None:
 
 def generate_kpis(spark: SparkSession, lake: str) -> None:
     hourly = spark.read.parquet(f"{lake}/gold/hourly_traffic")
-    metrics = spark.read.parquet(f"{lake}/silver/quality_metrics")
+    metrics = feeds.read_known(spark, f"{lake}/silver/quality_metrics", "reject_reason string, rejected_rows long, ingest_date date")
     sinks.write_partitioned(kpis.kpi_segment_daily(hourly), f"{lake}/gold/kpi_segment_daily", "event_date")
     for name, df in (("kpi_weather_penalty", kpis.kpi_weather_penalty(hourly)), ("kpi_rush_hours", kpis.kpi_rush_hours(hourly)), ("quality_daily", kpis.quality_daily(metrics, hourly))):
         sinks.write_full(df, f"{lake}/gold/{name}")
@@ -67,7 +67,7 @@ def reconcile(spark: SparkSession, lake: str, manifest: DataFrame | None = None)
     read = lambda name: spark.read.parquet(f"{lake}/{name}")
     one = F.explode(F.sequence(F.lit(1), F.col("vehicle_count").cast("int")))
     bronze = read("bronze/sensor_readings").select("event_id").unionByName(read("bronze/camera_events").select("event_id"))
-    silver = read("silver/events").select("event_id").unionByName(read("silver/quarantine").select("event_id"))
+    silver = read("silver/events").select("event_id").unionByName(feeds.read_known(spark, f"{lake}/silver/quarantine", "event_id string").select("event_id"))
     checks = {"bronze_is_silver": (bronze, silver, "="), "gold_within_silver": (read("gold/hourly_traffic").select(one), read("silver/events"), "<=")}
     if manifest is not None:
         said = manifest.select(F.explode(F.sequence(F.lit(1), (F.col("sensor_csv_rows") + F.col("camera_events")).cast("int"))))

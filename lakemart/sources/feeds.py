@@ -18,7 +18,7 @@ WEATHER_SCHEMA = (
     "station_code string, observed_at timestamp, temperature_c double, precipitation_mm double, wind_speed_kmh double, "
     "visibility_m int, condition_code string, _corrupt_record string"
 )
-MANIFEST_SCHEMA = "date date, sensor_csv_rows long, camera_events long"
+MANIFEST_FIELDS = "date:date,sensor_csv_rows:long,camera_events:long"
 
 
 def pattern(folder: str, feed: str, kind: str, load_date: str | None) -> str:
@@ -53,8 +53,26 @@ def read_weather_json(spark: SparkSession, path: str, batch_id: int = 0) -> Data
     return add_audit(rows, "weather", batch_id).withColumnRenamed("observed_at", "observed_ts").withColumn("event_date", F.to_date("observed_ts"))
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+    """The few rows of a manifest, which readers of data would pass over if its name begins with an underscore."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame([(text,)], "text string").select(F.inline(F.from_json("text", f"array<struct<{MANIFEST_FIELDS}>>")))
+
+
+def read_known(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A dataset of known columns that may have no file, or not be there, yet."""
+    fs, at = _file(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
 
 
 def read_zone(spark: SparkSession, path: str, date_column: str, load_date: str | None = None) -> DataFrame:
