@@ -7,6 +7,7 @@ windows: a document that crosses a window's end leaves a boundary record on each
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -22,14 +23,17 @@ from lakemart.llm.shared import prefix_sums, written
 
 LENGTH = 4096
 END = 2
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 #: Texts of these characters alone are split into words here; the tokenizer itself takes any other text.
-OTHER = re.compile(r"[^\x00-\x1b\x20-ɏ‐-‧‰-⁞]|<\|")
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+OTHER = re.compile(r"[^\x00-\x1b\x20-įı-ſ‐-‧‰-⁞]|<\|")
+WORD = re.compile(r"[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+")
+#: Byte-level vocabularies write a byte as the Latin-1 character of its number; those that don't print follow from 256 on.
+_hidden = [*range(33), *range(127, 161), 173]
+SHOWN = {b: chr(256 + k) for k, b in enumerate(_hidden)}
 
 
 class WordTokenizer:
-    """Ids of a lower-casing tokenizer whose words are independent: each word is encoded once and remembered."""
+    """Ids of a lower-casing tokenizer whose words are independent: each is encoded once and remembered, and so is what stands between white space."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,26 +44,34 @@ class WordTokenizer:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.model = Tokenizer.from_file(vocabulary)
+        self.merges = self.model.model
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = self.kind.char
+        self.known: dict[str, bytes] = {}  # between white space
+        self.words: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array.array(self.code, ids).tobytes()  # little-endian, as all machines that Spark runs on
+
+    def word(self, word: str) -> bytes:
+        if word not in self.words:
+            self.words[word] = self.pack([x.id for x in self.merges.tokenize(word.encode().decode("latin-1").translate(SHOWN))])
+        return self.words[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        split = []
+        split: list[list[str] | None] = []
+        met: set[str] = set()
         for x in texts:
-            low = x.replace("Σ", "σ").lower()
-            split.append(None if OTHER.search(low) or OTHER.search(x) else WORD.findall(low))
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            self.known.update(zip(part, (self.pack(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            split.append(None if OTHER.search(x) else x.lower().split())
+            met.update(split[-1] or ())
+        for kept in (self.known, self.words):
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+        for x in met - self.known.keys():
+            self.known[x] = b"".join([self.word(w) for w in WORD.findall(x)])
         find = self.known.__getitem__
-        return [self.pack(self.model.encode(x, add_special_tokens=False).ids) if words is None else b"".join(map(find, words)) for x, words in zip(texts, split, strict=True)]
+        return [self.pack(self.model.encode(x, add_special_tokens=False).ids) if parts is None else b"".join(map(find, parts)) for x, parts in zip(texts, split, strict=True)]
 
 
 _loaded: dict[str, WordTokenizer] = {}
