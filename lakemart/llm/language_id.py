@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ N = 5
 SLOT_BITS = 20
 PROBES = 3
 CHUNK = 1 << 20
+ROWS = 1024
 #: Odd multipliers of the probes' hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: ASCII letters and all bytes of longer characters count as letters; the rest are breaks.
@@ -53,7 +55,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return np.frombuffer(b"".join(held), np.uint8), np.repeat(rows, [len(x) for x in held])
 
     for i, x in enumerate(column):
-        text = edge + (x.as_py() or "").encode("utf-8", "surrogatepass") + edge
+        text = edge + (x.as_py() or "").lower().encode("utf-8", "surrogatepass") + edge
         for k in range(0, max(1, len(text) - N + 1), CHUNK):
             held.append(text[k : k + CHUNK + N - 1])
             rows.append(i)
@@ -105,7 +107,7 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, rate: float = 2e-5) ->
                     gram, n = np.unique(grams, return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    grams = taught.select(F.lower("text").alias("text"), "lang").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = taught.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,35 +143,43 @@ def popcounts(column: pa.Array, masks: np.ndarray, languages: int) -> tuple[np.n
     return total, hits
 
 
-def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs' doc_id with lang_pred and score, from whole texts alone.
-
-    score is the share of the text's n-grams that are the language's, corrected: of N n-grams a language that has none is
-    given N * f by chance, f its false-positive rate. Equal scores go to the first language by name. A text that is null
-    or has no letter is `und` with score 0; so is any, if the model knows no language. Other columns are ignored.
-    """
+def _scored(docs: DataFrame, carried: Column, model: LanguageFilter, inside: bool) -> DataFrame:
+    """(carried, lang_pred, score) per row; inside: the text is a field of what is carried, so it travels once."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         f = known.false_rates[:, None]
-        for b in batches:
-            score, best = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            if known.languages:
-                total, hits = popcounts(b.column("text"), known.masks, len(known.languages))
-                fair = np.clip((hits - total * f) / np.maximum(1e-9, 1 - f) / np.maximum(1, total), 0, 1)
-                best = fair.argmax(axis=0)
-                score = fair.max(axis=0)
-            fit = np.array(b.column("letters").to_pylist(), bool) & bool(known.languages)
-            names = np.array([*known.languages, UNKNOWN], object)[np.where(fit, best, len(known.languages))]
-            yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(fit, score, 0.0))], names=["doc_id", "lang_pred", "score"])
-
-    shape = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        for whole in batches:
+            for k in range(0, len(whole), ROWS):
+                b = whole.slice(k, ROWS)
+                score, best = np.zeros(len(b)), np.zeros(len(b), np.int64)
+                if known.languages:
+                    text = pc.struct_field(b.column("carried"), "text") if inside else b.column("text")
+                    total, hits = popcounts(text, known.masks, len(known.languages))
+                    fair = np.clip((hits - total * f) / np.maximum(1e-9, 1 - f) / np.maximum(1, total), 0, 1)
+                    best = fair.argmax(axis=0)
+                    score = fair.max(axis=0)
+                fit = np.array(b.column("letters").to_pylist(), bool) & bool(known.languages)
+                names = np.array([*known.languages, UNKNOWN], object)[np.where(fit, best, len(known.languages))]
+                yield pa.record_batch([b.column("carried"), pa.array(names, pa.string()), pa.array(np.where(fit, score, 0.0))], names=["carried", "lang_pred", "score"])
+
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.lower(text).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(carried.alias("carried"), *([] if inside else [text.alias("text")]), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    shape = T.StructType([rows.schema["carried"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(of, shape)
 
 
+def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """docs' doc_id with lang_pred and score, from whole texts alone.
+
+    score is the share of the text's n-grams that are the language's, corrected: of N n-grams a language that has none is
+    given N * f by chance, f its false-positive rate. Equal scores go to the first language by name. A text that is null
+    or has no letter is `und` with score 0; so is any, if the model knows no language. Other columns are ignored.
+    """
+    return _scored(docs, F.col("doc_id"), model, False).withColumnRenamed("carried", "doc_id")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model learns from: crc32 of the id's text leaves 1 by 3. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -186,7 +196,7 @@ def keep_known(docs: DataFrame, least: float = 0.1, **options: float) -> DataFra
 
     The model learns from docs' own text and lang. Text goes through the scorer beside the other columns, so nothing is joined.
     """
-    model = learn(docs, **options)
-    scored = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text"), model)
+    text = {"text": F.col("text").cast("string").alias("text")}  # a struct of all columns, which has the text in it
+    scored = _scored(docs, F.struct(*[text.get(c, F.col(f"`{c}`")) for c in docs.columns]), learn(docs, **options), True)
     kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("carried").getField(c).alias(c) for c in docs.columns])
