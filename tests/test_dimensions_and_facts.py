@@ -17,7 +17,7 @@ def source(spark, *rows):
 @pytest.fixture(scope="module")
 def day1(spark):
     more = {"original_limit": F.col("speed_limit_kmh"), "current_limit": F.col("speed_limit_kmh")}
-    return dimensions.first_versions(source(spark, ("SEG-001", "A", 50), ("SEG-002", "B", 60)), "segment_code", "segment_key", T2, "2026-06-01", more).localCheckpoint()
+    return dimensions.first_versions(source(spark, ("SEG-001", "A", 50), ("SEG-002", "B", 60)), "segment_code", "segment_key", T2, "2026-06-01", more).persist()
 
 
 def merge(dim, src, day):
