@@ -209,7 +209,9 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "first-lines",
     )
     keys = firsts.select("line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # What is joined by a key that may be crowded is written first: then either side of the join is a shuffle of its own,
+    # which adaptive plans can split.
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-halves")
     near = keys.join(shared, "key").select("line").distinct()
     wanted = firsts.join(near, "line").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.number").alias("number"), "line")).alias("wanted"))
     varied = written(
@@ -218,17 +220,14 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         compression="zstd",
     )
     place = F.struct("doc_id", "number", "line")
-    groups = (
-        varied.groupBy("key")
-        .agg(*[F.min(F.when(F.col("role") == k, place)).alias(f"e{k}") for k in range(3)], F.count("*").alias("n"))
-        .where("n > 1")
-    )
+    earliest = [F.min(F.when(F.col("role") == k, place)).alias(f"e{k}") for k in range(3)]
+    groups = written(varied.groupBy("key").agg(*earliest, F.count("*").alias("n")).where("n > 1"), "variant-groups")
     met = varied.join(groups, "key").select("line", place.alias("own"), F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1")).alias("other"))
     pairs = met.where("other < own and other.line <> line").groupBy("line").agg(F.min("other").alias("other")).select("line", F.col("other.line").alias("of"))
     words = varied.where("role = 2").groupBy("line").agg(F.first("words").alias("words"))
     both = pairs.join(words, "line").join(words.select(F.col("line").alias("of"), F.col("words").alias("other")), "of")
     far = both.select("line", "words", "other").mapInArrow(_verified, "line long").withColumn("goes", F.lit(True))
-    told = firsts.join(far, "line", "left").where("goes or times > 1").select("line", "first", F.coalesce("goes", F.lit(False)).alias("goes"))
+    told = written(firsts.join(far, "line", "left").where("goes or times > 1").select("line", "first", F.coalesce("goes", F.lit(False)).alias("goes")), "told-lines")
     gone = seen.select("doc_id", "number", "line").join(told, "line").where(F.col("goes") | (F.struct("doc_id", "number") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("number", "line"))).alias("dropped"))
 
