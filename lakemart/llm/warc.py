@@ -117,15 +117,14 @@ def _writer(directory: str, sample_bytes: int, dictionary_bytes: int, archive_by
 def write_archives(pages: DataFrame, directory: str, sample_bytes: int = 1 << 20, dictionary_bytes: int = 1 << 16, archive_bytes: int = 1 << 28, level: int = 3) -> DataFrame:
     """Write pages (page_id, url, html) as archives under directory; the manifest (path, records, bytes, dictionary_bytes).
 
-    Each archive's dictionary is built from its own first `sample_bytes` of records, which come in hashed order; no record
-    passes through the driver. A null html is an empty payload. Of rows with equal payloads those of the smallest page_id
+    Each archive's dictionary is built from its own first `sample_bytes` of records; no record passes through the driver. A null html is an empty payload. Of rows with equal payloads those of the smallest page_id
     are responses (all of them, if rows repeat it) and others revisit it; null ids come last. A failed task's files are in
     no manifest. Other columns are ignored; an empty table writes no archive.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    firsts = written(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "repeated")  # so that a crowded payload's join can be split
     told = rows.join(firsts, "sha", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     fs, root = pafs.FileSystem.from_uri(directory)
     fs.create_dir(root, recursive=True)
