@@ -97,14 +97,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, bucket: int = 256) -> Dat
     bits its key leaves out, until it is small enough: once 8 bits are left, it can't hold over 256. So no group is cut
     short, and none is compared whole if it is large.
     """
-    spark = fps.sparkSession
     masks = {0: covering_masks(list(range(BITS)), radius)}
     members = fps.select("fp", F.lit(0).cast("long").alias("mask"))
     found = []
     while masks:
-        finer = spark.createDataFrame([(_signed(a), _signed(a | m)) for a, ms in masks.items() for m in ms], "mask long, finer long")
-        keys = members.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask"))  # masks: fixed by radius and depth
-        keys = keys.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        finer = F.create_map(*[x for a, ms in masks.items() for x in (F.lit(_signed(a)), F.array(*[F.lit(_signed(a | m)) for m in ms]))])
+        keys = members.select("fp", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         if found:
             keys = keys.distinct()
         counts = written(keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
