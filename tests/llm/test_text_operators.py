@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lakemart.llm import language_id, line_dedup, mixing, packing, pii, shard_shuffle, simhash_near_dedup
+from lakemart.llm import jaccard_near_dedup, language_id, line_dedup, mixing, packing, pii, shard_shuffle, simhash_near_dedup
 from tests.llm import cases
 
 DATA = "/root/testdata/sf0.001"
@@ -81,6 +81,47 @@ def test_simhash_query_matches_brute_force(spark):
     assert simhash_near_dedup.near_duplicates(cases.empty(spark)).count() == 0
 
 
+# ---------------------------------------------------------------- near-dedup of the pipeline
+
+
+def plain_groups(texts):
+    """Smallest place reachable over pairs of Jaccard similarity 0.8 or more of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    near = np.array([[x == y or 5 * len(x & y) >= 4 * len(x | y) > 0 for y in sets] for x in sets])
+    return closure(np.arange(len(texts)), near)
+
+
+def test_pipeline_near_dedup_links_all_pairs_at_the_bound(spark):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(21)
+    word = lambda: "w%d" % rnd.randrange(4000)
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rnd.randint(3, 90))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randint(0, 8)):  # chains of copies with some words replaced
+            base = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                base[rnd.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+    stem = " ".join(word() for _ in range(60))
+    texts += [f"{stem} {' '.join(word() for _ in range(rnd.choice((3, 40))))}" for _ in range(600)]  # crowded keys, with near-copies and without
+    texts += [None, "", " ", "A b", "a B", "a b c d e", "a b c d e f"]
+    texts += [" ".join("abcdefgh"), " ".join("abcdefghi"), " ".join("zyxwvutsr"), " ".join("zyxwvutsrq")]  # 4 of 5 shingles, 5 of 6
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], cases.DOCUMENTS)
+    want = plain_groups(texts)
+    got = {r.doc_id: r.component_id for r in jaccard_near_dedup.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(want)
+    assert len(set(want)) < len(texts) - 100 and want[-3] == len(texts) - 4 and want[-1] == len(texts) - 2
+    kept = cp.near_dedup(spark, docs.unionByName(spark.createDataFrame([(None, "x", "en", "s", 1), (0, texts[0], "en", "s", 1)], cases.DOCUMENTS)), DATA)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, *sorted(set(want))]
+    assert jaccard_near_dedup.near_duplicates(cases.empty(spark)).count() == 0
+
+
 # ---------------------------------------------------------------- line dedup
 
 
