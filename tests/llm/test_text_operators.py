@@ -258,6 +258,19 @@ def test_boosted_trees_add_other_formats(spark):
     assert pii.redacted("x a@b.cd y", pii.base_spans("x a@b.cd y")) == "x [EMAIL] y"
 
 
+def test_other_formats_are_found_in_texts_without_digits(spark):
+    leaf = (np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([5.0]))
+    model = pii.Scorer([leaf], [1.0], {"email": 0.5, "ip": 0.5})
+    texts = [
+        "write to john [at] example.com now", "JOHN (AT) EXAMPLE DOT COM", "x (at) y {dot} com", "write to john at example dot\ncom", "john at example Dot com",
+        "fe:ab:cd:ef:aa:bb:cc:dd", "we met at noon", "nothing here", "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs, model).collect()}
+    assert [got[k] for k in range(len(texts))] == [pii.told(model.select(t)) for t in texts]
+    assert [got[k].split(":")[0] for k in range(len(texts))] == ["email"] * 5 + ["ip"] + [""] * 3
+
+
 # ---------------------------------------------------------------- packing
 
 
