@@ -142,12 +142,15 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _indexed(least: int):
+def _indexed(least: int, exact: int):
+    """Rows -> their lines of `exact` words or more, with half keys if they have `least` words or more."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for held in segments_of(b.column("text")):
-                x = Lines(held, least)
-                cols = [b.column("doc_id").take(pa.array(x.row)), pa.array(x.number.astype(np.int32)), *map(_longs, (x.ids, *x.half_keys()))]
+                x = Lines(held, exact)
+                halves = [pa.array(k.view(np.int64), mask=x.n < least) for k in x.half_keys()]
+                cols = [b.column("doc_id").take(pa.array(x.row)), pa.array(x.number.astype(np.int32)), _longs(x.ids), *halves]
                 yield pa.record_batch(cols, names=["doc_id", "number", "line", "k0", "k1", "k2", "k3"])
 
     return of
@@ -193,22 +196,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["line"]).filter(pa.array([one_edit(x.as_py(), y.as_py()) for x, y in zip(b.column("words"), b.column("other"), strict=True)], pa.bool_()))
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """(doc_id, dropped): per document that loses lines, an array of (number, line): place from 0 and hash of each.
 
     The order is that of doc_id, then place. A line goes if an earlier line of any document equals it or is one edit away,
     whether that one stays or not. Words are split at ASCII white space, and A-Z count as a-z. Lines of fewer than
-    `min_words` words always stay and make no other line go. Rows without a text or a doc_id take no part. Rows equal in
+    `min_words` words always stay and make no other line go; but with `exact_words`, lines of that many words or more go if
+    they equal an earlier line. Rows without a text or a doc_id take no part. Rows equal in
     doc_id and text are one document and are treated alike; of rows equal in doc_id alone, each line has its own place.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    seen = written(rows.mapInArrow(_indexed(min_words), f"doc_id {kind}, number int, line long, k0 long, k1 long, k2 long, k3 long"), "lines")
+    seen = written(rows.mapInArrow(_indexed(min_words, min_words if exact_words is None else min(exact_words, min_words)), f"doc_id {kind}, number int, line long, k0 long, k1 long, k2 long, k3 long"), "lines")
     firsts = written(
         seen.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")]),
         "first-lines",
     )
-    keys = firsts.select("line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    keys = firsts.select("line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key is not null")
     # What is joined by a key that may be crowded is written first: then either side of the join is a shuffle of its own,
     # which adaptive plans can split.
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-halves")
@@ -249,9 +253,9 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """docs, all columns, with the text of each document less its dropped lines. A text that is null or loses nothing is unchanged."""
-    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias("id"), F.transform("dropped", lambda x: x["number"]).alias("gone"))
+    gone = dropped_lines(docs, min_words, exact_words).select(F.col("doc_id").alias("id"), F.transform("dropped", lambda x: x["number"]).alias("gone"))
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     lines = F.split(F.col("row.text"), "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")

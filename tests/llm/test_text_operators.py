@@ -168,6 +168,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.report(cases.empty(spark)).count() == 0
 
 
+def test_pipeline_drops_exact_lines_of_every_length(spark):
+    import corpus_pipeline as cp
+
+    first = "Title\n\none two three four five six\nthe end.\n"
+    rows = [(1, first), (2, first), (3, "TITLE\nmore text of its own here\n\nThe  end."), (4, "the end"), (5, "one two three four\none two three"), (6, "title"), (None, "Title")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], cases.DOCUMENTS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.dedup_lines(spark, docs, DATA).collect()}
+    want = {1: first, 3: "more text of its own here\n", 4: "the end", 5: "one two three four\none two three", None: "Title"}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 def test_segments_cut_long_texts_at_lines():
     import pyarrow as pa
 
