@@ -205,17 +205,38 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     return members.select("doc_id", "n_tokens", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(domains)], _rate(F.lit(1.0), F.col("p"), gradients, most).alias("rate"))
 
 
-def subsample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11, **options: int) -> DataFrame:
+def ceilings(have: list[float], shares: list[float], whole: list[int]) -> list[float]:
+    """The domains' tokens if those of `whole` stay whole and each other has at most its share of all that is kept."""
+    thin: set[int] = set()
+    while True:
+        total = sum(h for d, h in enumerate(have) if d not in thin) / (1 - sum(shares[d] for d in thin))
+        more = {d for d, h in enumerate(have) if d not in whole and d not in thin and h > shares[d] * total}
+        if not more:
+            return [shares[d] * total if d in thin else h for d, h in enumerate(have)]
+        thin |= more
+
+
+def subsample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], seed: int = 11, whole: tuple[str, ...] = (), **options: int) -> DataFrame:
     """docs, all columns, less the rows that a mix of rates up to 1 leaves out: each row stays if its seeded draw is under its rate.
 
-    The total is the most that no domain's tokens fall short of. Rows of one doc_id and text share a draw.
+    The total is the most that no domain's tokens fall short of. With `whole`, which needs a share, the domains named there
+    stay whole instead, and the other targets are ceilings: a domain that has less than its share takes nothing from others.
+    Where the labels can't tell domains apart, all rows stay then. Rows of one doc_id and text share a draw.
     """
     domains = sorted(targets)
     shares = [targets[d] / sum(targets.values()) for d in domains]
     model = learn(docs, labelled, domains, **options)
+    if whole and not model.weights:
+        return docs
     posterior = model.posterior(F.col("text"))
     members = written(docs.select(posterior.alias("m")).select("m.n_tokens", "m.p"), "posteriors")
-    gradients = fit_rates(members, shares, None, 1.0)
+    total = None
+    if whole:
+        have = [x or 0.0 for x in members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[j]) for j in range(len(domains))]).first()]
+        goal = ceilings(have, shares, [domains.index(d) for d in whole])
+        total = sum(goal)
+        shares = [g / (total or 1.0) for g in goal]
+    gradients = fit_rates(members, shares, total, 1.0)
     rate = F.transform(F.array(posterior), lambda m: _rate(F.lit(1.0), m["p"], gradients, 1.0))[0]  # the posterior once, not once a step
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")), F.lit(UNIT)) / F.lit(float(UNIT))
     return docs.where(draw < rate)

@@ -362,6 +362,31 @@ def test_mixing_meets_its_targets(spark):
     assert left.count("toxic") < 60 < left.count("good")
 
 
+@pytest.mark.parametrize("kinds", [{"good": 700, "plain": 160, "toxic": 6}, {"good": 700, "plain": 160}, {"good": 700, "toxic": 300}, {"good": 700}, {"good": 600, "plain": 150, "toxic": 250}])
+def test_scarce_domains_remove_no_good_documents(spark, kinds):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(31)
+    own = {"good": ("alpha", "beta", "delta"), "plain": ("meh", "so", "well"), "toxic": ("bad", "awful", "vile")}
+    truth = [d for d, n in kinds.items() for _ in range(n)]
+    docs = spark.createDataFrame([(k, " ".join(rnd.choice((*own[d], "gamma")) for _ in range(40)), "en", "s", 1) for k, d in enumerate(truth)], cases.DOCUMENTS)
+    labels = spark.createDataFrame([(k, int(d == "good"), int(d == "toxic")) for k, d in enumerate(truth)], "doc_id long, quality int, toxic int")
+    kept = mixing.subsample(docs, mixing.quality_domains(labels), cp.TARGETS, whole=cp.WHOLE).toPandas()
+    left = {d: sum(truth[i] == d for i in kept.doc_id) for d in kinds}
+    assert left["good"] >= 0.99 * kinds["good"]
+    assert left.get("plain", 0) >= 0.99 * kinds.get("plain", 0)
+    if kinds.get("toxic", 0) > 100:
+        assert left["toxic"] <= 0.08 * len(kept)
+
+
+def test_ceilings():
+    assert mixing.ceilings([80.0, 30.0, 20.0], [0.8, 0.15, 0.05], [0, 1]) == pytest.approx([80.0, 30.0, 110 / 19])
+    assert mixing.ceilings([80.0, 5.0, 20.0], [0.8, 0.15, 0.05], [0, 1]) == pytest.approx([80.0, 5.0, 85 / 0.95 * 0.05])
+    assert mixing.ceilings([80.0, 5.0, 1.0], [0.8, 0.15, 0.05], [0, 1]) == [80.0, 5.0, 1.0]
+    assert mixing.ceilings([0.0, 50.0, 50.0], [0.8, 0.15, 0.05], [0, 1]) == pytest.approx([0.0, 50.0, 50 / 19])
+    assert mixing.ceilings([80.0, 30.0, 20.0], [0.8, 0.15, 0.05], [0]) == pytest.approx([80.0, 15.0, 5.0])
+
+
 def test_mixing_edge_cases(spark):
     docs, none = cases.documents(spark), cases.empty(spark, "doc_id long, domain string")
     targets = {"good": 0.5, "plain": 0.5}
