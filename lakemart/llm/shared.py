@@ -1,33 +1,73 @@
-"""What the operators share: tables in the cluster's shared folder, and connected components."""
+"""What the operators share: tables in the cluster's shared folder, runs of sorted rows, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakemart.sources.scratch import cleared, delete, discard, fresh_path, settled, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-lakemart-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["cleared", "components", "delete", "discard", "fitting", "fresh_path", "hooked", "matrix", "numbered", "one_of_each", "prefix_sums", "runs", "settled", "shared_dir", "written"]
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 60) -> Iterator[pa.Table]:
+    """The consecutive rows of equal keys, one run at a time, of batches that are sorted by these keys; a longer run comes in parts of `most` rows."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        differs = np.zeros(len(b) - 1, bool)
+        for c in columns:
+            differs |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(differs) + 1).tolist(), len(b)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            own = tuple(c[lo] for c in columns)
+            while lo < hi:
+                if held and (own != last or size == most):
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                n = min(hi - lo, most - size)
+                held.append(b.slice(lo, n))
+                lo, size, last = lo + n, size + n, own
+    if held:
+        yield pa.Table.from_batches(held)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def numbered(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of blocks of up to `rows` consecutive rows of equal keys; numbers ascend, and are unique over all partitions."""
+    part = TaskContext.get().partitionId()
+    for count, run in enumerate(runs(batches, keys, rows)):
+        yield (part << 32) + count, run
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind: str = "<f8") -> np.ndarray:
+    """Vectors stored as bytes, as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+
+
+def fitting(rows: int, dim: int, most: int = 1 << 24) -> int:
+    """So many vectors of a dimension as `most` bytes hold, `rows` at most."""
+    return max(16, min(rows, most // (8 * dim)))
+
+
+def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Make a[k] and b[k] one tree of the forest `root`, in place: every root is the smallest member of its tree."""
+    while True:
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,12 +91,25 @@ def components(edges: DataFrame) -> DataFrame:
         offers = (
             seen.select(F.explode(F.array("src", "at_src")).alias("node"), "at_dst").groupBy("node").agg(F.min("at_dst").alias("offer"))
         )
-        hooked = labels.join(offers, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "offer").alias("low"))
-        up = hooked.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        labels = written(hooked.join(up, "low").select("node", "was", F.least("low", "lower").alias("component")), "labels")
+        lowered = labels.select("node", "component").join(offers, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "offer").alias("low"))
+        up = lowered.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        last, labels = labels, written(lowered.join(up, "low").select("node", "was", F.least("low", "lower").alias("component")), "labels")
+        discard(last)
         if labels.where("component <> was").isEmpty():
+            discard(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")
+
+
+def one_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs, all columns, whose doc_id is among ids (doc_id), one row each. Rows without a doc_id stay as they are.
+
+    Of rows that repeat a doc_id the one of the smallest text stays (null first), of those the one whose other columns are smallest.
+    """
+    others = [f.name for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("id").orderBy(*[F.col("row").getField(c) for c in ("text", *others)])
+    first = rows.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def prefix_sums(totals: DataFrame, key: str, amount: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Exact top-k by inner product: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 Candidates are sorted by length and cut into blocks; queries are cut into blocks as well. A first look at the longest
-candidates gives each query a score that its k-th best can't be under. A pair of blocks is left out if its lengths'
-product is under that. In the others, the inner product over the first few rotated coordinates plus the product of the
-remaining lengths bounds each score; what passes is scored in whole numbers.
+candidates gives each query a score that its k-th best can't be under. A block of candidates is left out for a block of
+queries whose floors its greatest length can't reach. A task holds one block of queries and passes some blocks of
+candidates by it, longest first: the inner product over the first few rotated coordinates plus the product of the
+remaining lengths bounds each score, what passes is scored in whole numbers, and the floors rise as it goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,44 +17,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import written
+from lakemart.llm.shared import fitting, matrix, numbered, runs, settled, written
 
 SCALE = 1024
-LARGEST = 1 << 26
-EXACT = 1 << 53
+#: Products of lengths under which inner products are exact in doubles and in 64-bit integers.
+EXACT, LONG = 1 << 53, 1 << 62
+MOST = (1 << 63) - 1
+VECTORS = "row long, vec_id long, dim int, length double, x binary"
 Rotation = dict[int, np.ndarray]
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) -> (vec_id, dim, squared, x): x as 32-bit integers; rows that take no part are left out."""
+    """(vec_id, embedding) -> (row, vec_id, dim, length, x): x as whole numbers in doubles; rows that take no part are left out."""
+    part, count = TaskContext.get().partitionId(), 0
     for b in batches:
         rows = []
         for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
             x = v.values.to_numpy(zero_copy_only=False).astype(float) if v.is_valid and v.values.null_count == 0 else np.empty(0)
-            whole = np.floor(SCALE * x)
-            if i is not None and len(x) and np.isfinite(x).all() and (np.abs(whole) <= LARGEST).all():
-                whole = whole.astype(np.int64)
-                rows.append((i, len(whole), float(whole @ whole), whole.astype("<i4").tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary()), strict=True)], names=["vec_id", "dim", "squared", "x"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.floor(SCALE * x)
+            if i is not None and len(x) and np.isfinite(x).all():
+                most = max(1.0, float(np.abs(x).max()))
+                rows.append(((part << 33) + count, i, len(x), most * float(np.sqrt(((x / most) ** 2).sum())), x.astype("<f8").tobytes()))
+                count += 1
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary()), strict=True)], names=["row", "vec_id", "dim", "length", "x"])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per coordinate and dimension: this partition's sums of products."""
+    """One row per coordinate and dimension: this partition's sums of products of the vectors' directions."""
     sums: Rotation = {}
     for b in batches:
         dims = b.column("dim").to_numpy()
         for d in np.unique(dims):
-            x = np.frombuffer(b"".join(b.column("x").filter(pa.array(dims == d)).to_pylist()), "<i4").reshape(-1, d).astype(float)
-            sums[int(d)] = sums.get(int(d), 0) + x.T @ x
+            own = b.filter(pa.array(dims == d))
+            unit = matrix(own.column("x"), d) / np.maximum(own.column("length").to_numpy(), 1.0)[:, None]
+            sums[int(d)] = sums.get(int(d), 0) + unit.T @ unit
     rows = [(d, i, j, s[i, j]) for d, s in sums.items() for i in range(d) for j in range(d)]
     cols = list(zip(*rows, strict=True)) or [()] * 4
     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["dim", "i", "j", "s"])
 
 
 def rotations(vectors: DataFrame) -> Rotation:
-    """Per dimension, the right singular vectors of all vectors, largest first: from dim x dim sums that Spark adds up."""
-    sums = vectors.select("dim", "x").mapInArrow(_moments, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toArrow()
+    """Per dimension, the right singular vectors of all vectors' directions, largest first: from dim x dim sums that Spark adds up."""
+    sums = vectors.select("dim", "length", "x").mapInArrow(_moments, "dim int, i int, j int, s double").groupBy("dim", "i", "j").agg(F.sum("s").alias("s")).toArrow()
     dim, i, j, s = (sums.column(c).to_numpy() for c in ("dim", "i", "j", "s"))
     out = {}
     for d in np.unique(dim):
@@ -63,120 +70,157 @@ def rotations(vectors: DataFrame) -> Rotation:
     return out
 
 
-def _blocks(rows: int):
-    """Rows sorted by dim and descending length -> blocks of them."""
+def _blocks(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
+    """Rows sorted by dim and descending length -> the same with their block; blocks of a dimension are numbered by descending length."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count, held = TaskContext.get().partitionId(), 0, []
-
-        def out() -> pa.RecordBatch:
-            nonlocal count
-            count += 1
-            return pa.RecordBatch.from_pylist(
-                [{"block": (part << 32) + count, "dim": held[0][1], "longest": max(r[2] for r in held) ** 0.5, "ids": np.array([r[0] for r in held], "<i8").tobytes(), "x": b"".join(r[3] for r in held)}],
-                pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("x", pa.binary())]),
-            )
-
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("vec_id", "dim", "squared", "x")), strict=True):
-                if held and (len(held) == rows or held[0][1] != row[1]):
-                    yield out()
-                    held = []
-                held.append(row)
-        if held:
-            yield out()
+        for block, run in numbered(batches, ["dim"], rows):
+            yield from run.append_column("block", pa.array(np.full(len(run), block))).combine_chunks().to_batches()
 
     return of
 
 
-def best(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int, rotation: np.ndarray, step: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of each query's k best among x (longest first) that are not under its floor."""
-    floor = floor.copy()
-    lengths, own = np.sqrt((x.astype(float) ** 2).sum(axis=1)), np.sqrt((query.astype(float) ** 2).sum(axis=1))
-    turn = rotation[:, : max(1, len(rotation) // 4)]
-    some, whole = x @ turn, query @ turn
-    left = np.sqrt(np.maximum(0, lengths**2 - (some**2).sum(axis=1)))
-    own_left = np.sqrt(np.maximum(0, own**2 - (whole**2).sum(axis=1)))
-    exact = bool(lengths.max(initial=0) * own.max(initial=0) < EXACT)
-    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in query]
-    for at in range(0, len(x), step):
-        part = slice(at, at + step)
-        slack = 1e-6 * (1 + own[:, None] * lengths[None, part])
-        live = np.flatnonzero(own * lengths[at] * (1 + 1e-9) + 1 >= floor)
-        if not len(live):
-            break
-        bound = whole[live] @ some[part].T + own_left[live, None] * left[None, part] + slack[live]
-        pass_q, pass_x = np.nonzero((bound >= floor[live, None]) & (query_ids[live, None] != ids[None, part]))
-        pass_q, pass_x = live[pass_q], pass_x + at
-        if exact and len(pass_q) * 8 > len(live) * step:
-            score = np.rint(query.astype(float) @ x[part].astype(float).T).astype(np.int64)[pass_q, pass_x - at]
+def integer_products(query: np.ndarray, x: np.ndarray, bound: float) -> np.ndarray:
+    """Row by row, the exact inner product of whole numbers, at the ends of a long's range where it is beyond them. bound is one of its size."""
+    if bound < EXACT:
+        return np.rint(np.einsum("ij,ij->i", query, x)).astype(np.int64)
+    if bound < LONG:
+        return np.einsum("ij,ij->i", query.astype(np.int64), x.astype(np.int64))
+    sums = (sum(int(a) * int(b) for a, b in zip(p, q, strict=True)) for p, q in zip(query.tolist(), x.tolist(), strict=True))
+    return np.array([max(-MOST - 1, min(MOST, s)) for s in sums], np.int64)
+
+
+class Block:
+    """Vectors with what their bounds need: rotated first coordinates, and the length of the rest."""
+
+    def __init__(self, table: pa.Table, rotation: np.ndarray):
+        self.row, self.ids = table.column("row").to_numpy(), table.column("vec_id").to_numpy()
+        self.length = table.column("length").to_numpy()
+        self.x = matrix(table.column("x"), len(rotation))
+        unit = self.x / np.maximum(self.length, 1.0)[:, None]
+        some = unit @ rotation[:, : max(1, len(rotation) // 4)]
+        whole = np.where(self.length > 0, 1.0, 0.0)
+        self.rest = np.sqrt(np.maximum(0, whole - (some**2).sum(axis=1))) * self.length
+        self.some = some * self.length[:, None]
+
+
+class Best:
+    """The k best of each query so far: higher scores first, of equal ones the smaller vec_id."""
+
+    def __init__(self, queries: Block, floor: np.ndarray, k: int):
+        self.queries, self.floor, self.k = queries, floor.copy(), k
+        self.query, self.ids, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= self.floor[query]
+        query, ids, score = (np.concatenate(c) for c in ((self.query, query[keep]), (self.ids, ids[keep]), (self.score, score[keep])))
+        order = np.lexsort((ids, ~score, query))  # ~ turns the order around, for the least long as well
+        query, ids, score = query[order], ids[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        first = place < self.k
+        self.query, self.ids, self.score = query[first], ids[first], score[first]
+        last = np.flatnonzero(place == self.k - 1)
+        rises = last[score[last] > -MOST - 1]
+        np.maximum.at(self.floor, query[rises], score[rises].astype(float))
+
+    def look(self, other: Block, step: int = 512) -> None:
+        """Pass candidates, longest first, until no query's floor can be reached."""
+        q = self.queries
+        for at in range(0, len(other.row), step):
+            part = slice(at, at + step)
+            with np.errstate(over="ignore", invalid="ignore"):
+                reach = q.length * other.length[at] * (1 + 1e-9) + 1
+                live = np.flatnonzero(~(reach < self.floor))
+                if not len(live):
+                    break
+                product = np.outer(q.length[live], other.length[part])
+                bound = q.some[live] @ other.some[part].T + np.outer(q.rest[live], other.rest[part]) + 1e-6 * (1 + product)
+                passes = ~(bound < self.floor[live, None]) & (q.row[live, None] != other.row[None, part])
+            a, b = np.nonzero(passes)
+            if not len(a):
+                continue
+            most = float(np.nan_to_num(product.max(), nan=np.inf))
+            if most < EXACT and len(a) * 8 > passes.size:
+                score = np.rint(q.x[live] @ other.x[part].T).astype(np.int64)[a, b]
+            else:
+                score = np.concatenate([integer_products(q.x[live[a[s : s + 65536]]], other.x[at + b[s : s + 65536]], most) for s in range(0, len(a), 65536)])
+            self.add(live[a], other.ids[at + b], score)
+
+
+def _score(turns: Rotation, k: int, floors: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by task, with its queries (kind 0) before its blocks of candidates -> best scores, or each query's k-th best (floors)."""
+
+    def done(best: Best | None) -> Iterator[pa.RecordBatch]:
+        if best is None:
+            return
+        if floors:
+            yield pa.record_batch([pa.array(best.queries.row), pa.array(best.floor)], names=["row", "floor"])
         else:
-            score = np.concatenate([np.einsum("ij,ij->i", query[pass_q[s : s + 65536]], x[pass_x[s : s + 65536]]) for s in range(0, len(pass_q), 65536)] or [np.empty(0, np.int64)])
-        keep = score >= floor[pass_q]
-        for q in np.unique(pass_q[keep]):
-            mine = keep & (pass_q == q)
-            kept[q].append((ids[pass_x[mine]], score[mine]))
-            i, s = (np.concatenate(c) for c in zip(*kept[q], strict=True))
-            order = np.lexsort((i, -s))[:k]
-            kept[q] = [(i[order], s[order])]
-            if len(order) == k:
-                floor[q] = max(floor[q], s[order[-1]])
-    for q, found in enumerate(kept):
-        if found:
-            yield q, *found[0]
-
-
-def _score(turns: Rotation, k: int, floors: bool):
-    """Pairs of a query block and a candidate block -> scores, or each query's k-th best score there (floors)."""
+            q = best.queries
+            yield pa.record_batch([pa.array(q.row[best.query]), pa.array(q.ids[best.query]), pa.array(best.ids), pa.array(best.score)], names=["row", "query_id", "vec_id", "score"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                get = lambda c, r=r: b.column(c)[r].as_py()
-                d, at = get("dim"), get("query_block")
-                query, x = (np.frombuffer(get(c), "<i4").reshape(-1, d).astype(np.int64) for c in ("query_x", "x"))
-                query_ids, ids = (np.frombuffer(get(c), "<i8") for c in ("query_ids", "ids"))
-                floor = np.full(len(query), -np.inf) if floors else np.frombuffer(get("floor"), "<f8")
-                found = list(best(query, query_ids, x, ids, floor, k, turns[d]))
-                if floors:
-                    for q, _, s in found:
-                        if len(s) == k:
-                            floor[q] = s[-1]
-                    yield pa.record_batch([pa.array([at]), pa.array([floor.astype("<f8").tobytes()], pa.binary()), pa.array([floor.min(initial=np.inf)])], names=["query_block", "floor", "least"])
-                elif found:
-                    n = [len(s) for _, _, s in found]
-                    rows = np.repeat([q for q, _, _ in found], n)
-                    yield pa.record_batch([pa.array([at] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(query_ids[rows]), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_block", "row", "query_id", "vec_id", "score"])
+        best: Best | None = None
+        for run in runs(batches, ["query_block", "slice", "kind", "turn"]):
+            rotation = turns[run.column("dim")[0].as_py()]
+            if run.column("kind")[0].as_py() == 0:
+                yield from done(best)
+                best = Best(Block(run, rotation), run.column("floor").to_numpy(), k)
+            else:
+                best.look(Block(run, rotation))
+        yield from done(best)
 
     return of
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, block: int = 2048, query_block: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k best other vectors.
+def _passed(queries: DataFrame, candidates: DataFrame, pairs: DataFrame, turns: Rotation, k: int, floors: bool) -> DataFrame:
+    """Scores of pairs (query_block, slice, block, turn): each task gets its queries once, and its blocks of candidates by turn."""
+    columns = ("query_block", "slice", "kind", "turn", "row", "vec_id", "dim", "length", "x", "floor")
+    asked = queries.join(pairs.select("query_block", "slice").distinct(), "query_block").withColumns({"kind": F.lit(0), "turn": F.lit(0).cast("long")})
+    passing = candidates.join(pairs, "block").withColumns({"kind": F.lit(1), "floor": F.lit(0.0)})
+    task = asked.select(*columns).unionByName(passing.select(*columns)).repartition("query_block", "slice").sortWithinPartitions("query_block", "slice", "kind", "turn", F.desc("length"), "row")
+    return task.mapInArrow(_score(turns, k, floors), "row long, floor double" if floors else "row long, query_id long, vec_id long, score long")
 
-    Components become floor(1024 * x); scores are integer inner products, ties go to the smaller vec_id, and all are
-    returned if there are fewer than k. Vectors that are null or empty or hold a null, a non-finite or a component beyond
-    2^26 in whole numbers take no part, nor do rows without a vec_id; a query meets vectors of its own dimension and of
-    another vec_id alone. Repeated rows count as often as they come. Other columns are ignored.
+
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, block: int = 1024, query_block: int = 4096, in_task: int = 8) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k best other rows.
+
+    Components become floor(1024 * x) in double precision; scores are integer inner products, exact at any size; one that
+    a long can't hold is given as the nearest long, and ranked as that. Ties go to the smaller vec_id, and all are
+    returned if there are fewer than k. Vectors that are null or empty or hold a null or non-finite component (or one
+    whose 1024-fold is no finite double) take no part, nor do rows without a vec_id; a query meets vectors of its own
+    dimension, but not its own row. Repeated rows are candidates of each other and each asks. Other columns are ignored.
+
+    A task holds up to `query_block` queries and passes up to `in_task` blocks of candidates by them; long vectors make smaller blocks.
     """
+    return settled(embeddings.sparkSession, "best", lambda: _search(embeddings, every, k, block, query_block, in_task))
+
+
+def _search(embeddings: DataFrame, every: int, k: int, block: int, query_block: int, in_task: int) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors = written(rows.mapInArrow(_whole, "vec_id long, dim int, squared double, x binary"), "vectors")
+    vectors = written(rows.mapInArrow(_whole, VECTORS), "vectors")
     turns = rotations(vectors)
-    shape = "block long, dim int, longest double, ids binary, x binary"
-    by_length = lambda df: df.repartitionByRange("dim", F.desc("squared"), "vec_id").sortWithinPartitions("dim", F.desc("squared"), "vec_id")
-    blocks = written(by_length(vectors).mapInArrow(_blocks(block), shape), "blocks")
-    asked = written(by_length(vectors.where(F.col("vec_id") % every == 0)).mapInArrow(_blocks(query_block), shape), "queries")
-    queries = asked.select(F.col("block").alias("query_block"), "dim", F.col("longest").alias("query_longest"), F.col("ids").alias("query_ids"), F.col("x").alias("query_x"))
+    block, query_block = (fitting(n, max(turns, default=1)) for n in (block, query_block))
+    order = ("dim", F.desc("length"), "row")
+    by_length = lambda df, n: df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(n), VECTORS + ", block long")
+    candidates = written(by_length(vectors, block), "candidates")
+    asked = written(by_length(vectors.where(F.col("vec_id") % every == 0), query_block).withColumnRenamed("block", "query_block"), "queries")
+    blocks = written(candidates.groupBy("dim", "block").agg(F.max("length").alias("longest")), "blocks")
+    # The first look is at the longest block of each dimension: one row a dimension.
     first = blocks.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("block"))
-    longest = blocks.join(F.broadcast(first), ["dim", "block"], "left_semi").drop("longest")  # one row a dimension, then one block
-    floors = written(queries.join(F.broadcast(longest), "dim").mapInArrow(_score(turns, k, True), "query_block long, floor binary, least double"), "floors")
-    pairs = (
-        queries.select("query_block", "dim", "query_longest").join(floors.select("query_block", "least"), "query_block")
-        .join(blocks.select("block", "dim", "longest"), "dim")
-        .where(F.col("query_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least"))
-        .select("query_block", "block")
-    )
-    both = pairs.join(queries.drop("query_longest").join(floors.drop("least"), "query_block"), "query_block").join(blocks.select("block", "ids", "x"), "block")
-    scores = both.mapInArrow(_score(turns, k, False), "query_block long, row int, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_block", "row").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    looks = asked.select("query_block", "dim").distinct().join(F.broadcast(first), "dim").select("query_block", "block", F.lit(0).cast("long").alias("slice"), F.lit(0).cast("long").alias("turn"))
+    longest = candidates.join(F.broadcast(first), ["dim", "block"], "left_semi")
+    floors = _passed(asked.withColumn("floor", F.lit(float("-inf"))), longest, looks, turns, k, True)
+    queries = written(asked.join(floors, "row"), "floors")
+    # The length that a block needs to reach any of a query block's floors.
+    least = F.min(F.when(F.col("length") > 0, (F.col("floor") - 1) / (F.col("length") * (1 + 1e-9))).otherwise(float("-inf")))
+    wanted = queries.groupBy("query_block", "dim").agg(least.alias("least"))
+    # Blocks are dealt over salts, so that no task pairs all of a dimension; neighbours by length share a slice.
+    spread = min(256, 1 + blocks.count() // 64)
+    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(spread)))
+    met = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))).join(salted, ["dim", "salt"]).where(~(F.col("longest") < F.col("least")))
+    pairs = written(met.select("query_block", F.floor(F.col("block") / in_task).alias("slice"), "block", F.col("block").alias("turn")), "pairs")
+    scores = _passed(queries, candidates, pairs, turns, k, False)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+

@@ -1,7 +1,10 @@
 import base64
 import hashlib
 import io
+import math
+import os
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -50,9 +53,10 @@ def test_near_duplicate_vectors_match_brute_force(spark, block):
 
 
 def test_cover_tree_holds_its_bounds():
-    x = np.random.default_rng(2).normal(size=(300, 6))
+    x = np.random.default_rng(2).normal(size=(300, 3))
     unit = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
-    t = embedding_near_dedup.CoverTree(unit)
+    t = embedding_near_dedup.CoverTree(x)
+    assert any(map(len, t.children))
     for c, r, m, below in zip(t.centre, t.radius, t.members, t.children, strict=True):
         assert np.sqrt(((unit[m] - unit[c]) ** 2).sum(axis=1)).max() <= r + 1e-12
         if len(below):
@@ -80,9 +84,67 @@ def test_topk_matches_brute_force(spark, block, query_block):
     assert got == want
 
 
+def plain_best(rows, every, k=10):
+    """(query row, rank, vec_id, score) by whole numbers of any size, held within a long."""
+    whole = [(i, [math.floor(1024 * Fraction(c)) for c in x]) for i, x in rows]
+    out = []
+    for a, (i, x) in enumerate(whole):
+        if i % every == 0:
+            found = [(-max(-(2**63), min(2**63 - 1, sum(u * v for u, v in zip(x, y, strict=True)))), j) for b, (j, y) in enumerate(whole) if a != b and len(x) == len(y)]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 7e4, 3e9, 1e30])
+def test_scores_are_exact_at_any_size(spark, scale):
+    rnd = np.random.default_rng(4)
+    rows = [(int(k), [float(x) for x in rnd.normal(size=5) * rnd.choice([1.0, scale])]) for k in range(120)]
+    rows += [(0, rows[3][1]), (0, rows[0][1]), (7, rows[0][1])]  # rows of one id are candidates of each other
+    df = spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<double>, label int").repartition(2)
+    for block, query_block, in_task in ((1024, 4096, 8), (16, 3, 2)):
+        got = sorted(map(tuple, topk_search.search(df, every=20, block=block, query_block=query_block, in_task=in_task).collect()))
+        assert got == plain_best(rows, 20)
+
+
 def test_fewer_candidates_than_asked_for(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [3.0, -1.0], 0), (2, [1e6, 1e6], 0)], VECTORS)
-    assert [(r.query_id, r.rank, r.vec_id) for r in topk_search.search(df, every=100).collect()] == [(0, 1, 1)]  # the last is beyond the range
+    assert [(r.query_id, r.rank, r.vec_id) for r in topk_search.search(df, every=100).collect()] == [(0, 1, 2), (0, 2, 1)]
+
+
+def test_long_and_short_vectors_link_by_their_angle(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e-200, 1e-202], 1), (3, [0.0, 1e-310], 1), (4, [1e305, 1e305], 1), (5, [3.0, 0.1], 1), (5, [0.0, 2.0], 1)]
+    got = sorted(map(tuple, embedding_near_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (5, 2, 1, False)]
+
+
+def test_upper_levels_part_clusters(spark):
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(20, 16))
+    x = np.concatenate([centres[k % 20] + rnd.normal(size=(1, 16)) * 0.05 for k in range(2000)])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.98
+    got = {r.vec_id: r.n_links for r in embedding_near_dedup.near_duplicates(df, block=100).collect()}
+    assert [got[k] for k in range(2000)] == (near.sum(axis=1) - 1).tolist()
+
+
+def test_links_of_dense_and_spread_points():
+    rnd = np.random.default_rng(3)
+    for width in (0.01, 0.1, 0.14, 0.3, 3.0):
+        a, b = (rnd.normal(size=(1, 12)) * 0 + 1 + rnd.normal(size=(n, 12)) * width for n in (500, 300))
+        x = np.concatenate([a, b])
+        unit = embedding_near_dedup.directions(x)
+        near = unit @ unit.T >= 0.98
+        ta, tb = embedding_near_dedup.CoverTree(a), embedding_near_dedup.CoverTree(b)
+        one = np.ones(800, np.int64)
+        count, root = embedding_near_dedup.links(ta, tb, one[:500], one[:300], 0.98)
+        assert count.tolist() == np.concatenate([near[:500, 500:].sum(axis=1), near[500:, :500].sum(axis=1)]).tolist()
+        own, roots = embedding_near_dedup.links(ta, ta, one[:500], one[:500], 0.98)
+        assert own.tolist() == (near[:500, :500].sum(axis=1) - 1).tolist()
+        want = np.arange(500)
+        while (new := np.array([want[near[k, :500]].min() for k in range(500)])).tolist() != want.tolist():
+            want = new
+        assert roots.tolist() == want.tolist()
 
 
 # ---------------------------------------------------------------- WARC
@@ -137,6 +199,38 @@ def test_repeated_pages_are_all_responses(spark):
 # ---------------------------------------------------------------- shared
 
 
+def test_runs_are_cut_at_keys_and_at_most_rows():
+    import pyarrow as pa
+
+    from lakemart.llm.shared import runs
+
+    keys = [1] * 5 + [2] * 3 + [3] * 9
+    batches = [pa.record_batch([pa.array(keys[k : k + n]), pa.array(range(k, min(17, k + n)))], names=["k", "i"]) for k, n in ((0, 0), (0, 4), (4, 6), (10, 7))]
+    assert [x.column("i").to_pylist() for x in runs(iter(batches), ["k"])] == [list(range(5)), list(range(5, 8)), list(range(8, 17))]
+    assert [len(x) for x in runs(iter(batches), ["k"], 4)] == [4, 1, 3, 4, 4, 1]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from lakemart.llm.shared import cleared, shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    with cleared(spark):
+        written(spark.range(5), "some")
+        assert set(os.listdir(root)) != before
+    assert set(os.listdir(root)) == before
+
+
+def test_one_row_of_each_id_stays(spark):
+    from lakemart.llm.shared import one_of_each
+
+    rows = [(1, "b", 1, {"a": 1}), (1, "a", 2, None), (1, "a", 1, None), (2, None, 5, None), (2, "x", 0, None), (3, "y", 0, None), (None, "n", 0, None), (None, "n", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, row map<string,int>").repartition(4)
+    got = one_of_each(docs, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.drop("row").collect())) == sorted(map(str, spark.createDataFrame([rows[2], rows[3], rows[6], rows[7]], docs.schema).drop("row").collect()))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 30)] + [(7, 7), (None, 3), (2, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "src long, dst long")).collect()}
