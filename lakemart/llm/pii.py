@@ -5,8 +5,10 @@ a threshold calibrated for each kind selects what is redacted. Spans of the stri
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +31,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 AT = re.compile(r"\s?(?:@|[(\[{]\s?at\s?[)\]}]|(?<=\s)at(?=\s))\s?", re.I)
 LOCAL_LIKE = re.compile(r"[\w.%+-]{1,64}\Z")
 DOMAIN_LIKE = re.compile(r"[\w-]{1,63}(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|(?<=\s)dot(?=\s))\s?[\w-]{1,63}){1,4}", re.I)
+BREAK = re.compile(r"\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|(?<=\s)dot(?=\s))\s?", re.I)
 IP_LIKE = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[.,·]\s?[0-9]{1,3}){3}(?![0-9])|(?<![0-9a-fA-F:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9a-fA-F:])")
 CARD_LIKE = re.compile(r"(?<![0-9])[0-9](?:[ ./_-]{0,2}[0-9]){12,18}(?![0-9])")
 PHONE_LIKE = re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9])")
+#: An address without an at sign needs one of these; without either no generator of addresses proposes anything.
+BRACKETED, DOT = re.compile(r"[(\[{]\s?at\s?[)\]}]", re.I), re.compile("dot", re.I)
+DIGITS_OR_COLON = re.compile("[0-9:]")
+#: The ends of common domains.
+ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "eu", "de", "fr", "es", "it", "uk", "us", "ch", "at", "nl")
 #: Words that tell of a kind when they stand before it.
 HINTS = {
     "email": re.compile(r"e-?mail|mailto|contact|write|correo|courriel|adresse", re.I),
@@ -73,12 +81,14 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str) -> list[Span]:
     """Overlapping spans that may be personal data."""
     out: list[Span] = []
-    for m in AT.finditer(text):
+    for m in AT.finditer(text) if "@" in text or DOT.search(text) or BRACKETED.search(text) else ():
         left, right = LOCAL_LIKE.search(text, max(0, m.start() - 64), m.start()), DOMAIN_LIKE.match(text, m.end())
         if left and right and ("@" in m[0] or m[0].strip()[0] in "([{" or re.search(r"\bdot\b", right[0], re.I)):
-            out.append(("email", left.start(), right.end()))
-    for kind, pattern in (("ip", IP_LIKE), ("card", CARD_LIKE), ("phone", PHONE_LIKE)):
-        out += [(kind, *m.span()) for m in pattern.finditer(text)]
+            breaks = [x.start() for x in BREAK.finditer(text, m.end(), right.end())][1:]  # where what may be the domain's end could be the next sentence
+            out += [("email", left.start(), end) for end in (right.end(), *reversed(breaks))]
+    if DIGITS_OR_COLON.search(text):
+        for kind, pattern in (("ip", IP_LIKE), ("card", CARD_LIKE), ("phone", PHONE_LIKE)):
+            out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
 
 
@@ -93,41 +103,116 @@ def features(text: str, span: Span) -> list[float]:
         float(sizes[0]), float(sizes[-1]), float(len({c for c in s if not c.isalnum()})), float(s[:1] == "+"), float("(" in s),
         float(s.count("@")), float(sum(c.isalpha() for c in s)), float(len(re.split(r"\W+", s)[-1])), float(s.count(".")),
         beside(text[a - 1 : a]), beside(text[b : b + 1]), float(bool(HINTS[kind].search(text, max(0, a - WINDOW), a))),
-        float(len(digits) >= 12 and luhn(digits)), float(all(len(g) < 4 and int(g) < 256 for g in groups)), float(":" in s),
+        float(len(digits) >= 12 and luhn(digits)), float(all(len(g) < 4 and int(g) < 256 for g in groups)), float(s.count(":")),
+        float(re.split(r"\W+", s)[-1].lower() in ENDS), float(s.count(",")), float(sum(c.isspace() for c in s)), float(s.count("-")),
     ]
 
 
-def rewritten(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
-    """The text with its base spans written in other formats, and where they are then."""
-    out, moved, at = [], [], 0
-    for kind, a, b in sorted(spans, key=lambda x: x[1]):
-        if a < at:
-            continue
-        s = text[a:b]
-        other = {
-            "email": lambda s: s.replace("@", " (at) ").replace(".", " dot ") if len(s) % 2 else s.replace("@", "[at]"),
-            "ip": lambda s: s.replace(".", " . "),
-            "card": lambda s: ".".join(re.findall("[0-9]{1,4}", digits_of(s))),
-            "phone": lambda s: s.lstrip("+") if len(s) % 2 else "00" + s[1:].replace(" ", "/"),
-        }[kind](s)
-        out += [text[at:a], other]
-        begin = sum(map(len, out)) - len(other)
-        moved.append((kind, begin, begin + len(other)))
-        at = b
-    return "".join([*out, text[at:]]), moved
-
-
-def _examples(text: str) -> list[tuple[Span, list[float], bool]]:
-    """Labelled candidates of one text: those that lie on base spans, in their own and in other formats, are personal data."""
-    found = []
-    base = base_spans(text)
-    for body, truth in ((text, base), rewritten(text, base)) if base else ((text, base),):
-        known = {k: [x for x in truth if x[0] == k] for k in KINDS}
-        for c in candidates(body):
-            own = any(a < c[2] and c[1] < b for _, a, b in known[c[0]])
-            if own or not any(a < c[2] and c[1] < b for _, a, b in truth):
-                found.append((c, features(body, c), own))
-    return found
+def _number(rnd: random.Random, n: int) -> str:
+    return str(rnd.randint(1, 9)) + "".join(str(rnd.randint(0, 9)) for _ in range(n - 1))
+
+
+def _card(rnd: random.Random, valid: bool) -> str:
+    head = _number(rnd, 15)
+    last = next(d for d in range(10) if luhn(f"{head}{d}"))
+    digits = f"{head}{last if valid else (last + rnd.randint(1, 9)) % 10}"
+    return rnd.choice(("", " ", "-", ".", "/", "_")).join(digits[k : k + 4] for k in range(0, 16, 4))
+
+
+def _email(rnd: random.Random, word: Callable[[], str]) -> str:
+    at, dot = rnd.choice((("@", "."), (" (at) ", " dot "), ("[at]", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), (" {at} ", "."), (" @ ", ".")))
+    text = f"{word()}{rnd.choice(('', '.', '_', '-'))}{word()}{at}{word()}{dot}{rnd.choice(ENDS)}"
+    return text.upper() if rnd.random() < 0.2 else text
+
+
+def _phone(rnd: random.Random) -> str:
+    a, b, c = _number(rnd, 3), _number(rnd, 3), _number(rnd, 4)
+    area = rnd.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b} {c}"))
+    return rnd.choice(("+1 ", "+44 ", "0049 ", "00 1 ", "1-", "", "")) + area
+
+
+def planted(rnd: random.Random, kind: str, real: bool, word: Callable[[], str]) -> str:
+    """Made-up personal data of a kind in one of its formats, or what only looks like it."""
+    byte = lambda: str(rnd.randint(0, 255))
+    if kind == "email":
+        return _email(rnd, word) if real else rnd.choice((
+            lambda: f"{_number(rnd, 2)} @ {_number(rnd, 1)}.{_number(rnd, 2)}", lambda: f"{word()} @ {word()} . {word()}", lambda: f"{word()} at {word()} dot {word()}ing",
+            lambda: f"{word()} (at) {word()}", lambda: f"{word()} [at] {word()}. {word()}",
+        ))()
+    if kind == "ip":
+        return rnd.choice((".", " . ", " .", ". ")).join(byte() for _ in range(4)) if real and rnd.random() < 0.7 else ":".join(f"{rnd.randrange(65536):x}" for _ in range(8)) if real else rnd.choice((
+            lambda: ", ".join(byte() for _ in range(4)), lambda: ".".join(str(rnd.randint(256, 999) if k == rnd.randrange(4) else rnd.randint(300, 999)) for k in range(4)), lambda: ":".join(f"{rnd.randrange(256):02x}" for _ in range(8)), lambda: ",".join(_number(rnd, 3) for _ in range(4)),
+        ))()
+    if kind == "card":
+        return _card(rnd, real)
+    return _phone(rnd) if real else rnd.choice((
+        lambda: _number(rnd, rnd.randint(7, 15)), lambda: f"{_number(rnd, 1)}.{_number(rnd, rnd.randint(7, 12))}", lambda: f"a{_number(rnd, rnd.randint(7, 12))}f",
+        lambda: f"978-{_number(rnd, 1)}-{_number(rnd, 2)}-{_number(rnd, 6)}-{_number(rnd, 1)}", lambda: f"20{_number(rnd, 2)}-1{rnd.randint(0, 2)}-{rnd.randint(10, 28)} {rnd.randint(10, 23)}", lambda: f"{_number(rnd, 4)}-{_number(rnd, 4)}",
+    ))()
+
+
+#: Words that may lead personal data in.
+LEADS = {
+    "email": ("email", "mail:", "contact", "write to", "correo", "courriel", "adresse"), "ip": ("ip", "host", "server", "address", "adresse"),
+    "card": ("card", "visa", "payment", "karte", "carte", "tarjeta"), "phone": ("call", "tel", "phone:", "fax", "mobil", "appel", "llame"),
+}
+
+
+def with_planted(text: str, rnd: random.Random, each: int = 2) -> tuple[str, list[Span], list[tuple[int, int]]]:
+    """The text with made-up personal data and look-alikes of each kind between its words, where the data are, and where all that was added is."""
+    words = re.findall(r"[^\W\d_]{2,12}", text) or ["text"]
+    word = lambda: rnd.choice(words).lower()
+    gaps = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    todo = [(kind, real) for kind in KINDS for real in (True, False) for _ in range(each)]
+    rnd.shuffle(todo)
+    out, data, added, at = [], [], [], 0
+    for where, (kind, real) in zip(sorted(rnd.choices(gaps, k=len(todo))), todo, strict=True):
+        lead = rnd.choice(LEADS[kind]) if rnd.random() < (0.5 if real else 0.2) else word()
+        out.append(f"{text[at:where]} {lead} ")
+        begin = sum(map(len, out))
+        out.append(planted(rnd, kind, real, word))
+        added.append((begin, begin + len(out[-1])))
+        if real:
+            data.append((kind, *added[-1]))
+        out.append(rnd.choice((" ", ", ", ". ")) + word())
+        at = where
+    return "".join([*out, text[at:]]), data, added
+
+
+def same(a: Span, spans: list[Span]) -> bool:
+    """Does the span share four fifths of what it and one of the spans, of its kind, cover?"""
+    return any(a[0] == k and 5 * (min(a[2], y) - max(a[1], x)) >= 4 * (max(a[2], y) - min(a[1], x)) for k, x, y in spans)
+
+
+class Taken:
+    """Disjoint intervals, and whether others overlap them, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        return bisect_right(self.ends, a) < bisect_left(self.starts, b)
+
+    def add(self, a: int, b: int) -> None:
+        """An interval that overlaps none."""
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
+def _examples(text: str, seed: int) -> list[tuple[Span, list[float], bool]]:
+    """Labelled candidates of one text in which personal data and look-alikes were planted: those that are planted or strict spans of their kind, by and large, are personal data."""
+    body, data, added = with_planted(text, random.Random(seed))
+    made = Taken(added)
+    truth = data + [s for s in base_spans(body) if not made.overlaps(s[1], s[2])]
+    return [(c, features(body, c), same(c, truth)) for c in candidates(body)]
 
 
 @dataclass
@@ -148,16 +233,19 @@ class Scorer:
             margin += weight * value[node]
         return 1 / (1 + np.exp(-2 * margin))
 
-    def select(self, text: str) -> list[Span]:
-        """Base spans, and candidates over their kind's threshold that overlap neither those nor a better candidate."""
+    def select(self, text: str) -> tuple[list[Span], list[Span]]:
+        """(base spans; these and the candidates over their kind's threshold that overlap neither them nor a better candidate)."""
         base = base_spans(text)
-        more = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)] if self.trees else []
+        taken = Taken([s[1:] for s in base])
+        more = [c for c in candidates(text) if not taken.overlaps(*c[1:])] if self.trees else []
+        chosen = list(base)
         if more:
             p = self.probability(np.array([features(text, c) for c in more]))
             for k in np.argsort(-p, kind="stable"):
-                if p[k] >= self.thresholds.get(more[k][0], 2.0) and not any(a < more[k][2] and more[k][1] < b for _, a, b in base):
-                    base.append(more[k])
-        return base
+                if p[k] >= self.thresholds.get(more[k][0], 2.0) and not taken.overlaps(*more[k][1:]):
+                    chosen.append(more[k])
+                    taken.add(*more[k][1:])
+        return base, chosen
 
 
 def _arrays(root) -> tuple[np.ndarray, ...]:
@@ -177,45 +265,52 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
     return x[:, 0].astype(np.int64), x[:, 1], x[:, 2].astype(np.int64), x[:, 3].astype(np.int64), x[:, 4]
 
 
-def train(docs: DataFrame, sample_docs: int = 3000, trees: int = 12, depth: int = 4, precision: float = 0.99, least: int = 20) -> Scorer:
-    """Fit the trees on candidates of about `sample_docs` whole documents that have digits or an at sign, and calibrate on as many others.
+def train(docs: DataFrame, sample_docs: int = 1200, sample_chars: int = 4000, rounds: int = 1200, trees: int = 16, depth: int = 5, precision: float = 0.99) -> Scorer:
+    """Fit the trees on candidates of a sample with personal data planted in it, and calibrate each kind's threshold on as many others.
 
-    The strict patterns label the candidates: positives are base spans and the same spans written in other formats in
-    their own context; other candidates are negatives. Each kind's threshold is the lowest with the given precision on
-    the calibration documents; a kind of fewer than `least` positives there adds nothing. With one class alone there is
-    no model, and base spans are all.
+    The sample is of `sample_docs` rows at most, by a hash of doc_id and text, of each a stretch of `sample_chars`
+    characters from a random place; equal stretches count once. Made-up personal data of every kind, in strict and in
+    other formats, and look-alikes are put between the words, over so many rounds that `rounds` texts come together, so
+    a small or clean corpus teaches as much as a large one. The corpus's own candidates count as well: those of strict
+    patterns as personal data, others as none. Half of the texts fit the trees; on the other half each kind's threshold
+    is the lowest with the given precision, and a kind that doesn't reach it adds nothing. Without any text there is no
+    model, and base spans are all.
     """
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    have = some.count()
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(1 << 20))
-    most = int((1 << 20) * min(1.0, 2 * sample_docs / max(1, have)))
-    sample = some.where(fold < most).withColumn("fit", fold < most // 2)
+    text, draw = F.col("text").cast("string"), F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text").cast("string"))
+    begin = F.pmod(F.xxhash64(F.lit("begin"), F.col("doc_id"), F.col("text").cast("string")), F.greatest(F.lit(1), F.length(text) - sample_chars)) + 1
+    some = docs.where(text.isNotNull()).select(draw.alias("draw"), F.substring(text, begin.cast("int"), F.lit(sample_chars)).alias("text")).orderBy("draw", "text").limit(sample_docs)
+    sample = written(some.groupBy("text").agg(F.min("draw").alias("draw")), "sample")
+    have = sample.count()
+    if not have:
+        return Scorer([], [], {})
+    each = -(-rounds // have)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(fit, c[0], x, float(y)) for text, fit in zip(b.column("text").to_pylist(), b.column("fit").to_pylist(), strict=True) for c, x, y in _examples(text)]
+            rows = []
+            for text, draw in zip(b.column("text").to_pylist(), b.column("draw").to_pylist(), strict=True):
+                for k in range(each):
+                    fit = (draw + k) % 2 == 0  # of few texts, their rounds are dealt to both halves
+                    rows += [(fit, c[0], x, float(y)) for c, x, y in _examples(text, draw * each + k)]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             kinds = (pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.float64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["fit", "kind", "x", "label"])
 
-    table = sample.mapInArrow(of, "fit boolean, kind string, x array<double>, label double")
-    table = written(table, "candidates").coalesce(4)  # of the sample alone
-    if len(table.where("fit").select("label").distinct().collect()) < 2:
+    table = written(sample.repartition(8).mapInArrow(of, "fit boolean, kind string, x array<double>, label double"), "candidates").coalesce(4)  # of the sample alone
+    if len(table.groupBy("fit", "label").count().collect()) < 4:
         return Scorer([], [], {})
-    fit = table.where("fit").select(array_to_vector("x").alias("features"), "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(fit)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(table.where("fit").select(array_to_vector("x").alias("features"), "label"))
     scorer = Scorer([_arrays(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights), {})
     held = table.where("not fit").toArrow()  # bounded by the sample
-    if len(held):
-        kind, label = np.array(held.column("kind").to_pylist(), object), np.array(held.column("label").to_pylist())
-        p = scorer.probability(np.array(held.column("x").to_pylist()))
-        for k in KINDS:
-            order = np.argsort(-p[kind == k], kind="stable")
-            good, score = label[kind == k][order], p[kind == k][order]
-            right = np.cumsum(good) / np.arange(1, len(good) + 1)
-            last = np.flatnonzero((right >= precision) & (np.append(score[1:], -1) < score))
-            if good.sum() >= least and len(last):
-                scorer.thresholds[k] = max(0.5, float(score[last[-1]]))
+    kind, label = np.array(held.column("kind").to_pylist(), object), np.array(held.column("label").to_pylist())
+    p = scorer.probability(np.array(held.column("x").to_pylist()))
+    for k in KINDS:
+        order = np.argsort(-p[kind == k], kind="stable")
+        good, score = label[kind == k][order], p[kind == k][order]
+        right = np.cumsum(good) / np.arange(1, len(good) + 1)
+        last = np.flatnonzero((right >= precision) & (np.append(score[1:], -1) < score))
+        if len(last):
+            scorer.thresholds[k] = max(0.5, float(score[last[-1]]))
     return scorer
 
 
@@ -227,7 +322,8 @@ def find(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of docs (doc_id, text), over whole texts.
 
     The counts and base_sha256 are those of the strict patterns; spans has all that is selected, as kind:start:end in
-    code points. A null or empty text has no span. Other columns are ignored.
+    code points. A null or empty text has no span. Null and repeated ids are kept, and repeated rows give repeated
+    results. Other columns are ignored. An empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)  # of fixed size
 
@@ -237,8 +333,7 @@ def find(docs: DataFrame, scorer: Scorer) -> DataFrame:
             rows = []
             for x in b.column("text"):
                 text = x.as_py() or ""
-                chosen = model.select(text)
-                base = base_spans(text) if chosen else []
+                base, chosen = model.select(text)
                 rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(told(base).encode()).hexdigest(), told(chosen)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
