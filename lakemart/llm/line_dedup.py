@@ -5,6 +5,7 @@ turns one into the other. A line's variants are itself and what is left when any
 Two lines of n words are one replacement apart exactly when they give the same variant by deleting the same place, and
 lines of n and n - 1 words are one edit apart exactly when a variant of the longer is the shorter itself. So the lines
 of one (variant, place) are all near each other, and the earliest of them stands for all: no pairs are made of a group.
+Lines of under five words have no variants, as one edit may change their sense: of those only exact repeats go.
 
 Only lines that can have a partner get variants. If two lines are one edit apart, they agree on one of two halves; a
 line whose four half keys are met in no other line is left out beforehand, without loss.
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import written
+from lakemart.llm.shared import settled, written
 
 MIN_WORDS = 5
 CHUNK = 1 << 20
@@ -142,13 +143,13 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _indexed(least: int, exact: int):
-    """Rows -> their lines of `exact` words or more, with half keys if they have `least` words or more."""
+def _indexed(least: int):
+    """Rows -> their lines that have words, with half keys if they have `least` words or more."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for held in segments_of(b.column("text")):
-                x = Lines(held, exact)
+                x = Lines(held, 1)
                 halves = [pa.array(k.view(np.int64), mask=x.n < least) for k in x.half_keys()]
                 cols = [b.column("doc_id").take(pa.array(x.row)), pa.array(x.number.astype(np.int32)), _longs(x.ids), *halves]
                 yield pa.record_batch(cols, names=["doc_id", "number", "line", "k0", "k1", "k2", "k3"])
@@ -196,18 +197,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["line"]).filter(pa.array([one_edit(x.as_py(), y.as_py()) for x, y in zip(b.column("words"), b.column("other"), strict=True)], pa.bool_()))
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """(doc_id, dropped): per document that loses lines, an array of (number, line): place from 0 and hash of each.
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, dropped): per document that loses lines, an array of (number, line): place from 0 and hash of each, ascending.
 
-    The order is that of doc_id, then place. A line goes if an earlier line of any document equals it or is one edit away,
-    whether that one stays or not. Words are split at ASCII white space, and A-Z count as a-z. Lines of fewer than
-    `min_words` words always stay and make no other line go; but with `exact_words`, lines of that many words or more go if
-    they equal an earlier line. Rows without a text or a doc_id take no part. Rows equal in
-    doc_id and text are one document and are treated alike; of rows equal in doc_id alone, each line has its own place.
+    The order is that of doc_id, then place. A line goes if an earlier line of any document equals it or, both having
+    `min_words` words or more, is one edit away, whether that one stays or not. Words are split at ASCII white space, and
+    A-Z count as a-z; lines without words always stay. Rows without a text or a doc_id take no part. Rows equal in doc_id
+    and text are one document and are treated alike; of rows equal in doc_id alone, each line has its own place. An empty
+    table gives an empty result.
     """
+    return settled(docs.sparkSession, "dropped-lines", lambda: _dropped_lines(docs, min_words), compression="zstd")
+
+
+def _dropped_lines(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    seen = written(rows.mapInArrow(_indexed(min_words, min_words if exact_words is None else min(exact_words, min_words)), f"doc_id {kind}, number int, line long, k0 long, k1 long, k2 long, k3 long"), "lines")
+    seen = written(rows.mapInArrow(_indexed(max(1, min_words)), f"doc_id {kind}, number int, line long, k0 long, k1 long, k2 long, k3 long"), "lines")
     firsts = written(
         seen.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"), *[F.min(k).alias(k) for k in ("k0", "k1", "k2", "k3")]),
         "first-lines",
@@ -228,7 +233,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
     groups = written(varied.groupBy("key").agg(*earliest, F.count("*").alias("n")).where("n > 1"), "variant-groups")
     met = varied.join(groups, "key").select("line", place.alias("own"), F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1")).alias("other"))
     pairs = met.where("other < own and other.line <> line").groupBy("line").agg(F.min("other").alias("other")).select("line", F.col("other.line").alias("of"))
-    words = varied.where("role = 2").groupBy("line").agg(F.first("words").alias("words"))
+    words = written(varied.where("role = 2").groupBy("line").agg(F.first("words").alias("words")), "line-words", compression="zstd")
     both = pairs.join(words, "line").join(words.select(F.col("line").alias("of"), F.col("words").alias("other")), "of")
     far = both.select("line", "words", "other").mapInArrow(_verified, "line long").withColumn("goes", F.lit(True))
     told = written(firsts.join(far, "line", "left").where("goes or times > 1").select("line", "first", F.coalesce("goes", F.lit(False)).alias("goes")), "told-lines")
@@ -253,11 +258,19 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """docs, all columns, with the text of each document less its dropped lines. A text that is null or loses nothing is unchanged."""
-    gone = dropped_lines(docs, min_words, exact_words).select(F.col("doc_id").alias("id"), F.transform("dropped", lambda x: x["number"]).alias("gone"))
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, all columns, with the text of each document less its dropped lines. A text that is null or loses nothing is unchanged.
+
+    See dropped_lines for what goes.
+    """
+    gone = dropped_lines(docs, min_words).select(F.col("doc_id").alias("id"), F.array_distinct(F.transform("dropped", lambda x: x["number"])).alias("gone"))
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    lines = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+
+    def kept(lines: Column) -> Column:
+        """What lies between one dropped line and the next, joined: the lines are gone through once."""
+        ends = F.concat("gone", F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), F.col("gone")), ends, lambda a, b: F.slice(lines, a + 2, b - a - 1))), "\n")
+
+    less = F.transform(F.array(F.split(F.col("row.text"), "\n", -1)), kept)[0]  # split once, not once a stretch
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(less)
     return rows.join(gone, "id", "left").select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

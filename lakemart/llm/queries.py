@@ -81,15 +81,16 @@ WITH line AS (
 word AS (
   SELECT doc_id, number, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\x0B\x0C]+'), lambda w: w <> '') AS words
   FROM line),
-occ AS (SELECT doc_id, number, words, row_number() OVER (ORDER BY doc_id, number) AS place FROM word WHERE len(words) >= 5),
+occ AS (SELECT doc_id, number, words, row_number() OVER (ORDER BY doc_id, number) AS place FROM word WHERE len(words) >= 1),
 d AS (SELECT words, min(place) AS place FROM occ GROUP BY words),
-v AS (SELECT words, place, k, list_concat(words[:k - 1], words[k + 1:]) AS rest FROM (SELECT words, place, unnest(range(1, len(words) + 1)) AS k FROM d)),
+l AS (SELECT * FROM d WHERE len(words) >= 5),
+v AS (SELECT words, place, k, list_concat(words[:k - 1], words[k + 1:]) AS rest FROM (SELECT words, place, unnest(range(1, len(words) + 1)) AS k FROM l)),
 by_place AS (SELECT rest, k, min(place) AS place FROM v GROUP BY ALL),
 by_rest AS (SELECT rest, min(place) AS place FROM v GROUP BY rest),
 near AS (
   SELECT v.words FROM v JOIN by_place b ON v.rest = b.rest AND v.k = b.k WHERE b.place < v.place
-  UNION SELECT v.words FROM v JOIN d ON v.rest = d.words WHERE d.place < v.place
-  UNION SELECT d.words FROM d JOIN by_rest b ON b.rest = d.words WHERE b.place < d.place),
+  UNION SELECT v.words FROM v JOIN l ON v.rest = l.words WHERE l.place < v.place
+  UNION SELECT l.words FROM l JOIN by_rest b ON b.rest = l.words WHERE b.place < l.place),
 gone AS (
   SELECT occ.doc_id, count(*) AS n, string_agg(occ.number::VARCHAR, ',' ORDER BY occ.number) AS dropped
   FROM occ JOIN d ON occ.words = d.words LEFT JOIN near ON occ.words = near.words
