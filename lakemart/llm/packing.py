@@ -8,6 +8,7 @@ windows: a document that crosses a window's end leaves a boundary record on each
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import zlib
@@ -19,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import prefix_sums, written
+from lakemart.llm.shared import prefix_sums, settled, written
 
 LENGTH = 4096
 END = 2
 WORDS_KEPT = 500_000
+MOST_STARTS = 1 << 19
 #: Texts of these characters alone are split into words here; the tokenizer itself takes any other text.
 OTHER = re.compile(r"[^\x00-\x1b\x20-įı-ſ‐-‧‰-⁞]|<\|")
 WORD = re.compile(r"[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+")
@@ -32,8 +34,13 @@ _hidden = [*range(33), *range(127, 161), 173]
 SHOWN = {b: chr(256 + k) for k, b in enumerate(_hidden)}
 
 
+#: How a tokenizers file says that it lower-cases and splits as WORD does, with byte-level words of their own.
+LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class WordTokenizer:
-    """Ids of a lower-casing tokenizer whose words are independent: each is encoded once and remembered, and so is what stands between white space."""
+    """Ids of a tokenizer. If it is a lower-casing one whose words are independent, each word is encoded once and remembered, and so is what stands between white space."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +52,14 @@ class WordTokenizer:
             vocabulary = public_tokenizers.path(vocabulary)
         self.model = Tokenizer.from_file(vocabulary)
         self.merges = self.model.model
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
+        rules, split = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.independent = (
+            rules.get("normalizers") == LOWERS and split[0] == SPLITS and len(split) == 2 and split[1].get("type") == "ByteLevel"
+            and not split[1].get("add_prefix_space") and not split[1].get("use_regex") and spec["model"].get("type") == "BPE"
+            and {x["content"][:2] for x in spec["added_tokens"]} <= {"<|"}
+        )
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = self.kind.char
         self.known: dict[str, bytes] = {}  # between white space
@@ -63,7 +78,7 @@ class WordTokenizer:
         split: list[list[str] | None] = []
         met: set[str] = set()
         for x in texts:
-            split.append(None if OTHER.search(x) else x.lower().split())
+            split.append(x.lower().split() if self.independent and not OTHER.search(x) else None)
             met.update(split[-1] or ())
         for kept in (self.known, self.words):
             if len(kept) > WORDS_KEPT:
@@ -100,14 +115,14 @@ def _tokenized(vocabulary: str, end: int):
     return of
 
 
-def _cut(starts: dict[int, int], length: int, with_ids: bool):
+def _cut(length: int, with_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             at: list[int] = []
-            for k, (part, begin, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "begin", "n", "ids")), strict=True)):
+            for k, (begin, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("begin", "n", "ids")), strict=True)):
                 ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
-                place, cut = starts[part] + begin, 0
+                place, cut = begin, 0
                 while cut < n:
                     sequence, offset = divmod(place + cut, length)
                     piece = ids[cut : cut + length - offset]
@@ -129,12 +144,17 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = L
     id), sequence_id, offset and, if asked for, ids (the same bytes). A null or empty text is the end id alone. Repeated
     rows and null ids are packed like any other. Other columns are ignored. An empty table gives an empty result.
     vocabulary is a tokenizers file, or the name of one of the public tokenizers that each executor has.
-
-    The driver learns one number per input partition, as many as the tasks that it has just run.
     """
+    return settled(docs.sparkSession, "pieces", lambda: _pack(docs, vocabulary, length, end, with_ids), compression="zstd")
+
+
+def _pack(docs: DataFrame, vocabulary: str, length: int, end: int, with_ids: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_tokenized(vocabulary, end), f"doc_id {kind}, part long, begin long, n long, ids binary")
     ids = written(ids, "tokens", compression="zstd")
-    starts = {r.part: r.start for r in prefix_sums(ids.groupBy("part").agg(F.sum("n").alias("n")), "part", "n").select("part", "start").collect()}
+    starts = prefix_sums(ids.groupBy("part").agg(F.sum("n").alias("n")), "part", "n").select("part", "start")
+    if starts.count() <= MOST_STARTS:  # two numbers a partition
+        starts = F.broadcast(starts)
     more = ", ids binary" if with_ids else ""
-    return ids.mapInArrow(_cut(starts, length, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{more}")
+    placed = ids.join(starts, "part").select("doc_id", (F.col("start") + F.col("begin")).alias("begin"), "n", "ids")
+    return placed.mapInArrow(_cut(length, with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{more}")
