@@ -28,6 +28,19 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return order
 
 
+def kept_names(columns: list[str]) -> list[str]:
+    """Names for the input's columns that no added column has, whatever the case of letters: `_in` is added, again and again while that is taken."""
+    taken, out = {*OWN, *(c.lower() for c in columns)}, []
+    for c in columns:
+        name = c
+        if c.lower() in OWN:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int = 24, bucket_bytes: int = 16 << 20, seed: int = 7) -> DataFrame:
     """Write docs (doc_id, text and any other columns) to path, a folder per shard, in a random order fixed by seed; the rows as read back.
 
@@ -35,12 +48,10 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
     the UTF-8 bytes of the text (null: none) plus 8; text_crc32 is 0 for null; grown_shard is null, as more shards move
     rows anywhere. Buckets are drawn by a hash of doc_id and text, so groups of equal texts, rows without a doc_id and
     rows that repeat an id spread over all buckets; only rows equal in both stay together. An input column that has the
-    name of an added one keeps its values under that name with `_in` added. An empty table gives an empty result.
+    name of an added one, in letters of any case, keeps its values under that name with `_in` added. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    schema = docs.select([F.col(f"`{c}`").alias(f"{c}_in" if c in OWN else c) for c in docs.columns]).schema
-    if not docs.columns:
-        raise ValueError("docs has no columns")
+    names = kept_names(docs.columns)
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     total = docs.agg(F.sum(size)).first()[0] or 0
@@ -64,7 +75,7 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
     placed = scattered.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(shuffled, shape)
     own = F.col("row").getField("text").cast("string")
     out = placed.select(
-        *[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, schema.names, strict=True)],
+        *[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, names, strict=True)],
         (F.coalesce(F.octet_length(own), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(own.cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
         F.lit("rows").alias("law"),
