@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import written
+from lakemart.llm.shared import settled, written
 
 BUCKETS = 1 << 14
 #: Tokens are words and the signs that follow them.
@@ -143,11 +143,11 @@ def _rate(start: Column, p: Column, steps: list[list[float]], most: float) -> Co
 
 
 def fit_rates(members: DataFrame, targets: list[float], total: float | None = None, most: float = 1e9, steps: int = 24, tolerance: float = 1e-4, kept: int = 6) -> list[list[float]]:
-    """The gradients whose projected steps give the rates: those of members (n_tokens, p), from 1 for every document.
+    """The gradients whose projected steps give the rates: those of members (n_tokens, p), from 1, or `most` if that is less, for every document.
 
     targets are shares of `total` tokens; without it, of the most tokens of which no domain needs more than it has.
     """
-    domains, table = range(len(targets)), members.select("n_tokens", "p").withColumn("rate", F.lit(1.0))
+    domains, table = range(len(targets)), members.select("n_tokens", "p").withColumn("rate", F.lit(min(1.0, most)))
 
     def measured(rates: DataFrame) -> tuple[list[list[float]], list[float]]:
         """The Gram matrix of the documents whose rate no bound holds, and the domains' tokens."""
@@ -194,15 +194,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     """(doc_id, n_tokens, p_<domain>..., rate) per row of docs (doc_id, text): in expectation, rate copies give the targets.
 
     Target weights are shares of all tokens of docs, or of `total`. A document without tokens has the rate of its
-    posterior and adds nothing. Repeated rows each count. Other columns are ignored; an empty table gives an empty result.
+    posterior and adds nothing. Repeated rows and null ids each count. Other columns are ignored; an empty table gives an empty result.
     """
+    return settled(docs.sparkSession, "rates", lambda: _mix(docs, labelled, targets, total, most, **options))
+
+
+def _mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None, most: float, **options: int) -> DataFrame:
     domains = sorted(targets)
     shares = [targets[d] / sum(targets.values()) for d in domains]
     model = learn(docs, labelled, domains, **options)
     members = written(docs.select("doc_id", model.posterior(F.col("text")).alias("m")).select("doc_id", "m.n_tokens", "m.p"), "posteriors")
     total = total or float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     gradients = fit_rates(members, shares, total, most)
-    return members.select("doc_id", "n_tokens", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(domains)], _rate(F.lit(1.0), F.col("p"), gradients, most).alias("rate"))
+    return members.select("doc_id", "n_tokens", *[F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(domains)], _rate(F.lit(min(1.0, most)), F.col("p"), gradients, most).alias("rate"))
 
 
 def ceilings(have: list[float], shares: list[float], whole: list[int]) -> list[float]:
@@ -221,15 +225,17 @@ def subsample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], s
 
     The total is the most that no domain's tokens fall short of. With `whole`, which needs a share, the domains named there
     stay whole instead, and the other targets are ceilings: a domain that has less than its share takes nothing from others.
-    Where the labels can't tell domains apart, all rows stay then. Rows of one doc_id and text share a draw.
+    Where the labels can't tell domains apart, all rows stay then. Rows of one doc_id and text share a draw; null ids and
+    texts are drawn like others. An empty table gives an empty result.
     """
     domains = sorted(targets)
     shares = [targets[d] / sum(targets.values()) for d in domains]
     model = learn(docs, labelled, domains, **options)
     if whole and not model.weights:
         return docs
-    posterior = model.posterior(F.col("text"))
-    members = written(docs.select(posterior.alias("m")).select("m.n_tokens", "m.p"), "posteriors")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = written(docs.select(row.alias("row"), model.posterior(F.col("text")).alias("m")), "posteriors", compression="zstd")  # found once, and read beside the row
+    members = kept.select("m.n_tokens", "m.p")
     total = None
     if whole:
         have = [x or 0.0 for x in members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[j]) for j in range(len(domains))]).first()]
@@ -237,9 +243,9 @@ def subsample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], s
         total = sum(goal)
         shares = [g / (total or 1.0) for g in goal]
     gradients = fit_rates(members, shares, total, 1.0)
-    rate = F.transform(F.array(posterior), lambda m: _rate(F.lit(1.0), m["p"], gradients, 1.0))[0]  # the posterior once, not once a step
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")), F.lit(UNIT)) / F.lit(float(UNIT))
-    return docs.where(draw < rate)
+    rate = _rate(F.lit(1.0), F.col("m.p"), gradients, 1.0)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "row.doc_id", F.col("row.text").cast("string")), F.lit(UNIT)) / F.lit(float(UNIT))
+    return kept.where(draw < rate).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
