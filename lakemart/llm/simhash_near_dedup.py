@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import components, written
+from lakemart.llm.shared import components, one_of_each, settled, written
 
 BITS = 64
 SEED = 42
@@ -127,6 +127,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     Repeated rows give repeated results. A null doc_id is kept and is never a component_id unless all ids of its component are null.
     Other columns are ignored. An empty table gives an empty result.
     """
+    return settled(docs.sparkSession, "near-documents", lambda: _near_duplicates(docs, words, radius))
+
+
+def _near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     fps = written(fingerprints(docs, words), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     linked = components(fingerprint_links(classes, radius)).select(F.col("node").alias("fp"), "component")
@@ -139,7 +143,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 def keep_one_of_each_group(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id stay as they are.
+    Of rows that repeat a doc_id one stays: see one_of_each, also for nulls. An empty table gives an empty result.
     """
     kept = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, kept)
