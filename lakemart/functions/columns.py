@@ -14,10 +14,10 @@ PRECIPITATION_EDGES, PRECIPITATION_NAMES = (2.5, 7.5), ("Light", "Moderate", "He
 VISIBILITY_EDGES, VISIBILITY_NAMES = (500, 2000), ("Poor", "Reduced", "Good")
 CONDITIONS = ("DRY", "RAIN", "FOG", "SNOW", "ICE", "STORM")
 DIRECTIONS = ("NB", "SB", "EB", "WB")
-SENTINELS = ("", "N/A", "NA", "-", "NULL", "null")
+SENTINELS = ("", "N/A", "NA", "-", "NULL")
 MAX_SPEED = 250
 RESPONSE_MINUTES, CLEARANCE_MINUTES = 8, 45
-UNKNOWN_KEY = -1
+UNKNOWN_KEY, UNKNOWN_CODE = -1, "UNK"
 
 
 def band(value: Column, edges: Sequence[float], names: Sequence[str], missing: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemart.functions.columns import CONDITIONS, severity_rank
+from lakemart.operators.numbering import numbered
 
 Names = Sequence[str]
 
@@ -102,8 +102,10 @@ def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
 
 
 def top_percent(df: DataFrame, order: Sequence[Column], percent: float) -> DataFrame:
-    """The first rows of a total order, rounded up to whole rows."""
-    return df.orderBy(*order).limit(math.ceil(df.count() * percent / 100))
+    """The first rows of a total order, rounded up to whole rows: rows are numbered by ranges and cut at the last number."""
+    placed = numbered(df, order, "_number")
+    most = placed.agg(F.ceil(F.count("*") * percent / 100).alias("_most"))
+    return placed.crossJoin(F.broadcast(most)).where(F.col("_number") <= F.col("_most")).drop("_number", "_most")  # one row
 
 
 def nested_top_n(df: DataFrame, outer: str, measure: str, n: int, order: Sequence[Column], m: int) -> DataFrame:
@@ -119,7 +121,13 @@ def rank_both(df: DataFrame, measure: str) -> DataFrame:
 
 
 def quantile_bucket(df: DataFrame, order: Sequence[Column], n: int, name: str = "bucket") -> DataFrame:
-    return df.withColumn(name, F.ntile(n).over(Window.orderBy(*order)))
+    """n buckets of a total order, 1 first, whose sizes differ by one at most, larger ones first."""
+    placed = numbered(df, order, "_number")
+    rows = placed.agg(F.count("*").alias("_rows"))
+    small, extra, at = F.floor(F.col("_rows") / n), F.col("_rows") % n, F.col("_number") - 1
+    large = extra * (small + 1)
+    bucket = F.when(at < large, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - large) / F.greatest(small, F.lit(1))))
+    return placed.crossJoin(F.broadcast(rows)).withColumn(name, (bucket + 1).cast("int")).drop("_number", "_rows")  # one row
 
 
 def running_share(df: DataFrame, by: Names, order: Names, column: str) -> DataFrame:

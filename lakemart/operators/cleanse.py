@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions.columns import Rule, normalized, reject_reason
 
+# The one shape of events, and the columns that hold codes.
 EVENT_COLUMNS = {
     "event_id": "string", "event_ts": "timestamp", "detector_type": "string", "detector_code": "string", "sensor_serial": "string",
     "camera_code": "string", "segment_code": "string", "direction": "string", "vehicle_type_code": "string", "speed_kmh": "decimal(5,1)",
@@ -22,21 +23,21 @@ def normalize(df: DataFrame, columns: Sequence[str] = CODES) -> DataFrame:
     return df.withColumns({c: normalized(F.col(c)) for c in columns if c in df.columns})
 
 
-def conformed(df: DataFrame, given: dict[str, Column]) -> DataFrame:
-    """df in the one shape of events; what a feed doesn't give is null."""
-    return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in EVENT_COLUMNS.items()])
+def conformed(df: DataFrame, given: dict[str, Column], *more: str) -> DataFrame:
+    """df in the one shape of events, and any further columns of its own; what a feed doesn't give is null."""
+    return df.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in EVENT_COLUMNS.items()], *more)
 
 
-def conform_sensor(df: DataFrame) -> DataFrame:
+def conform_sensor(df: DataFrame, *more: str) -> DataFrame:
     own = {c: F.col(c) for c in EVENT_COLUMNS if c in df.columns}
-    return conformed(df, own | {"detector_type": F.lit("SENSOR"), "detector_code": F.col("sensor_serial")})
+    return conformed(df, own | {"detector_type": F.lit("SENSOR"), "detector_code": F.col("sensor_serial")}, *more)
 
 
-def conform_camera(df: DataFrame) -> DataFrame:
+def conform_camera(df: DataFrame, *more: str) -> DataFrame:
     """The detection's fields lie in a struct; its event time was lifted when it was read."""
     own = {c: F.col(c) for c in ("event_id", "event_ts", "camera_code", "_ingest_ts", "_source_file", "event_date", "ingest_date")}
     inner = {"segment_code": "segment_code", "direction": "direction", "vehicle_type_code": "vehicle_class", "speed_kmh": "speed_kmh"}
-    return conformed(df, own | {k: F.col(f"detection.{v}") for k, v in inner.items()} | {"detector_type": F.lit("CAMERA"), "detector_code": F.col("camera_code")})
+    return conformed(df, own | {k: F.col(f"detection.{v}") for k, v in inner.items()} | {"detector_type": F.lit("CAMERA"), "detector_code": F.col("camera_code")}, *more)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def labelled_union(parts: dict[str, DataFrame], name: str = "label") -> DataFram
 
 
 def split_corrupt(df: DataFrame, column: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """(readable rows, lines that could not be read: no rule sees those)."""
+    """(readable rows, lines that could not be read: no rule sees those). Of a bad line its parsed fields and the line itself stay."""
     bad = df.where(F.col(column).isNotNull()).withColumn("reject_reason", F.lit("CORRUPT_RECORD"))
     return df.where(F.col(column).isNull()).drop(column), bad
 
@@ -64,16 +65,33 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("reject_reason is null").drop("reject_reason"), df.where("reject_reason is not null")
 
 
+def place_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_place", salts: int = 64) -> DataFrame:
+    """df with each row's place among the rows of its key: 1 for the first in a total order, more for others.
+
+    Rows that lack a key are one group, which may hold very many: these are ordered within salts first, and only the
+    first of each salt meets the others.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    row = F.row_number()
+    whole = df.where(known).withColumn(name, row.over(Window.partitionBy(*keys).orderBy(*order)))
+    salted = df.where(~known).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    salted = salted.withColumn(name, row.over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
+    first = F.when(F.col(name) == 1, F.lit(-1).cast("long")).otherwise(F.col("_salt"))  # the rest stay in their salts
+    placed = salted.withColumn("_met", first).withColumn("_among", row.over(Window.partitionBy(*keys, "_met").orderBy(*order)))
+    return whole.unionByName(placed.withColumn(name, F.when(F.col("_met") == -1, F.col("_among")).otherwise(F.lit(2))).drop("_salt", "_met", "_among"))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row a key, the first in a total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+    """One row a key, the first in a total order. Rows that lack a key are one group."""
+    return place_in_group(df, keys, order).where("_place = 1").drop("_place")
 
 
 def label_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column], reason: str = "DUPLICATE") -> DataFrame:
-    """All rows but the first of each key are labelled, whatever reason they had. Rows without a key are one group."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).withColumn("reject_reason", F.when(F.col("_place") > 1, reason).otherwise(F.col("reject_reason"))).drop("_place")
+    """All rows but the first of each key are labelled, whatever reason they had. Rows that lack a key are one group."""
+    placed = place_in_group(df, keys, order)
+    return placed.withColumn("reject_reason", F.when(F.col("_place") > 1, reason).otherwise(F.col("reject_reason"))).drop("_place")
 
 
 def event_order() -> list[Column]:
@@ -90,10 +108,10 @@ def clean_weather(df: DataFrame) -> DataFrame:
     return keep_first(typed, ("station_code", "observed_ts"), [F.asc_nulls_last(c) for c in ("condition_code", "temperature_c", "precipitation_mm", "wind_speed_kmh", "visibility_m")])
 
 
-def build_rejects(df: DataFrame, batch_id: int, payload: Sequence[str]) -> DataFrame:
-    """The reject table's rows: when, why, which batch, and the row itself as text."""
+def build_rejects(df: DataFrame, batch_id: int, payload: Sequence[str], *more: str) -> DataFrame:
+    """The reject table's rows: when, why, which batch, and the row itself as text, with any further columns of its own."""
     return df.where("reject_reason is not null").select(
-        F.lit(batch_id).alias("batch_id"), "event_id", "event_ts", "reject_reason",
+        F.lit(batch_id).alias("batch_id"), "event_id", "event_ts", "reject_reason", *more,
         F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload]).alias("payload"),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemart.functions.columns import UNKNOWN_KEY, hash_diff
+from lakemart.operators.numbering import numbered
 
 OPEN_END = "9999-12-31"
 VERSION_COLUMNS = ("effective_date", "expiration_date", "is_current", "version_number", "is_inferred", "hash_diff")
@@ -20,9 +21,8 @@ def with_new_keys(rows: DataFrame, key: str, order: Sequence[str], start: DataFr
     """Rows whose key is null get the numbers after the largest key of `start`. Only new members are numbered."""
     old = rows.where(F.col(key).isNotNull())
     top = start.agg(F.coalesce(F.max(F.when(F.col(key) > 0, F.col(key))), F.lit(0)).alias("_top"))
-    new = rows.where(F.col(key).isNull()).crossJoin(F.broadcast(top))  # one row
-    numbered = new.withColumn(key, (F.col("_top") + F.row_number().over(Window.orderBy(*order))).cast(start.schema[key].dataType)).drop("_top")
-    return old.unionByName(numbered)
+    new = numbered(rows.where(F.col(key).isNull()), order, "_number").crossJoin(F.broadcast(top))  # one row
+    return old.unionByName(new.withColumn(key, (F.col("_top") + F.col("_number")).cast(start.schema[key].dataType)).drop("_top", "_number"))
 
 
 def scd1_merge(dim: DataFrame, source: DataFrame, business_key: str, attributes: Sequence[str], key: str) -> DataFrame:
@@ -35,8 +35,9 @@ def scd1_merge(dim: DataFrame, source: DataFrame, business_key: str, attributes:
 
 
 def scd3_merge(dim: DataFrame, source: DataFrame, business_key: str, tracked: str, attributes: Sequence[str], key: str, load_date: str) -> DataFrame:
-    """Where the tracked attribute differs, the current value moves to previous_<tracked> and <tracked>_changed says when."""
-    previous, changed = f"previous_{tracked}", f"{tracked}_changed"
+    """Where the tracked attribute [current_]<x> differs, its value moves to previous_<x>, and <x>_changed says when."""
+    stem = tracked.removeprefix("current_")
+    previous, changed = f"previous_{stem}", f"{stem}_changed"
     s = source.select(F.col(business_key).alias("_bk"), F.struct(tracked, *attributes).alias("_new"))
     both = dim.join(s, dim[business_key] == s["_bk"], "full")
     moved = F.col(key).isNotNull() & F.col("_new").isNotNull() & ~F.col(f"_new.{tracked}").eqNullSafe(F.col(tracked))
@@ -126,7 +127,7 @@ def first_versions(source: DataFrame, business_key: str, key: str, type2: Sequen
         "hash_diff": hash_diff(type2), "effective_date": F.lit(load_date).cast("date"), "expiration_date": F.lit(OPEN_END).cast("date"),
         "is_current": F.lit(True), "version_number": F.lit(1), "is_inferred": F.lit(False), **(more or {}),
     })
-    return rows.withColumn(key, F.row_number().over(Window.orderBy(business_key)))
+    return numbered(rows, (business_key,), key).withColumn(key, F.col(key).cast("int"))
 
 
 def infer_members(facts: DataFrame, dim: DataFrame, business_key: str, key: str, defaults: dict[str, object], load_date: str) -> DataFrame:
@@ -151,7 +152,7 @@ def most_versioned(dim: DataFrame, business_key: str, n: int = 10) -> DataFrame:
 
 def mini_dimension(dim: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Type 4: the distinct combinations of fast-changing attributes, numbered."""
-    return dim.select(*columns).distinct().withColumn(key, F.row_number().over(Window.orderBy(*columns)))
+    return numbered(dim.select(*columns).distinct(), columns, key).withColumn(key, F.col(key).cast("int"))
 
 
 def outrigger(dim: DataFrame, mini: DataFrame, columns: Sequence[str], key: str) -> DataFrame:

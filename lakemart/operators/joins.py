@@ -36,39 +36,52 @@ def pit_join(fact: DataFrame, dim: DataFrame, on: dict[str, str], at: str, effec
     return fact.join(dim, valid, "left").drop(*[dim[d] for f, d in on.items() if f == d])
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str], take: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str], take: Sequence[str], tie: Sequence[str | Column] = ()) -> DataFrame:
     """left with the columns `take` (prefixed right_) of the latest right row of its key at or before its time, in one shuffle.
 
-    Of right rows at the same time the last by `tie` counts. Rows are unioned, and a running last does the rest, so no
-    pair is made that isn't kept. Rows with a null key or time match nothing.
+    Of right rows at the same time the one with the smallest `tie` counts, a null being the largest. Rows are unioned, and
+    a running last does the rest, so no pair is made that isn't kept. Rows with a null key or time match nothing, and
+    left ones of that kind stay out of the shuffle.
     """
-    row = F.struct(*[F.col(c) for c in take])
-    rights = right.select(*by, F.col(right_ts).alias("_ts"), F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"), row.alias("_right"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_left"))
-    lefts = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(None).cast(rights.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(rights.schema["_right"].dataType).alias("_right"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", F.asc_nulls_first("_tie")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.lit(True)
-    for c in [*by, "_ts"]:
+    for c in by:
         known = known & F.col(c).isNotNull()
-    met = rights.where(known).unionByName(lefts).withColumn("_met", F.when(known, F.last("_right", ignorenulls=True).over(w))).where("_side = 1")
-    return met.select("_left.*", *[F.col(f"_met.{c}").alias(f"right_{c}") for c in take])
-
-
-def asof_join_unkeyed(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    ties = F.struct(*[(F.col(t) if isinstance(t, str) else t).alias(f"t{k}") for k, t in enumerate(tie)] or [F.lit(0).alias("t0")])
+    rights = right.where(known & F.col(right_ts).isNotNull()).select(
+        *by, F.col(right_ts).alias("_ts"), ties.alias("_tie"), F.struct(*[F.col(c) for c in take]).alias("_right"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_left")
+    )
+    nothing = lambda c: F.lit(None).cast(rights.schema[c].dataType).alias(c)
+    lefts = left.where(known & F.col(left_ts).isNotNull()).select(*by, F.col(left_ts).alias("_ts"), nothing("_tie"), nothing("_right"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    order = [F.desc_nulls_first(f"_tie.t{k}") for k in range(max(1, len(tie)))]  # the smallest comes last, and is met last
+    w = Window.partitionBy(*by).orderBy("_ts", "_side", *order).rowsBetween(Window.unboundedPreceding, 0)
+    met = rights.unionByName(lefts).withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    rest = left.where(~(known & F.col(left_ts).isNotNull())).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(f"right_{c}") for c in take])
+    return met.select("_left.*", *[F.col(f"_met.{c}").alias(f"right_{c}") for c in take]).unionByName(rest)
+
+
+def asof_join_unkeyed(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: Sequence[str], tie: Sequence[str | Column], buckets: int = 200) -> DataFrame:
     """As asof_join, where nothing but time joins the sides.
 
-    right is reduced to one row per time, which holds until the next. Intervals are laid over the days they touch and
-    joined by day. The next row's time is found by day as well, with one row per day to bridge days, so no task gets all.
+    right is reduced to one row per time and left to its distinct times; both are cut into buckets of time at quantiles,
+    a running last goes through each, and the last row of a bucket is carried on to those after it. left then gets the
+    row of its time by an equi-join, so no task has more than a bucket of either side's times.
     """
-    best = right.where(F.col(right_ts).isNotNull()).groupBy(F.col(right_ts).alias("_from")).agg(F.max_by(F.struct(*take), F.struct(*tie)).alias("_row"))
-    days = best.groupBy(F.to_date("_from").alias("_day")).agg(F.min("_from").alias("_open"))
-    later = days.select("_day", F.lead("_open").over(Window.orderBy("_day")).alias("_following"))  # one row a day
-    held = best.withColumn("_day", F.to_date("_from")).join(later, "_day").withColumn("_to", F.coalesce(F.lead("_from").over(Window.partitionBy("_day").orderBy("_from")), F.col("_following")))
-    last = left.agg(F.max(left_ts).alias("_end"))
-    until = F.to_date(F.coalesce("_to", F.greatest("_end", "_from")))
-    laid = held.crossJoin(F.broadcast(last)).select("_from", "_to", "_row", F.explode(F.sequence(F.to_date("_from"), until)).alias("_day"))  # last is one row
-    asked = left.withColumn("_day", F.to_date(left_ts))
-    holds = (asked["_day"] == laid["_day"]) & (F.col(left_ts) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(left_ts) < F.col("_to")))
-    return asked.join(laid, holds, "left").select(*[asked[c] for c in left.columns], *[F.col(f"_row.{c}").alias(f"right_{c}") for c in take])
+    ties = [x for t in tie for c in [F.col(t) if isinstance(t, str) else t] for x in (c.isNull(), c)]
+    best = right.where(F.col(right_ts).isNotNull()).groupBy(F.col(right_ts).alias("_ts")).agg(F.min_by(F.struct(*take), F.struct(*ties or [F.lit(0)])).alias("_row"))
+    asked = left.where(F.col(left_ts).isNotNull()).select(F.col(left_ts).alias("_ts")).distinct()
+    times = best.unionByName(asked.withColumn("_row", F.lit(None).cast(best.schema["_row"].dataType))).groupBy("_ts").agg(F.max("_row").alias("_row"))
+    micros = F.unix_micros(F.col("_ts").cast("timestamp"))
+    times = times.withColumn("_us", micros)
+    at = [k / buckets for k in range(1, buckets)]
+    bounds = sorted(set(times.select(F.col("_us").cast("double").alias("u")).approxQuantile("u", at, 0.2 / buckets))) if at else []  # fewer than `buckets` numbers
+    cut = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    dealt = times.withColumn("_bucket", F.size(F.filter(cut, lambda b: b <= F.col("_us"))))
+    held = dealt.withColumn("_held", F.last("_row", ignorenulls=True).over(Window.partitionBy("_bucket").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)))
+    last = dealt.where("_row is not null").groupBy("_bucket").agg(F.max_by("_row", "_us").alias("_last"))
+    every = left.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_bucket")).join(last, "_bucket", "left")
+    carried = every.select("_bucket", F.last("_last", ignorenulls=True).over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row a bucket
+    known = held.join(F.broadcast(carried), "_bucket").select("_ts", F.coalesce("_held", "_carried").alias("_row"))
+    return left.join(known, F.col(left_ts) == F.col("_ts"), "left").select(*[left[c] for c in left.columns], *[F.col(f"_row.{c}").alias(f"right_{c}") for c in take])
 
 
 def first_per_parent(parent: DataFrame, child: DataFrame, key: str, order: Sequence[str], take: Sequence[str]) -> DataFrame:

@@ -72,24 +72,29 @@ def date_gaps(facts: DataFrame, day: str, batches: DataFrame, batch_day: str) ->
     return gaps.unionByName(none)
 
 
-def _walk(edges: DataFrame, start: int, hops: int, stop: int | None = None) -> DataFrame:
-    """Paths from start without a repeated node, of 1 to `hops` edges; none goes on from `stop`. Each hop is one join with the edges."""
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("length").alias("more"))
-    here = edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.lit(1).alias("hops"), F.array("src", "dst").alias("path"), "length")
+def reachable(edges: DataFrame, start: int, max_hops: int, edge: str = "edge") -> DataFrame:
+    """Every edge (edge, src, dst) met on paths of at most max_hops edges from a node that repeat none: one row (hop, edge, path) per path.
+
+    Each hop is one join with the edges; path is the array of edges so far.
+    """
+    step = edges.select(F.col(edge), F.col("src"), F.col("dst").alias("next"))
+    here = step.where(F.col("src") == start).select(F.lit(1).alias("hop"), edge, F.col("next").alias("at"), F.array(edge).alias("path"))
     out = here
-    for _ in range(hops - 1):
-        here = (here if stop is None else here.where(F.col("at") != stop)).join(step, "at").where(~F.array_contains("path", F.col("next")))
-        here = here.select(F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"), (F.col("length") + F.col("more")).alias("length"))
+    for _ in range(max_hops - 1):
+        last = here.select("hop", F.col("at").alias("src"), "path")
+        here = last.join(step, "src").where(~F.array_contains("path", F.col(edge))).select((F.col("hop") + 1).alias("hop"), edge, F.col("next").alias("at"), F.array_append("path", F.col(edge)).alias("path"))
         out = out.unionByName(here)
-    return out
-
-
-def reachable(edges: DataFrame, start: int, max_hops: int) -> DataFrame:
-    """Every node met within max_hops edges (src, dst, length): its fewest hops, and how many paths without a repeated node lead there."""
-    return _walk(edges, start, max_hops).groupBy(F.col("at").alias("node")).agg(F.min("hops").alias("hops"), F.count("*").alias("paths"))
+    return out.drop("at")
 
 
 def routes(edges: DataFrame, start: int, end: int, max_edges: int, k: int) -> DataFrame:
-    """The k shortest routes of up to max_edges edges between two nodes."""
-    found = _walk(edges, start, max_edges, end).where(F.col("at") == end)
+    """The k shortest routes of up to max_edges edges (src, dst, length) between two nodes, without a repeated node; none goes on from the end."""
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("length").alias("more"))
+    here = edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.lit(1).alias("hops"), F.array("src", "dst").alias("path"), "length")
+    out = here
+    for _ in range(max_edges - 1):
+        here = here.where(F.col("at") != end).join(step, "at").where(~F.array_contains("path", F.col("next")))
+        here = here.select(F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"), (F.col("length") + F.col("more")).alias("length"))
+        out = out.unionByName(here)
+    found = out.where(F.col("at") == end)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("route"), "hops", "length").orderBy("length", "hops", "route").limit(k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakemart.functions import columns as C
@@ -23,8 +23,10 @@ def bind(name: str, sql: str | None = None, prelude: bool = True):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
         if sql:
-            more = sql.strip()
-            ORACLES[name] = (T.PRELUDE.rstrip() + ("," + more[4:] if more.startswith("WITH") else more if more.startswith(",") else "\n" + more)) if prelude else more
+            more, known = sql.strip(), T.PRELUDE.rstrip()
+            if more.startswith("WITH RECURSIVE"):
+                more, known = "WITH" + more[len("WITH RECURSIVE") :], known.replace("WITH", "WITH RECURSIVE", 1)
+            ORACLES[name] = (known + ("," + more[4:] if more.startswith("WITH") else more if more.startswith(",") else "\n" + more)) if prelude else sql.strip()
         return f
 
     return add
@@ -74,8 +76,8 @@ bind("a15_grouping_sets", "SELECT grouping_id(region, market, l_returnflag)::INT
 bind("a16_listed", "SELECT segment_code, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS types FROM det GROUP BY ALL")(
     lambda s, d: T.detections(s, d).groupBy("segment_code").agg(A.listed("event_type").alias("types"))
 )
-bind("m0a_dim_road", "SELECT DISTINCT road_code, road_name, road_category, city FROM seg WHERE is_current = 1 AND segment_key <> -1")(using(marts.mart_dim_road, T.segments))
-bind("m0b_dim_location", "SELECT DISTINCT city, district FROM seg WHERE is_current = 1 AND segment_key <> -1")(using(marts.mart_dim_location, T.segments))
+bind("m0a_dim_road", "SELECT DISTINCT road_code, road_name, road_category, city FROM seg WHERE is_current AND segment_key <> -1")(using(marts.mart_dim_road, T.segments))
+bind("m0b_dim_location", "SELECT DISTINCT city, district FROM seg WHERE is_current AND segment_key <> -1")(using(marts.mart_dim_location, T.segments))
 bind("m1_top_busiest_roads", f"WITH x AS (SELECT road_name, road_category, {TOTAL}, {SPEED}, {JAM} FROM fht JOIN seg USING (segment_key) GROUP BY ALL) SELECT * FROM x QUALIFY rank() OVER (ORDER BY total_vehicles DESC) <= 5")(
     using(marts.mart_top_busiest_roads, T.hourly, T.segments, n=5)
 )
@@ -95,7 +97,7 @@ bind("m7_vehicle_stats", f"SELECT category, type_name, count(*) AS detections, {
 bind("m8_by_weather", f"SELECT condition_name, precip_band, is_severe, {TOTAL}, {SPEED}, {JAM} FROM fht JOIN weather USING (weather_key) WHERE vehicle_count > 0 GROUP BY ALL")(using(marts.mart_by_weather, T.hourly, T.weather))
 bind("m9_by_district", f"SELECT city, district, {TOTAL}, {JAM}, {INC} FROM fht JOIN seg USING (segment_key) GROUP BY ALL")(using(marts.mart_by_district, T.hourly, T.segments))
 bind("m10_by_weekday", f"SELECT day_of_week, day_name, {TOTAL}, {SPEED}, {JAM} FROM fht JOIN date USING (date_key) GROUP BY ALL")(using(marts.mart_by_weekday, T.hourly, T.dates))
-bind("m11_light_performance", f"SELECT controller_code, end_intersection, current_timing_plan, previous_timing_plan, cycle_seconds, sum(vehicle_count)::BIGINT AS approach_volume, {W('congestion_index', 'avg_approach_congestion')}, sum(vehicle_count)::BIGINT * max(cycle_seconds) / (count(*) * 3600) AS vehicles_per_cycle FROM fht JOIN seg USING (segment_key) JOIN light ON intersection_name = end_intersection GROUP BY ALL")(
+bind("m11_light_performance", f"SELECT controller_code, end_intersection, current_timing_plan, previous_timing_plan, timing_plan_changed, cycle_seconds, sum(vehicle_count)::BIGINT AS approach_volume, {W('congestion_index', 'avg_approach_congestion')}, sum(vehicle_count)::BIGINT * max(cycle_seconds) / (count(*) * 3600) AS vehicles_per_cycle FROM fht JOIN seg USING (segment_key) JOIN light ON intersection_name = end_intersection GROUP BY ALL")(
     using(marts.mart_light_performance, T.hourly, T.segments, T.lights)
 )
 bind("m12_emergency_response", f"SELECT year_month, category, unit_type, count(*) AS incidents, {mean('minutes_to_dispatch', 'avg_dispatch_min')}, {mean('minutes_to_arrive', 'avg_response_min')}, {mean('minutes_to_clear', 'avg_clearance_min')}, {mean('total_duration_minutes', 'avg_total_min')}, count(*) FILTER (minutes_to_arrive <= 8)::DOUBLE * 100 / nullif(count(minutes_to_arrive), 0)::DOUBLE AS response_sla_pct FROM fil JOIN idate ON date_key = detected_date_key JOIN kind USING (incident_type_key) JOIN unit USING (unit_key) GROUP BY ALL")(
@@ -292,6 +294,13 @@ bind("j6_asof_join", "SELECT e.event_id, v.event_id AS right_event_id FROM (SELE
 bind("j6_asof_join_unkeyed", "SELECT e.event_id, v.event_id AS right_event_id FROM (SELECT * FROM det WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM det WHERE event_type = 'view') v ON e.event_ts >= v.event_ts")(
     lambda s, d: joins.asof_join_unkeyed(T.detections(s, d).where("event_type = 'error'").select("event_id", "event_ts"), T.detections(s, d).where("event_type = 'view'"), "event_ts", "event_ts", ("event_id",), ("event_id",)).select("event_id", "right_event_id")
 )
+TIED = "v AS (SELECT event_id, 'k' || event_id % 13 AS station, date_trunc('hour', event_ts) AS seen FROM det WHERE event_type = 'view'), one AS (SELECT seen, min(station) AS station FROM v GROUP BY seen)"
+bind("j6_asof_join_ties", f"WITH {TIED} SELECT e.event_id, one.station AS right_station FROM (SELECT * FROM det WHERE event_type = 'error') e ASOF LEFT JOIN one ON e.event_ts >= one.seen")(
+    lambda s, d: joins.asof_join_unkeyed(T.detections(s, d).where("event_type = 'error'").select("event_id", "event_ts"), T.detections(s, d).where("event_type = 'view'").select(F.date_trunc("hour", "event_ts").alias("at"), F.concat(F.lit("k"), (F.col("event_id") % 13).cast("string")).alias("station")), "event_ts", "at", ("station",), ("station",)).select("event_id", "right_station")
+)
+bind("j6_asof_join_keyed_ties", "WITH v AS (SELECT user_id, 'k' || event_id % 13 AS station, date_trunc('day', event_ts) AS seen FROM det WHERE event_type = 'view'), one AS (SELECT user_id, seen, min(station) AS station FROM v GROUP BY ALL) SELECT e.event_id, one.station AS right_station FROM (SELECT * FROM det WHERE event_type = 'error') e ASOF LEFT JOIN one ON e.user_id = one.user_id AND e.event_ts >= one.seen")(
+    lambda s, d: joins.asof_join(T.detections(s, d).where("event_type = 'error'").select("event_id", "user_id", "event_ts"), T.detections(s, d).where("event_type = 'view'").select("user_id", F.date_trunc("day", "event_ts").cast("timestamp_ntz").alias("at"), F.concat(F.lit("k"), (F.col("event_id") % 13).cast("string")).alias("station")), "event_ts", "at", ("user_id",), ("station",), (F.col("station"),)).select("event_id", "right_station")
+)
 LINE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 bind("j7_first_per_parent", f"SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE}) = 1) ON l_orderkey = o_orderkey", False)(
     lambda s, d: joins.first_per_parent(T.table(s, d, "orders").select("o_orderkey"), T.table(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", LINE.split(", "), ("l_linenumber", "l_partkey"))
@@ -339,8 +348,17 @@ bind("g3_date_gaps", "WITH f AS (SELECT DISTINCT event_date FROM det WHERE day(e
     lambda s, d: (lambda t: spines.date_gaps(t.where("day(event_date) not in (5, 6, 17)"), "event_date", t, "event_date"))(T.detections(s, d))
 )
 DIMDATE = "SELECT date_key, year, month_number, week_of_year, day_of_week, day_name, is_weekend, is_holiday, holiday_name, season, n"
+
+
+def calendar_join(s: SparkSession, d: str) -> DataFrame:
+    """Orders a day beside the calendar, which spans the days that orders have."""
+    daily_orders = T.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("full_date")).agg(F.count("*").alias("n"))
+    span = daily_orders.agg(F.min("full_date").alias("lo"), F.max("full_date").alias("hi")).first()
+    return spines.build_dim_date(s, str(span.lo), str(span.hi)).join(daily_orders, "full_date").select(*DIMDATE[7:].split(", "))
+
+
 bind("g4_calendar_join", "WITH x AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1) SELECT strftime(d, '%Y%m%d')::INT AS date_key, year(d) AS year, month(d) AS month_number, weekofyear(d) AS week_of_year, isodow(d) AS day_of_week, dayname(d) AS day_name, (isodow(d) > 5)::INT AS is_weekend, (strftime(d, '%m%d') IN ('0101', '0524', '0802', '0908', '1011', '1223'))::INT AS is_holiday, CASE strftime(d, '%m%d') WHEN '0101' THEN 'New Year''s Day' WHEN '0524' THEN 'St. Cyril and Methodius' WHEN '0802' THEN 'Republic Day (Ilinden)' WHEN '0908' THEN 'Independence Day' WHEN '1011' THEN 'Uprising Day' WHEN '1223' THEN 'Referendum Day' END AS holiday_name, (['Winter', 'Spring', 'Summer', 'Autumn'])[month(d) % 12 // 3 + 1] AS season, n FROM x", False)(
-    lambda s, d: spines.build_dim_date(s, "1995-01-01", "2001-12-31").join(T.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("full_date")).agg(F.count("*").alias("n")), "full_date").select(*DIMDATE[7:].split(", "))
+    calendar_join
 )
 bind("g5_time_join", "SELECT CASE WHEN t < 360 THEN 'Night' WHEN t < 600 THEN 'Morning' WHEN t < 840 THEN 'Midday' WHEN t < 1080 THEN 'Afternoon' WHEN t < 1320 THEN 'Evening' ELSE 'Night' END AS day_part, (t BETWEEN 420 AND 539 OR t BETWEEN 960 AND 1109)::INT AS is_rush_hour, lpad((t // 60)::VARCHAR, 2, '0') || ':00 - ' || lpad(((t // 60 + 1) % 24)::VARCHAR, 2, '0') || ':00' AS hour_band, count(*) AS n FROM (SELECT time_key AS t FROM det) GROUP BY ALL")(
     lambda s, d: T.detections(s, d).join(spines.build_dim_time(s), "time_key").groupBy("day_part", "is_rush_hour", "hour_band").agg(F.count("*").alias("n"))
@@ -348,30 +366,34 @@ bind("g5_time_join", "SELECT CASE WHEN t < 360 THEN 'Night' WHEN t < 600 THEN 'M
 bind("g7_unknown_member", "SELECT segment_key, segment_code, speed_limit FROM seg UNION ALL SELECT -1, 'UNKNOWN', NULL")(
     lambda s, d: spines.with_unknown_member(spines.with_unknown_member(T.segments(s, d).select("segment_key", "segment_code", "speed_limit"), "segment_key", {"segment_code": "UNKNOWN"}), "segment_key", {"segment_code": "UNKNOWN"})
 )
-EDGES = "g AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey + k) % 25 AS dst, n_nationkey % 7 + k AS length FROM nation CROSS JOIN (VALUES (1), (0)) t(k) WHERE k = 1 UNION SELECT n_nationkey, (n_nationkey * 2 + 3) % 25, n_nationkey % 5 + 2 FROM nation WHERE n_nationkey <> (n_nationkey * 2 + 3) % 25)"
-WALK = "WITH RECURSIVE " + EDGES + ", w AS (SELECT dst AS here, 1 AS hops, [src, dst] AS path, length FROM g WHERE src = {start} UNION ALL SELECT g.dst, hops + 1, list_append(path, g.dst), w.length + g.length FROM w JOIN g ON g.src = w.here WHERE hops < {hops} AND NOT list_contains(path, g.dst) {more})"
+EDGES = "m AS (SELECT segment_key AS src, lead(segment_key) OVER (PARTITION BY user_id % 997, event_date ORDER BY event_ts, event_id) AS dst FROM det), w AS (SELECT src, dst, count(*) AS n FROM m WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL), g AS (SELECT src, dst, src || '>' || dst AS edge, 1000 // n + 1 AS length FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 3)"
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    one = T.table(s, d, "nation").select(n.alias("src"), ((n + 1) % 25).alias("dst"), (n % 7 + 1).alias("length"))
-    two = T.table(s, d, "nation").select(n.alias("src"), ((n * 2 + 3) % 25).alias("dst"), (n % 5 + 2).alias("length"))
-    return one.unionByName(two).where("src <> dst")
+    """Moves between segments: of each segment the three next ones that successive events of a group of users go to most often; frequent moves are short."""
+    follows = F.lead("segment_key").over(Window.partitionBy(F.col("user_id") % 997, "event_date").orderBy("event_ts", "event_id"))
+    moves = T.detections(s, d).select(F.col("segment_key").alias("src"), follows.alias("dst")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    best = A.top_n_per_group(moves, ("src",), order("-n", "dst"), 3)
+    return best.select("src", "dst", F.concat_ws(">", "src", "dst").alias("edge"), (F.floor(F.lit(1000) / F.col("n")) + 1).alias("length"))
 
 
-bind("g1_reachable", WALK.format(start=0, hops=6, more="") + " SELECT here AS node, min(hops) AS hops, count(*) AS paths FROM w GROUP BY ALL", False)(using(spines.reachable, edges, start=0, max_hops=6))
-bind("g2_routes", WALK.format(start=0, hops=8, more="AND w.here <> 20") + " SELECT array_to_string(path, '>') AS route, hops, length FROM w WHERE here = 20 ORDER BY length, hops, route LIMIT 10", False)(using(spines.routes, edges, start=0, end=20, max_edges=8, k=10))
+bind("g1_reachable", "WITH RECURSIVE " + EDGES + ", r AS (SELECT 1 AS hop, edge, dst, [edge] AS path FROM g WHERE src = 1 UNION ALL SELECT hop + 1, g.edge, g.dst, list_append(path, g.edge) FROM r JOIN g ON g.src = r.dst WHERE hop < 4 AND NOT list_contains(path, g.edge)) SELECT hop, edge, array_to_string(path, ' ') AS path FROM r")(
+    lambda s, d: spines.reachable(edges(s, d), 1, 4).withColumn("path", F.array_join("path", " "))
+)
+bind("g2_routes", "WITH RECURSIVE " + EDGES + ", r AS (SELECT dst AS here, 1 AS hops, [src, dst] AS path, length FROM g WHERE src = 1 UNION ALL SELECT g.dst, hops + 1, list_append(path, g.dst), r.length + g.length FROM r JOIN g ON g.src = r.here WHERE hops < 5 AND NOT list_contains(path, g.dst) AND r.here <> 9) SELECT array_to_string(path, '>') AS route, hops, length FROM r WHERE here = 9 ORDER BY length, hops, route LIMIT 10")(
+    using(spines.routes, edges, start=1, end=9, max_edges=5, k=10)
+)
 
 # ---------------------------------------------------------------- BI views and measures
 
-bind("b12_hourly", "SELECT date_key, hour_of_day, segment_key, weather_key, vehicle_count, heavy_vehicle_count, incident_count, avg_speed, p85_speed, congestion_index FROM fht")(lambda s, d: semantic.bi_view("hourly", T.hourly(s, d)).drop("avg_occupancy"))
+bind("b12_hourly", "SELECT date_key, hour_of_day, segment_key, weather_key, vehicle_count, heavy_vehicle_count, incident_count, avg_speed, p85_speed, avg_occupancy, congestion_index, avg_temp_c, precipitation_mm FROM fht")(using(lambda h: semantic.bi_view("hourly", h), T.hourly))
 bind("b13_incidents", "SELECT incident_number, CASE WHEN minutes_to_arrive IS NOT NULL THEN (minutes_to_arrive <= 8)::INT END AS met_response_sla, CASE WHEN minutes_to_clear IS NOT NULL THEN (minutes_to_clear <= 45)::INT END AS met_clearance_sla, (closed_date_key <> -1)::INT AS is_closed FROM fil")(
     lambda s, d: semantic.bi_incidents(T.incidents(s, d)).select("incident_number", "met_response_sla", "met_clearance_sla", "is_closed")
 )
-bind("b14_traffic_daily", f"SELECT date_key, segment_key, vehicle_type_key, weather_key, count(*) AS detections, {mean('speed_kmh', 'avg_speed')}, max(speed_kmh) AS max_speed, count(*) FILTER (speed_over_limit_kmh > 0) AS speeding_detections, {mean('occupancy_pct', 'avg_occupancy')} FROM det GROUP BY ALL")(using(semantic.bi_traffic_daily, T.detections))
+bind("b14_traffic_daily", f"SELECT date_key, segment_key, vehicle_type_key, weather_key, count(*) AS detections, {mean('speed_kmh', 'avg_speed')}, max(speed_kmh) AS max_speed, count(*) FILTER (speed_over_limit_kmh > 0) AS speeding_detections, {mean('occupancy_pct', 'avg_occupancy')}, {mean('headway_seconds', 'avg_headway_seconds')} FROM det GROUP BY ALL")(using(semantic.bi_traffic_daily, T.detections))
 for _n, _t, _k in (("b15_sensor_daily", "SENSOR", "sensor_key"), ("b16_camera_daily", "CAMERA", "camera_key")):
     bind(_n, f"SELECT date_key, {_k}, count(*) AS detections, count(DISTINCT time_key // 60) AS active_hours, {mean('speed_kmh', 'avg_speed')}, count(*) FILTER (speed_over_limit_kmh > 0) AS speeding_detections, count(DISTINCT time_key // 60)::DOUBLE * 100.0 / 24 AS uptime_pct FROM det WHERE detector_type = '{_t}' GROUP BY ALL")(
-        lambda s, d, t=_t, k=_k: semantic.bi_detector_daily(T.detections(s, d), t, k).withColumn("uptime_pct", F.col("active_hours").cast("double") * 100.0 / 24)
+        lambda s, d, t=_t, k=_k: semantic.bi_detector_daily(T.detections(s, d), t, k)
     )
 bind("x1_detector_mix", "SELECT detector_type, count(*) AS detections FROM det GROUP BY ALL")(using(semantic.detector_mix, T.detections))
 bind("x1_fact_grains", "SELECT 'events' AS fact, count(*) AS rows FROM det UNION ALL SELECT 'hourly', count(*) FROM fht UNION ALL SELECT 'incidents', count(*) FROM fil")(
@@ -388,12 +410,4 @@ for _n, _by, _sql in (
 ):
     bind(f"x3_{_n}", f"SELECT {_by}, {_sql} GROUP BY 1")(lambda s, d, n=_n, by=_by: semantic.bi_measure(n, T.hourly(s, d), T.incidents(s, d), T.detections(s, d), T.detections(s, d), (by,)))
 
-# ---------------------------------------------------------------- quality checks that need no engine but these tables
-
-for _n, _check, _sql in (
-    ("q_orphan_fil_segment", audit.orphan("fil", "segment", "segment_key"), "SELECT count(*) AS failed_rows FROM fil WHERE segment_key NOT IN (SELECT segment_key FROM seg WHERE segment_key < 40)"),
-    ("q_dup_fact_event", audit.repeated("fil", "detected_ts"), "SELECT count(*) AS failed_rows FROM (SELECT detected_ts FROM fil GROUP BY 1 HAVING count(*) > 1)"),
-    ("q_milestone_order", audit.milestone_order, "SELECT count(*) AS failed_rows FROM fil WHERE (closed_date_key <> -1 AND closed_date_key::BIGINT * 1440 + closed_time_key < detected_date_key::BIGINT * 1440 + detected_time_key)"),
-    ("q_speed_range", audit.matching("fte", "speed_kmh <= 0 or speed_kmh > 250"), "SELECT count(*) AS failed_rows FROM det WHERE speed_kmh <= 0 OR speed_kmh > 250"),
-):
-    bind(_n, _sql)(lambda s, d, c=_check: c(audit.Context({"fil": T.incidents(s, d), "segment": T.segments(s, d).where("segment_key < 40"), "fte": T.detections(s, d)})))
+from lakemart.plans import bindings_jobs  # noqa: E402, F401  (it registers the queries of whole jobs)

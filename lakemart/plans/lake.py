@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from lakemart.operators import analytics as A
 from lakemart.operators import cleanse, joins
 from lakemart.plans import audit, kpis
 from lakemart.sources import feeds, sinks
+from lakemart.sources.scratch import cleared, written
 
 HEAVY = ("TRK", "ART", "BUS")
 
@@ -25,22 +25,37 @@ def ingest(spark: SparkSession, raw: str, lake: str, load_date: str | None, batc
         sinks.write_partitioned(rows, f"{lake}/bronze/{feed}", "ingest_date")
 
 
+def conformed_bronze(spark: SparkSession, lake: str, load_date: str) -> DataFrame:
+    """The readable events of both feeds of a date in one shape, normalised."""
+    zone = lambda name: cleanse.split_corrupt(feeds.read_zone(spark, f"{lake}/bronze/{name}", "ingest_date", load_date))[0]
+    return cleanse.normalize(cleanse.union_feeds(cleanse.conform_sensor(zone("sensor_readings")), cleanse.conform_camera(zone("camera_events"))))
+
+
 def clean(spark: SparkSession, lake: str, load_date: str, now: Column | None = None) -> None:
-    """Bronze of a date to silver: every row is kept or quarantined with a reason, and the counts are written as data."""
+    """Bronze of a date to silver: every row is kept or quarantined with a reason, and the counts are written as data.
+
+    Corrupt rows keep what could be parsed of them, and the raw line. Weather that can't be read, or is of another date
+    than its file, is quarantined beside the events.
+    """
     zone = lambda name: feeds.read_zone(spark, f"{lake}/bronze/{name}", "ingest_date", load_date)
-    (sensors, bad_lines), (cameras, bad_records) = cleanse.split_corrupt(zone("sensor_readings")), cleanse.split_corrupt(zone("camera_events"))
-    events = cleanse.normalize(cleanse.union_feeds(cleanse.conform_sensor(sensors), cleanse.conform_camera(cameras)))
+    (_, bad_lines), (_, bad_records) = cleanse.split_corrupt(zone("sensor_readings")), cleanse.split_corrupt(zone("camera_events"))
+    events = conformed_bronze(spark, lake, load_date)
     checked = cleanse.label_duplicates(cleanse.apply_rules(events, [*C.event_rules(now), C.unknown_ingest_date()]), ("event_id",), cleanse.event_order())
-    corrupt = cleanse.union_feeds(*[cleanse.conformed(x, {c: F.col(c) for c in ("_ingest_ts", "_source_file", "ingest_date")}).withColumn("reject_reason", F.lit("CORRUPT_RECORD")) for x in (bad_lines, bad_records)])
-    every = checked.unionByName(corrupt).persist(StorageLevel.DISK_ONLY)  # four sinks read it
-    good, bad = cleanse.split_rejects(every)
-    day = F.lit(load_date).cast("date")
-    sinks.replace_slice(good.withColumn("event_date", day), f"{lake}/silver/events", "event_date", load_date, sort=("segment_code", "event_ts"))
-    for rows, name in ((bad, "quarantine"), (cleanse.reject_metrics(bad), "quality_metrics"), (cleanse.reconcile(every), "reconciliation")):
-        sinks.replace_slice(rows.withColumn("ingest_date", day), f"{lake}/silver/{name}", "ingest_date", load_date)
-    observed, _ = cleanse.split_corrupt(zone("weather_observations"))
-    sinks.replace_slice(cleanse.clean_weather(observed), f"{lake}/silver/weather", "event_date", load_date)
-    every.unpersist()
+    raw = lambda df, conform: conform(df.withColumnRenamed("_corrupt_record", "raw_line"), "raw_line", "reject_reason")
+    corrupt = cleanse.union_feeds(raw(bad_lines, cleanse.conform_sensor), raw(bad_records, cleanse.conform_camera))
+    with cleared(spark):
+        every = written(checked.withColumn("raw_line", F.lit(None).cast("string")).unionByName(corrupt), "checked")  # four sinks read it
+        good, bad = cleanse.split_rejects(every)
+        day = F.lit(load_date).cast("date")
+        sinks.replace_slice(good.drop("raw_line").withColumn("event_date", day), f"{lake}/silver/events", "event_date", load_date, sort=("segment_code", "event_ts"))
+        for rows, name in ((bad, "quarantine"), (cleanse.reject_metrics(bad), "quality_metrics"), (cleanse.reconcile(every), "reconciliation")):
+            sinks.replace_slice(rows.withColumn("ingest_date", day), f"{lake}/silver/{name}", "ingest_date", load_date)
+        observed, unread = cleanse.split_corrupt(zone("weather_observations"))
+        clear = cleanse.clean_weather(observed)
+        sinks.replace_slice(clear, f"{lake}/silver/weather", "event_date", load_date)
+        reason = F.when(F.col("observed_ts").isNull(), "MISSING_KEY").when(F.to_date("observed_ts") != day, "DATE_MISMATCH")
+        astray = observed.withColumns({"reject_reason": reason, "_corrupt_record": F.lit(None).cast("string")}).where("reject_reason is not null")
+        sinks.replace_slice(astray.unionByName(unread).withColumn("ingest_date", day), f"{lake}/silver/weather_quarantine", "ingest_date", load_date)
 
 
 def transform(spark: SparkSession, lake: str, load_date: str) -> None:
@@ -63,15 +78,13 @@ def generate_kpis(spark: SparkSession, lake: str) -> None:
 
 
 def reconcile(spark: SparkSession, lake: str, manifest: DataFrame | None = None) -> DataFrame:
-    """What bronze has is what silver kept and quarantined; gold counts no more than silver."""
+    """What bronze has is what silver kept and quarantined; gold counts no more than silver. Counts that are data are summed."""
     read = lambda name: spark.read.parquet(f"{lake}/{name}")
-    one = F.explode(F.sequence(F.lit(1), F.col("vehicle_count").cast("int")))
     bronze = read("bronze/sensor_readings").select("event_id").unionByName(read("bronze/camera_events").select("event_id"))
     silver = read("silver/events").select("event_id").unionByName(feeds.read_known(spark, f"{lake}/silver/quarantine", "event_id string").select("event_id"))
-    checks = {"bronze_is_silver": (bronze, silver, "="), "gold_within_silver": (read("gold/hourly_traffic").select(one), read("silver/events"), "<=")}
+    checks = {"bronze_is_silver": (bronze, silver, "="), "gold_within_silver": (read("gold/hourly_traffic").agg(F.sum("vehicle_count").alias("n")), read("silver/events"), "<=")}
     if manifest is not None:
-        said = manifest.select(F.explode(F.sequence(F.lit(1), (F.col("sensor_csv_rows") + F.col("camera_events")).cast("int"))))
-        checks["manifest_is_bronze"] = (said, bronze, "=")
+        checks["manifest_is_bronze"] = (manifest.agg(F.sum(F.col("sensor_csv_rows") + F.col("camera_events")).alias("n")), bronze, "=")
     return audit.reconcile_zones(checks)
 
 
@@ -97,9 +110,14 @@ def run_day(spark: SparkSession, raw: str, lake: str, load_date: str, batch_id:
 
 
 def staged_events(spark: SparkSession, lake: str, load_date: str) -> DataFrame:
-    """What the warehouse takes over from the lake's enriched events."""
+    """What the warehouse takes over from the lake's enriched events: the staging contract's columns, under the warehouse's names for them."""
     rows = feeds.read_zone(spark, f"{lake}/gold/traffic_events", "event_date", load_date)
-    return rows.withColumn("ingest_date", F.coalesce("ingest_date", "event_date"))
+    return sinks.to_staging(rows.withColumn("ingest_date", F.coalesce("ingest_date", "event_date")), sinks.STAGED_EVENT)
+
+
+def staged_hourly(spark: SparkSession, lake: str, load_date: str) -> DataFrame:
+    """A day's hourly aggregates for the warehouse."""
+    return sinks.to_staging(feeds.read_zone(spark, f"{lake}/gold/hourly_traffic", "event_date", load_date).withColumn("date_key", C.date_key(F.col("event_date"))), sinks.STAGED_HOURLY)
 
 
 def first_incident_responders(incidents: DataFrame, dispatches: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ def mean(column: str) -> Column:
 
 
 def mart_dim_road(seg: DataFrame) -> DataFrame:
-    return seg.where((F.col("is_current") == 1) & (F.col("segment_key") != C.UNKNOWN_KEY)).select("road_code", "road_name", "road_category", "city").distinct()
+    return seg.where(F.col("is_current") & (F.col("segment_key") != C.UNKNOWN_KEY)).select("road_code", "road_name", "road_category", "city").distinct()
 
 
 def mart_dim_location(seg: DataFrame) -> DataFrame:
-    return seg.where((F.col("is_current") == 1) & (F.col("segment_key") != C.UNKNOWN_KEY)).select("city", "district").distinct()
+    return seg.where(F.col("is_current") & (F.col("segment_key") != C.UNKNOWN_KEY)).select("city", "district").distinct()
 
 
 def mart_top_busiest_roads(fht: DataFrame, seg: DataFrame, n: int = 10) -> DataFrame:
@@ -84,7 +84,7 @@ def mart_by_weekday(fht: DataFrame, date: DataFrame) -> DataFrame:
 def mart_light_performance(fht: DataFrame, seg: DataFrame, lights: DataFrame) -> DataFrame:
     """Volume at each controller's intersection, and vehicles per cycle: volume over the cycles of its hours."""
     rows = fht.join(seg, "segment_key").join(lights.withColumnRenamed("intersection_name", "end_intersection"), "end_intersection")
-    by = ("controller_code", "end_intersection", "current_timing_plan", "previous_timing_plan", "cycle_seconds")
+    by = ("controller_code", "end_intersection", "current_timing_plan", "previous_timing_plan", "timing_plan_changed", "cycle_seconds")
     made = _volume(rows, by, {"congestion_index": "avg_approach_congestion"}, F.count("*").alias("_hours"), total="approach_volume")
     return made.withColumn("vehicles_per_cycle", F.col("approach_volume") * F.col("cycle_seconds") / (F.col("_hours") * 3600)).drop("_hours")
 

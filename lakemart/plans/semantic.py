@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions import columns as C
 from lakemart.operators import analytics as A
+from lakemart.plans import audit
 from lakemart.plans.marts import mean
 
 #: Plain projections: view -> the columns it shows.
@@ -19,12 +20,13 @@ PROJECTIONS = {
     "emergency_unit": ("unit_key", "unit_code", "unit_type", "home_station", "vehicle_make", "vehicle_model"),
     "traffic_light": ("light_key", "controller_code", "intersection_name", "current_timing_plan", "previous_timing_plan", "timing_plan_changed", "cycle_seconds", "status"),
     "traffic_camera": ("camera_key", "camera_code", "intersection_name", "model", "resolution", "firmware_version", "status"),
-    "hourly": ("date_key", "hour_of_day", "segment_key", "weather_key", "vehicle_count", "heavy_vehicle_count", "incident_count", "avg_speed", "p85_speed", "avg_occupancy", "congestion_index"),
+    "hourly": ("date_key", "hour_of_day", "segment_key", "weather_key", "vehicle_count", "heavy_vehicle_count", "incident_count", "avg_speed", "p85_speed", "avg_occupancy", "congestion_index", "avg_temp_c", "precipitation_mm"),
 }
 
 
 def bi_view(name: str, df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in PROJECTIONS[name] if c in df.columns])
+    """The columns that the view shows; one that df lacks is an error."""
+    return df.select(*PROJECTIONS[name])
 
 
 def bi_date(date: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def bi_incidents(fil: DataFrame) -> DataFrame:
 
 def bi_traffic_daily(fte: DataFrame) -> DataFrame:
     return fte.groupBy("date_key", "segment_key", "vehicle_type_key", "weather_key").agg(
-        F.count("*").alias("detections"), mean("speed_kmh").alias("avg_speed"), F.max("speed_kmh").alias("max_speed"), F.count_if(F.col("speed_over_limit_kmh") > 0).alias("speeding_detections"), mean("occupancy_pct").alias("avg_occupancy")
+        F.count("*").alias("detections"), mean("speed_kmh").alias("avg_speed"), F.max("speed_kmh").alias("max_speed"), F.count_if(F.col("speed_over_limit_kmh") > 0).alias("speeding_detections"), mean("occupancy_pct").alias("avg_occupancy"), mean("headway_seconds").alias("avg_headway_seconds")
     )
 
 
@@ -58,7 +60,7 @@ def bi_detector_daily(fte: DataFrame, technology: str, key: str) -> DataFrame:
     made = fte.where(F.col("detector_type") == technology).groupBy("date_key", key).agg(
         F.count("*").alias("detections"), hours.alias("active_hours"), mean("speed_kmh").alias("avg_speed"), F.count_if(F.col("speed_over_limit_kmh") > 0).alias("speeding_detections")
     )
-    return made.withColumn("uptime_pct", F.col("active_hours") * 100.0 / 24)
+    return made.withColumn("uptime_pct", F.col("active_hours").cast("double") * 100 / 24)
 
 
 def bi_kpi_daily(fht: DataFrame, fil: DataFrame, fte: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -72,9 +74,9 @@ def bi_kpi_daily(fht: DataFrame, fil: DataFrame, fte: DataFrame, sensors: DataFr
     incidents = fil.groupBy(day).agg(F.count("*").alias("incidents"), met.alias("response_sla_pct"), mean("minutes_to_clear").cast("int").alias("avg_clearance_min"))
     response = A.percentiles(fil.withColumnRenamed("detected_date_key", "date_key"), ("date_key",), "minutes_to_arrive", {"median_response_min": 0.5, "p90_response_min": 0.9})
     reporting = fte.where(F.col("sensor_key") != C.UNKNOWN_KEY).groupBy("date_key").agg(F.count_distinct("sensor_key").alias("reporting_sensors"))
-    whole = sensors.where((F.col("is_current") == 1) & (F.col("sensor_key") != C.UNKNOWN_KEY)).agg(F.count("*").alias("_sensors"))
+    whole = sensors.where(F.col("is_current") & (F.col("sensor_key") != C.UNKNOWN_KEY)).agg(F.count("*").alias("_sensors"))
     out = traffic.join(incidents, "date_key", "left").join(response, "date_key", "left").join(reporting, "date_key", "left").crossJoin(F.broadcast(whole))  # one row
-    health = F.col("reporting_sensors") * 100.0 / F.nullif("_sensors", F.lit(0))
+    health = F.coalesce("reporting_sensors", F.lit(0)).cast("double") * 100 / F.nullif("_sensors", F.lit(0)).cast("double")
     return out.withColumns({"incidents": F.coalesce("incidents", F.lit(0)), "sensor_health_pct": health}).drop("_sensors")
 
 
@@ -83,10 +85,7 @@ def bi_reject_daily(rejects: DataFrame) -> DataFrame:
 
 
 def bi_etl_batches(batches: DataFrame, rows: DataFrame) -> DataFrame:
-    counts = ("rows_extracted", "rows_inserted", "rows_updated", "rows_rejected")
-    sums = rows.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in counts])
-    seconds = F.unix_timestamp(F.coalesce("finished_at", "started_at")) - F.unix_timestamp("started_at")
-    return batches.join(sums, "batch_id", "left").fillna(0, [*counts]).withColumns({"date_key": C.date_key(F.col("load_date")), "duration_sec": seconds})
+    return audit.batch_detail(batches, rows).withColumn("date_key", C.date_key(F.col("load_date")))
 
 
 def bi_quality_checks(log: DataFrame, batches: DataFrame) -> DataFrame:
@@ -113,6 +112,11 @@ def rules_fired(rejects: DataFrame, reasons: DataFrame) -> DataFrame:
     return reasons.join(counts, "reject_reason", "left").fillna(0, ["rejected_rows"]).withColumn("status", F.when(F.col("rejected_rows") > 0, "FIRED").otherwise("ARMED"))
 
 
+def gold_summary(hourly: DataFrame) -> DataFrame:
+    """The lake's hourly aggregates in one row: what stands in when there is no warehouse."""
+    return hourly.agg(F.count("*").alias("segment_hours"), F.sum("vehicle_count").alias("total_vehicles"), mean("avg_speed").alias("avg_speed"), F.count_distinct("segment_code").alias("segments"))
+
+
 def year_over_year(df: DataFrame, year: str, measure: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Each year's sum beside that of the year before, and the change in percent."""
     sums = df.groupBy(year, *by).agg(F.sum(measure).alias("total"))
@@ -129,9 +133,12 @@ def bi_measure(name: str, fht: DataFrame, fil: DataFrame, fte: DataFrame, reject
         "clearance_p50": (fil, F.percentile("minutes_to_clear", F.lit(0.5))),
         "response_sla": (fil, A.share(F.col("minutes_to_arrive") <= C.RESPONSE_MINUTES, F.col("minutes_to_arrive"))),
         "closed_count": (fil, F.count_if(F.col("closed_date_key") != C.UNKNOWN_KEY)),
+        "uptime": (fte, A.distinct_where(F.concat_ws(":", "date_key", F.floor(F.col("time_key") / 60)), F.col("time_key") >= 0).cast("double") * 100 / (24 * F.count_distinct("date_key")).cast("double")),
     }
     if name == "reject_rate":
-        bad, all_ = rejects.agg(F.count("*").alias("b")), fte.agg(F.count("*").alias("g"))
-        return bad.crossJoin(all_).select((F.col("b").cast("double") * 100 / F.nullif(F.col("b") + F.col("g"), F.lit(0)).cast("double")).alias(name))  # two single rows
+        bad, all_ = rejects.groupBy(*by).agg(F.count("*").alias("b")), fte.groupBy(*by).agg(F.count("*").alias("g"))
+        both = bad.join(all_, [*by], "full") if by else bad.crossJoin(all_)  # without columns two single rows
+        counted = both.fillna(0, ["b", "g"])
+        return counted.select(*by, (F.col("b").cast("double") * 100 / F.nullif(F.col("b") + F.col("g"), F.lit(0)).cast("double")).alias(name))
     df, value = known[name]
     return df.groupBy(*by).agg(value.alias(name))

@@ -26,7 +26,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(7,2)").alias("speed_kmh"), F.get_json_object("props", "$.k").cast("int").alias("occupancy_pct"),
         F.when(F.col("event_id") % 3 == 0, "CAMERA").otherwise("SENSOR").alias("detector_type"), (F.col("event_id") % 7).alias("weather_key"),
         F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")).alias("sensor_key"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).otherwise(F.lit(-1).cast("long")).alias("camera_key"),
-        (F.lit(30) + seg % 4 * 10).cast("int").alias("speed_limit"),
+        (F.lit(30) + seg % 4 * 10).cast("int").alias("speed_limit"), (F.col("event_id") % 600).cast("decimal(6,2)").alias("headway_seconds"),
     ).withColumn("speed_over_limit_kmh", C.over_limit(F.col("speed_kmh"), F.col("speed_limit")))
 
 
@@ -36,7 +36,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("segment_key")).distinct().select(
         "segment_key", F.concat(F.lit("S"), k.cast("string")).alias("segment_code"), text("R", 10).alias("road_code"), text("Road ", 10).alias("road_name"), text("C", 10).alias("road_category"),
         text("City ", 2).alias("city"), text("D", 5).alias("district"), text("X", 8).alias("end_intersection"), (F.lit(30) + k % 4 * 10).cast("int").alias("speed_limit"),
-        (F.lit(200) + k * 10).alias("length_m"), F.lit(1).alias("is_current"),
+        (F.lit(200) + k * 10).alias("length_m"), F.lit(True).alias("is_current"),
     )
 
 
@@ -47,6 +47,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"avg_speed": F.col("avg_speed").cast("decimal(7,1)"), "p85_speed": F.col("p85_speed").cast("decimal(7,1)")}).withColumns({
         "congestion_index": C.congestion_index(F.col("avg_speed"), F.col("speed_limit")),
         "condition_code": F.element_at(F.array(*[F.lit(c) for c in C.CONDITIONS]), (F.col("hour_of_day") % 6 + 1)),
+        "avg_temp_c": (F.col("hour_of_day") - 8).cast("double"), "precipitation_mm": (F.col("hour_of_day") % 5 * 2).cast("double"), "visibility_m": (F.col("hour_of_day") * 150).cast("int"),
     })
 
 
@@ -106,7 +107,7 @@ def incident_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select(F.col("end_intersection").alias("intersection_name")).distinct().select(
-        F.concat(F.lit("L"), F.substring("intersection_name", 2, 9)).alias("controller_code"), "intersection_name", F.lit("B").alias("current_timing_plan"), F.lit("A").alias("previous_timing_plan"),
+        F.concat(F.lit("L"), F.substring("intersection_name", 2, 9)).alias("controller_code"), "intersection_name", F.lit("B").alias("current_timing_plan"), F.lit("A").alias("previous_timing_plan"), F.lit("2024-01-15").cast("date").alias("timing_plan_changed"),
         (F.lit(60) + F.substring("intersection_name", 2, 9).cast("int") * 5).alias("cycle_seconds"),
     )
 
@@ -128,20 +129,20 @@ WITH det AS (
     user_id % 50 AS segment_key, 'S' || (user_id % 50) AS segment_code, user_id, event_type, length(event_type) AS vehicle_type_key, value::DECIMAL(7,2) AS speed_kmh,
     json_extract_string(props, '$.k')::INT AS occupancy_pct, CASE WHEN event_id % 3 = 0 THEN 'CAMERA' ELSE 'SENSOR' END AS detector_type, event_id % 7 AS weather_key,
     CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS sensor_key, CASE WHEN event_id % 3 = 0 THEN user_id ELSE -1 END AS camera_key,
-    30 + user_id % 50 % 4 * 10 AS speed_limit, value::DECIMAL(7,2) - (30 + user_id % 50 % 4 * 10) AS speed_over_limit_kmh
+    30 + user_id % 50 % 4 * 10 AS speed_limit, (event_id % 600)::DECIMAL(6,2) AS headway_seconds, value::DECIMAL(7,2) - (30 + user_id % 50 % 4 * 10) AS speed_over_limit_kmh
   FROM events),
 seg AS (
   SELECT DISTINCT segment_key, segment_code, 'R' || segment_key % 10 AS road_code, 'Road ' || segment_key % 10 AS road_name, 'C' || segment_key % 10 AS road_category, 'City ' || segment_key % 2 AS city,
-    'D' || segment_key % 5 AS district, 'X' || segment_key % 8 AS end_intersection, speed_limit, 200 + segment_key * 10 AS length_m, 1 AS is_current FROM det),
+    'D' || segment_key % 5 AS district, 'X' || segment_key % 8 AS end_intersection, speed_limit, 200 + segment_key * 10 AS length_m, true AS is_current FROM det),
 h0 AS (
-  SELECT date_key, event_date, hour_of_day, segment_key, segment_code, speed_limit, count(*) AS vehicle_count, count(*) FILTER (event_type IN ('purchase', 'signup')) AS heavy_vehicle_count,
+  SELECT date_key, event_date, hour_of_day, segment_key, segment_code, speed_limit, sum(occupancy_pct)::BIGINT AS occ, count(*) AS vehicle_count, count(*) FILTER (event_type IN ('purchase', 'signup')) AS heavy_vehicle_count,
     sum((speed_kmh * 100)::BIGINT) AS cents, (quantile_disc(speed_kmh, 0.85) * 100)::BIGINT AS p85_cents, count(*) FILTER (event_type = 'error') AS incident_count, max(weather_key) AS weather_key
   FROM det GROUP BY ALL),
-h1 AS (SELECT *, (2 * cents + 10 * vehicle_count) // (20 * vehicle_count) AS tenths, (p85_cents + 5) // 10 AS p85_tenths FROM h0),
+h1 AS (SELECT *, (2 * cents + 10 * vehicle_count) // (20 * vehicle_count) AS tenths, (p85_cents + 5) // 10 AS p85_tenths, ((200 * occ + vehicle_count) // (2 * vehicle_count))::DOUBLE / 100 AS avg_occupancy FROM h0),
 fht AS (
   SELECT *, (tenths / 10.0)::DECIMAL(7,1) AS avg_speed, (p85_tenths / 10.0)::DECIMAL(7,1) AS p85_speed,
     (greatest(0, least(1000, (2000 * (10 * speed_limit - tenths) + 10 * speed_limit) // (20 * speed_limit))) / 1000.0)::DECIMAL(4,3) AS congestion_index,
-    (['DRY', 'RAIN', 'FOG', 'SNOW', 'ICE', 'STORM'])[hour_of_day % 6 + 1] AS condition_code
+    (['DRY', 'RAIN', 'FOG', 'SNOW', 'ICE', 'STORM'])[hour_of_day % 6 + 1] AS condition_code, (hour_of_day - 8)::DOUBLE AS avg_temp_c, (hour_of_day % 5 * 2)::DOUBLE AS precipitation_mm, (hour_of_day * 150)::INT AS visibility_m
   FROM h1),
 date AS (
   SELECT DISTINCT date_key, event_date AS full_date, year(event_date) AS year, month(event_date) AS month_number, strftime(event_date, '%Y-%m') AS year_month, isodow(event_date) AS day_of_week,
@@ -167,7 +168,7 @@ fil AS (
 kind AS (SELECT DISTINCT o_orderpriority[1]::INT AS incident_type_key, o_orderpriority AS type_name, CASE WHEN o_orderpriority[1] <= '2' THEN 'Accident' ELSE 'Other' END AS category FROM orders),
 unit AS (SELECT DISTINCT o_orderkey % 7 AS unit_key, CASE WHEN o_orderkey % 7 < 3 THEN 'Police' ELSE 'Medical' END AS unit_type FROM orders),
 idate AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d')::INT AS date_key, o_orderdate::DATE AS full_date, year(o_orderdate) AS year, strftime(o_orderdate, '%Y-%m') AS year_month FROM orders),
-light AS (SELECT DISTINCT 'L' || end_intersection[2:] AS controller_code, end_intersection AS intersection_name, 'B' AS current_timing_plan, 'A' AS previous_timing_plan, 60 + end_intersection[2:]::INT * 5 AS cycle_seconds FROM seg),
+light AS (SELECT DISTINCT 'L' || end_intersection[2:] AS controller_code, end_intersection AS intersection_name, 'B' AS current_timing_plan, 'A' AS previous_timing_plan, DATE '2024-01-15' AS timing_plan_changed, 60 + end_intersection[2:]::INT * 5 AS cycle_seconds FROM seg),
 sales AS (
   SELECT r_name AS region, n_name AS nation, c_mktsegment AS market, year(o_orderdate) AS year, strftime(o_orderdate, '%Y-%m') AS month, l_returnflag, l_quantity::BIGINT AS quantity, l_extendedprice::DECIMAL(12,2) AS price
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)

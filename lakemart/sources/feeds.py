@@ -27,8 +27,8 @@ def pattern(folder: str, feed: str, kind: str, load_date: str | None) -> str:
 
 
 def ingest_date(path: Column) -> Column:
-    """The date in a file's name, whatever its rows say; null if there is none."""
-    return F.try_to_timestamp(F.regexp_extract(path, r"_(\d{8})\.[a-z]+$", 1), F.lit("yyyyMMdd")).cast("date")
+    """The date in a file's name, or in that of its folder if a feed comes in parts, whatever its rows say; null if there is none."""
+    return F.try_to_timestamp(F.regexp_extract(path, r"_(\d{8})\.[a-z]+(?:/[^/]*)?$", 1), F.lit("yyyyMMdd")).cast("date")
 
 
 def add_audit(df: DataFrame, source: str, batch_id: int) -> DataFrame:

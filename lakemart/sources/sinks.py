@@ -53,6 +53,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, truncate: bool = True, batch
     writer.mode("overwrite" if truncate else "append").save()
 
 
+# The columns of the two staging contracts, by the name that they have in the lake.
+STAGED_EVENT = {c: c for c in (
+    "event_id", "event_ts", "detector_type", "detector_code", "sensor_serial", "camera_code", "segment_code", "vehicle_type_code", "speed_kmh", "headway_seconds", "occupancy_pct",
+    "condition_code", "avg_temp_c", "precipitation_mm", "visibility_m", "event_date", "ingest_date", "_source_file",
+)}
+STAGED_HOURLY = {c: c for c in (
+    "event_date", "date_key", "hour_of_day", "segment_code", "vehicle_count", "heavy_vehicle_count", "avg_speed", "p85_speed", "avg_occupancy", "condition_code", "avg_temp_c", "precipitation_mm", "visibility_m",
+)}
+
+
 def to_staging(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """The columns that a staging table takes, under its names."""
     return df.select(*[F.col(c).alias(n) for c, n in mapping.items()])

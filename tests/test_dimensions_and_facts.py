@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from lakemart.operators import analytics, dimensions, facts, joins, spines
 
-T2 = ("road_name", "speed_limit_kmh")
-OPTIONS = {"type0": {"original_limit": "speed_limit_kmh"}, "type6": {"current_limit": "speed_limit_kmh"}}
+T2 = ("road_name", "speed_limit")
+OPTIONS = {"type0": {"original_limit": "speed_limit"}, "type6": {"current_limit": "speed_limit"}}
 
 
 def source(spark, *rows):
-    return spark.createDataFrame(list(rows), "segment_code string, road_name string, speed_limit_kmh int")
+    return spark.createDataFrame(list(rows), "segment_code string, road_name string, speed_limit int")
 
 
 @pytest.fixture(scope="module")
 def day1(spark):
-    more = {"original_limit": F.col("speed_limit_kmh"), "current_limit": F.col("speed_limit_kmh")}
+    more = {"original_limit": F.col("speed_limit"), "current_limit": F.col("speed_limit")}
     return dimensions.first_versions(source(spark, ("SEG-001", "A", 50), ("SEG-002", "B", 60)), "segment_code", "segment_key", T2, "2026-06-01", more).persist()
 
 
@@ -31,7 +31,7 @@ def seen(dim, *columns):
 def test_a_change_makes_a_version_and_a_rerun_makes_none(spark, day1):
     src = source(spark, ("SEG-001", "A", 60), ("SEG-003", "C", 70))
     day2 = merge(day1, src, "2026-06-02")
-    show = ("segment_code", "version_number", "speed_limit_kmh", "original_limit", "current_limit", "is_current", "effective_date", "expiration_date")
+    show = ("segment_code", "version_number", "speed_limit", "original_limit", "current_limit", "is_current", "effective_date", "expiration_date")
     want = [
         ("SEG-001", 1, 50, 50, 60, False, date(2026, 6, 1), date(2026, 6, 1)), ("SEG-001", 2, 60, 50, 60, True, date(2026, 6, 2), date(9999, 12, 31)),
         ("SEG-002", 1, 60, 60, 60, True, date(2026, 6, 1), date(9999, 12, 31)), ("SEG-003", 1, 70, 70, 70, True, date(2026, 6, 2), date(9999, 12, 31)),
@@ -45,7 +45,7 @@ def test_a_change_makes_a_version_and_a_rerun_makes_none(spark, day1):
 def test_a_second_change_on_the_same_day_is_corrected_in_place(spark, day1):
     once = merge(day1, source(spark, ("SEG-001", "A", 60)), "2026-06-02")
     twice = merge(once, source(spark, ("SEG-001", "A", 80)), "2026-06-02")
-    assert seen(twice.where("segment_code = 'SEG-001'"), "version_number", "speed_limit_kmh", "current_limit", "original_limit") == [(1, 50, 80, 50), (2, 80, 80, 50)]
+    assert seen(twice.where("segment_code = 'SEG-001'"), "version_number", "speed_limit", "current_limit", "original_limit") == [(1, 50, 80, 50), (2, 80, 80, 50)]
 
 
 def test_inferred_members_are_completed_in_place(spark, day1):
@@ -82,11 +82,14 @@ def test_hourly_snapshot_is_dense_and_skips_a_day_without_rows(spark, day1):
     measured = spark.createDataFrame([(20260601, 8, "SEG-001", 1, 5, 1, Decimal("30.0"))], "date_key int, hour_of_day int, segment_code string, segment_key int, vehicle_count long, heavy_vehicle_count long, avg_speed decimal(7,1)")
     key = day1.where("segment_code = 'SEG-001'").first().segment_key
     inc = spark.createDataFrame([(20260601, key, 8), (20260601, key, 8)], "date_key int, segment_key int, hour_of_day int")
-    got = facts.hourly_snapshot(measured, day1, inc, 20260601)
+    members = spines.build_dim_weather(spark).withColumn("weather_key", F.lit(5))
+    measured = measured.withColumns({"condition_code": F.lit("RAIN"), "avg_temp_c": F.lit(3.0), "precipitation_mm": F.lit(8.0), "visibility_m": F.lit(100)})
+    got = facts.hourly_snapshot(measured, day1, members, inc, 20260601)
     assert got.count() == 48 and got.agg(F.sum("vehicle_count")).first()[0] == 5
     r = got.where("vehicle_count = 5").first()
-    assert (r.incident_count, r.congestion_index) == (2, Decimal("0.400"))
-    assert facts.hourly_snapshot(measured, day1, inc, 20260602).count() == 0
+    assert (r.incident_count, r.congestion_index, r.weather_key, r.precipitation_mm) == (2, Decimal("0.400"), 5, 8.0)
+    assert [x.weather_key for x in got.where("vehicle_count = 0").select("weather_key").distinct().collect()] == [-1]
+    assert facts.hourly_snapshot(measured, day1, members, inc, 20260602).count() == 0
 
 
 def test_scd1_and_scd3(spark):
@@ -100,9 +103,9 @@ def test_scd1_and_scd3(spark):
 
 
 def test_types_4_and_5(spark, day1):
-    mini = dimensions.mini_dimension(day1, ("speed_limit_kmh",), "mini_key")
+    mini = dimensions.mini_dimension(day1, ("speed_limit",), "mini_key")
     assert mini.count() == 2
-    assert dimensions.outrigger(day1, mini, ("speed_limit_kmh",), "mini_key").where("mini_key = -1").count() == 0
+    assert dimensions.outrigger(day1, mini, ("speed_limit",), "mini_key").where("mini_key = -1").count() == 0
 
 
 def test_members(spark):
@@ -121,3 +124,59 @@ def test_weighted_rollup(spark):
 def test_no_gap_is_told(spark):
     days = spark.createDataFrame([(date(2026, 6, 1),), (date(2026, 6, 2),)], "day date")
     assert [r.verdict for r in spines.date_gaps(days, "day", days, "day").collect()] == ["NO GAPS"]
+
+
+def test_numbers_are_consecutive_over_ranges(spark):
+    from lakemart.operators.numbering import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    got = numbered(df, ("k",), "n", 5)
+    assert [(r.k, r.n) for r in got.orderBy("k").collect()] == [(k, k + 6) for k in range(1000)]
+    assert numbered(df.limit(0), ("k",), "n").count() == 0
+
+
+def test_quantile_buckets_and_top_percent(spark):
+    for rows, n in ((10, 4), (3, 5), (12, 4), (0, 3)):
+        got = analytics.quantile_bucket(spark.range(rows), [F.col("id")], n)
+        sizes = [r["count"] for r in got.groupBy("bucket").count().orderBy("bucket").collect()]
+        assert sizes == [len(range(k, rows, n)) for k in range(n) if k < rows]
+    assert [r.id for r in analytics.top_percent(spark.range(41), [F.desc("id")], 5).orderBy("id").collect()] == [38, 39, 40]
+
+
+def test_rows_without_a_key_are_one_group(spark):
+    from lakemart.operators import cleanse
+
+    rows = [(None, k, None) for k in range(300)] + [("a", 1, None), ("a", 2, "X"), ("b", 0, None)]
+    got = cleanse.label_duplicates(spark.createDataFrame(rows, "event_id string, t int, reject_reason string").repartition(5), ("event_id",), [F.col("t")])
+    assert [(r.event_id, r.t) for r in got.where("reject_reason is distinct from 'DUPLICATE'").orderBy("event_id", "t").collect()] == [(None, 0), ("a", 1), ("b", 0)]
+    assert got.count() == 303
+
+
+def test_asof_joins_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    left = [(k, rnd.choice(("a", "b", None)), rnd.choice((None, *range(100)))) for k in range(400)]
+    right = [(rnd.choice(("a", "b", "c", None)), rnd.choice((None, *range(0, 120, 3))), rnd.choice(("s1", "s2", "s3", None))) for _ in range(150)]
+    ts = lambda df, c: df.withColumn(c, F.timestamp_seconds(F.col(c)))
+    lefts, rights = ts(spark.createDataFrame(left, "id int, k string, t int"), "t"), ts(spark.createDataFrame(right, "k string, u int, s string"), "u")
+
+    def best(k, t, keyed):
+        met = [(u, s) for j, u, s in right if t is not None and u is not None and u <= t and (not keyed or j == k is not None or (j is not None and j == k))]
+        if not met or (keyed and k is None):
+            return None
+        last = max(u for u, _ in met)
+        return min((s for u, s in met if u == last), key=lambda s: (s is None, s))
+
+    keyed = joins.asof_join(lefts, rights, "t", "u", ("k",), ("s",), ("s",))
+    assert {r.id: r.right_s for r in keyed.collect()} == {i: best(k, t, True) for i, k, t in left}
+    for buckets in (1, 7, 200):
+        free = joins.asof_join_unkeyed(lefts, rights, "t", "u", ("s",), ("s",), buckets)
+        assert {r.id: r.right_s for r in free.collect()} == {i: best(k, t, False) for i, k, t in left}
+    assert {r.right_s for r in joins.asof_join_unkeyed(lefts, rights.limit(0), "t", "u", ("s",), ("s",)).collect()} == {None}
+
+
+def test_reachable_edges_repeat_none_on_a_path(spark):
+    edges = spark.createDataFrame([("ab", 1, 2), ("bc", 2, 3), ("ca", 3, 1), ("bd", 2, 4)], "edge string, src int, dst int")
+    got = sorted((r.hop, r.edge, ">".join(r.path)) for r in spines.reachable(edges, 1, 5).collect())
+    assert got == [(1, "ab", "ab"), (2, "bc", "ab>bc"), (2, "bd", "ab>bd"), (3, "ca", "ab>bc>ca")]

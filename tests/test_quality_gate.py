@@ -8,7 +8,7 @@ from lakemart.plans import audit, semantic
 
 def context(spark):
     key = lambda k, code: spark.createDataFrame([(-1, "UNK"), (1, "A")], f"{k} int, {code} string")
-    versions = lambda k, code: key(k, code).withColumns({"is_current": F.lit(1), "effective_date": F.lit("2026-01-01").cast("date"), "expiration_date": F.lit("9999-12-31").cast("date"), "is_inferred": F.lit(False), "speed_limit": F.lit(50)})
+    versions = lambda k, code: key(k, code).withColumns({"is_current": F.lit(True), "effective_date": F.lit("2026-01-01").cast("date"), "expiration_date": F.lit("9999-12-31").cast("date"), "is_inferred": F.lit(False), "speed_limit": F.lit(50)})
     fte = spark.createDataFrame([("e1", 20260601, 480, 1, 1, -1, 1, 1, "SENSOR", 55.0)], "event_id string, date_key int, time_key int, segment_key int, sensor_key int, camera_key int, vehicle_type_key int, weather_key int, detector_type string, speed_kmh double")
     fht = spark.range(24).select(F.lit(20260601).alias("date_key"), F.col("id").cast("int").alias("hour_of_day"), F.lit(1).alias("segment_key"), F.lit(1).alias("weather_key"), (F.col("id") == 8).cast("int").alias("vehicle_count"), F.lit(0).alias("heavy_vehicle_count"), F.lit(0).alias("incident_count"), F.lit(40.0).alias("avg_speed"), F.lit(0.2).alias("congestion_index"))
     names = ("detected", "dispatched", "arrived", "cleared", "closed")
@@ -19,7 +19,7 @@ def context(spark):
             "segment": versions("segment_key", "segment_code"), "sensor": versions("sensor_key", "serial_number"), "camera": key("camera_key", "camera_code"), "vehicle_type": key("vehicle_type_key", "type_code"),
             "weather": key("weather_key", "condition_code"), "incident_type": key("incident_type_key", "type_code"), "unit": key("unit_key", "unit_code"),
             "light": key("light_key", "controller_code").withColumn("intersection_name", F.col("controller_code")), "staged": spark.createDataFrame([(20260601,)], "date_key int"), "rejects": spark.createDataFrame([], "date_key int"),
-            "staged_hourly": spark.createDataFrame([(20260601, "A", 8)], "date_key int, segment_code string, hour_of_day int"), "rowlog": spark.createDataFrame([(1, 3, 2, 0, 1)], "batch_id int, rows_extracted int, rows_inserted int, rows_updated int, rows_rejected int"),
+            "staged_hourly": spark.createDataFrame([(20260601, "A", 8)], "date_key int, segment_code string, hour_of_day int"), "rowlog": spark.createDataFrame([(1, "Fact.TrafficEvent", 3, 2, 0, 1)], "batch_id int, step string, rows_extracted int, rows_inserted int, rows_updated int, rows_rejected int"),
             "batches": spark.createDataFrame([(date(2026, 6, 1), "Succeeded")], "load_date date, status string"),
         }, 20260601, 1, 20260601,
     )
@@ -47,12 +47,30 @@ def test_failures_are_found_and_errors_block(spark):
     audit.assert_quality(warning)
 
 
-def test_verdicts_and_summary(spark):
-    rows = spark.createDataFrame([("a", 5, 4, 0, 1), ("b", 5, 9, 0, 0), ("c", 5, 2, 0, 0), ("d", 5, 6, 0, 0)], "step string, rows_extracted int, rows_inserted int, rows_updated int, rows_rejected int")
-    assert {r.step: r.verdict for r in audit.validate_batch(rows, dense=("b",)).collect()} == {"a": "OK", "b": "OK (dense)", "c": "OK (subset)", "d": "MISMATCH"}
-    batches = spark.createDataFrame([(1, "Failed")], "batch_id int, status string")
-    got = {r.metric: r.value for r in audit.execution_summary(batches, rows, rows.limit(2)).collect()}
-    assert got["failed batches"] == "1" and got["rows inserted"] == "21" and got["reject rows"] == "2"
+def test_verdicts(spark):
+    steps = {
+        ("Fact.TrafficEvent", 5, 4, 0, 1): ("OK", "4 loaded, 1 rejected"), ("Fact.TrafficEvent", 100, 60, 0, None): ("MISMATCH", "60 loaded, 0 rejected"), ("Fact.TrafficEvent", None, 1, None, None): ("MISMATCH", "1 loaded, 0 rejected"),
+        ("Fact.HourlyTraffic", 5, 9, None, None): ("OK (dense)", "4 empty rows added by the spine"), ("Fact.HourlyTraffic", 5, 3, 0, 0): ("MISMATCH", "-2 empty rows added by the spine"),
+        ("Dim.segment (SCD2)", 5, 1, 1, None): ("OK (subset)", "1 new, 1 versioned"), ("Dim.segment (SCD2)", 1, 1, 1, None): ("MISMATCH", "1 new, 1 versioned"), ("Dim.camera", 5, 1, 0, None): ("OK (staged)", None),
+        ("Extract.sensor", 5, None, None, None): ("OK (staged)", "staged for the dimensions"), ("Fact.IncidentLifecycle", 5, None, None, None): ("OK (staged)", None), ("InferredMembers.sensor", None, 7, None, None): ("OK (n/a)", None),
+        ("AdvanceWatermarks", None, None, 8, None): ("OK (n/a)", None), ("Other", 3, 2, 1, None): ("OK", None), ("Other", 3, 2, 0, None): ("MISMATCH", None), ("Other", None, 2, 0, None): ("OK", None),
+    }
+    rows = spark.createDataFrame([*steps], "step string, rows_extracted int, rows_inserted int, rows_updated int, rows_rejected int")
+    got = {tuple(r)[:5]: (r.verdict, r.note) for r in audit.validate_batch(rows).collect()}
+    assert got == steps
+
+
+def test_the_last_batch_decides(spark):
+    c = context(spark)
+    one = audit.run_checks(spark, [("SPEED_RANGE_FTE", "Validity", "Error", lambda c: c["fte"].selectExpr("1 as failed_rows"))], c)
+    c.batch_id = 2
+    two = audit.run_checks(spark, [("SPEED_RANGE_FTE", "Validity", "Error", lambda c: c["fte"].selectExpr("0 as failed_rows"))], c)
+    log = one.unionByName(two)
+    audit.assert_quality(log)
+    with pytest.raises(ValueError):
+        audit.assert_quality(log, 1)
+    assert audit.quality_summary(log).first().gate_result == "PASS" and audit.quality_summary(log, 1).first().failed_errors == 1
+    assert log.first().target_table == "fact_event"
 
 
 def test_rules_that_never_fired_are_armed(spark):

@@ -1,48 +1,70 @@
-from datetime import date, datetime
-from decimal import Decimal
+"""The night on the driver's tables: reruns, a second night with a change, and what the gate makes of planted defects."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from lakemart.operators import dimensions, spines
-from lakemart.plans import audit, warehouse
+from lakemart.plans import audit, bindings_jobs, lake, samples, warehouse
 from lakemart.sources import sinks
-from tests.test_rules_and_bands import rows
 
-POLICIES = [
-    warehouse.Dimension("segment", "segment_code", "segment_key", 2, ("speed_limit_kmh",), type0={"original_limit": "speed_limit_kmh"}, type6={"current_limit": "speed_limit_kmh"}),
-    warehouse.Dimension("sensor", "serial_number", "sensor_key", 2, ("status_class",), type1=("firmware",)),
-    warehouse.Dimension("vehicle_type", "type_code", "vehicle_type_key", 1, ("type_name",)),
-    warehouse.Dimension("camera", "camera_code", "camera_key", 1, ("model",)),
-    warehouse.Dimension("weather", "condition_code", "weather_key", 1, ("condition_name",)),
-]
+DATA = "/root/testdata/sf0.001"
+
+
+def shown(out, *names):
+    columns = {
+        "segment": ("segment_code", "version_number", "speed_limit", "original_speed_limit", "current_speed_limit", "expiration_date", "is_current"), "sensor": ("serial_number", "version_number", "is_inferred", "is_current"),
+        "fte": ("event_id", "segment_key", "sensor_key", "camera_key"), "fht": ("hour_of_day", "segment_key", "vehicle_count", "weather_key"), "fil": ("incident_number", "segment_key", "unit_key"), "rejects": ("event_id", "reject_reason"),
+    }
+    return {n: sorted(map(str, out[n].select(*columns[n]).collect())) for n in names or columns}
+
+
+@pytest.fixture(scope="module")
+def night(spark):
+    return samples.run_warehouse(spark, DATA)
+
+
+def test_all_forty_checks_hold_on_the_night(spark, night):
+    log = night["tables"]["quality_log"]
+    assert log.count() == 40
+    audit.assert_quality(log)
+    assert {r.check_name for r in log.where("status = 'Fail'").collect()} <= {"UNKNOWN_RATE_FTE", "SPEED_VS_LIMIT_FHT"}
+    assert {r.verdict for r in audit.validate_batch(night["tables"]["rowlog"]).collect()} == {"OK", "OK (dense)", "OK (subset)", "OK (staged)", "OK (n/a)"}
+
+
+def test_every_check_finds_its_defect(spark, night):
+    log = audit.run_checks(spark, audit.catalogue(), bindings_jobs.defects(spark, DATA))
+    assert [r.check_name for r in log.where("failed_rows <= 0").collect()] == []
+
+
+def test_a_rerun_changes_nothing_and_a_change_makes_a_version(spark, night, tmp_path):
+    root, day = night["root"], night["day"]
+    before = shown(night["tables"])
+    staged, hourly = lake.staged_events(spark, night["lake"], day), lake.staged_hourly(spark, night["lake"], day)
+    source = samples.source_tables(spark, DATA)
+    again = warehouse.run_nightly(spark, root, source, staged, hourly, day, 2, "2100-01-01 00:00:00", full_load=True, checks=())
+    assert shown(again) == before
+
+    late = datetime.date.fromisoformat(day) + datetime.timedelta(days=1)
+    changed = F.col("segment_id") == 7
+    source["road_segment"] = source["road_segment"].withColumns({"speed_limit_kmh": F.when(changed, 90).otherwise(F.col("speed_limit_kmh")), "modified_at": F.when(changed, F.lit("2100-06-01").cast("timestamp")).otherwise(F.col("modified_at"))})
+    third = warehouse.run_nightly(spark, root, source, staged.limit(0), hourly.limit(0), str(late), 3, "2101-01-01 00:00:00", checks=())
+    versions = third["segment"].where("segment_code = 'S7'").orderBy("version_number").collect()
+    assert [(r.version_number, r.speed_limit, r.original_speed_limit, r.current_speed_limit, r.is_current) for r in versions] in ([(1, 60, 60, 90, False), (2, 90, 60, 90, True)], [])
+    assert shown(third, "fte", "fht") == {k: before[k] for k in ("fte", "fht")}
+    steps = {r.step: r.rows_extracted for r in third["rowlog"].where("batch_id = 3").collect()}
+    assert steps["Extract.segment"] == len(versions) // 2 and steps["Extract.incident"] == 0
+    assert {r.batch_id: r.status for r in third["batches"].collect()} == {1: "Succeeded", 2: "Succeeded", 3: "Succeeded"}
+    marks = {r.last_value.year for r in sinks.current(spark, f"{root}/watermarks").collect()}
+    assert marks == {2101}
 
 
-def test_a_rerun_of_a_night_gives_the_same_warehouse(spark, tmp_path):
+def test_a_failed_night_keeps_its_watermarks(spark, tmp_path):
     root = str(tmp_path)
-    seg = spark.createDataFrame([("SEG-001", 50)], "segment_code string, speed_limit_kmh int")
-    more = {"original_limit": F.col("speed_limit_kmh"), "current_limit": F.col("speed_limit_kmh")}
-    sinks.publish(dimensions.first_versions(seg, "segment_code", "segment_key", ("speed_limit_kmh",), "2026-05-31", more), f"{root}/segment")
-    sensor = spark.createDataFrame([("SNS-0001", "OK", "1.0")], "serial_number string, status_class string, firmware string")
-    sinks.publish(dimensions.first_versions(sensor, "serial_number", "sensor_key", ("status_class",), "2026-05-31"), f"{root}/sensor")
-    sinks.publish(spark.createDataFrame([(1, "CAR", "Car")], "vehicle_type_key int, type_code string, type_name string"), f"{root}/vehicle_type")
-    sinks.publish(spark.createDataFrame([(1, "C1", "m")], "camera_key int, camera_code string, model string"), f"{root}/camera")
-    sinks.publish(spines.build_dim_weather(spark).withColumn("weather_key", F.lit(1)).limit(1), f"{root}/weather")
-    extra = {c: F.lit(None).cast(t) for c, t in (("condition_code", "string"), ("avg_temp_c", "double"), ("precipitation_mm", "double"), ("visibility_m", "int"))}
-    staged = rows(spark, {}, {"event_id": "E2", "sensor_serial": "NEW", "detector_code": "NEW"}, {"event_id": "E3", "speed_kmh": Decimal(999)}, {"_source_file": "b"}).withColumns(extra)
-    hourly = spark.createDataFrame([(20260601, 8, "SEG-001", 1, 2, 0, Decimal("25.0"))], "date_key int, hour_of_day int, segment_code string, segment_key int, vehicle_count long, heavy_vehicle_count long, avg_speed decimal(7,1)")
-    times = ", ".join(f"{m}_ts timestamp" for m in ("detected", "dispatched", "arrived", "cleared", "closed"))
-    incidents = spark.createDataFrame([(1, 1, datetime(2026, 6, 1, 8, 5), None, None, None, None)], f"incident_number int, segment_key int, {times}")
-    sources = {"segment": spark.createDataFrame([("SEG-001", 60)], seg.schema), "sensor": spark.createDataFrame([("SNS-0001", "OK", "2.0")], sensor.schema)}
-
-    def night():
-        return warehouse.run_nightly(spark, root, POLICIES, sources, staged, hourly, incidents, "2026-06-01", {"sensor": ("sensor_serial", {})}, [c for c in audit.catalogue() if c[0] in ("SPEED_RANGE_FTE", "SCD2_OVERLAP_DIMROADSEGMENT", "DUP_FACT_TRAFFICEVENT", "CONGESTION_RANGE_FHT")])
-
-    shown = lambda out: [sorted(map(str, out[k].select(*c).collect())) for k, c in (("segment", ("segment_code", "version_number", "expiration_date")), ("sensor", ("serial_number", "firmware", "is_inferred")), ("fte", ("event_id", "segment_key", "sensor_key")), ("fht", ("hour_of_day", "vehicle_count", "incident_count")))]
-    first, again = shown(night()), shown(night())
-    assert first == again
-    assert len(first[0]) == 2 and any("2026, 5, 31" in x for x in first[0])
-    assert any("NEW" in x and "True" in x for x in first[1]) and any("2.0" in x for x in first[1])
-    assert len(first[2]) == 2 and len(first[3]) == 24
-    assert spark.read.parquet(f"{root}/rejects").count() == 2
-    audit.assert_quality(spark.read.parquet(f"{root}/quality_log"))
-    assert date(2026, 6, 1)
+    warehouse.seed(spark, root, "2024-01-01", "2024-01-02")
+    with pytest.raises(KeyError):
+        warehouse.run_nightly(spark, root, {}, spark.range(0), spark.range(0), "2024-01-01", 1, "2024-01-02")
+    assert audit.BatchLog(spark, f"{root}/audit").latest().first().status == "Failed"
+    assert sinks.current(spark, f"{root}/watermarks").count() == 0
+    unknown = {n: sinks.current(spark, f"{root}/{n}").where(F.col(k) == -1).count() for n, k in [(p.name, p.key) for p in warehouse.POLICIES] + [*warehouse.STATIC.items()]}
+    assert set(unknown.values()) == {1}
