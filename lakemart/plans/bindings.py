@@ -366,12 +366,12 @@ bind("g5_time_join", "SELECT CASE WHEN t < 360 THEN 'Night' WHEN t < 600 THEN 'M
 bind("g7_unknown_member", "SELECT segment_key, segment_code, speed_limit FROM seg UNION ALL SELECT -1, 'UNKNOWN', NULL")(
     lambda s, d: spines.with_unknown_member(spines.with_unknown_member(T.segments(s, d).select("segment_key", "segment_code", "speed_limit"), "segment_key", {"segment_code": "UNKNOWN"}), "segment_key", {"segment_code": "UNKNOWN"})
 )
-EDGES = "m AS (SELECT segment_key AS src, lead(segment_key) OVER (PARTITION BY user_id % 997, event_date ORDER BY event_ts, event_id) AS dst FROM det), w AS (SELECT src, dst, count(*) AS n FROM m WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL), g AS (SELECT src, dst, src || '>' || dst AS edge, 1000 // n + 1 AS length FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 3)"
+EDGES = "m AS (SELECT segment_key AS src, lead(segment_key) OVER (PARTITION BY event_id // 64 ORDER BY event_ts, event_id) AS dst FROM det), w AS (SELECT src, dst, count(*) AS n FROM m WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL), g AS (SELECT src, dst, src || '>' || dst AS edge, 1000 // n + 1 AS length FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 3)"
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    """Moves between segments: of each segment the three next ones that successive events of a group of users go to most often; frequent moves are short."""
-    follows = F.lead("segment_key").over(Window.partitionBy(F.col("user_id") % 997, "event_date").orderBy("event_ts", "event_id"))
+    """Moves between segments: of each segment the three that most often follow it in time within blocks of 64 event numbers; frequent moves are short."""
+    follows = F.lead("segment_key").over(Window.partitionBy(F.floor(F.col("event_id") / 64)).orderBy("event_ts", "event_id"))
     moves = T.detections(s, d).select(F.col("segment_key").alias("src"), follows.alias("dst")).where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     best = A.top_n_per_group(moves, ("src",), order("-n", "dst"), 3)
     return best.select("src", "dst", F.concat_ws(">", "src", "dst").alias("edge"), (F.floor(F.lit(1000) / F.col("n")) + 1).alias("length"))
