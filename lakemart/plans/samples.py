@@ -34,11 +34,13 @@ def _every(n: int) -> Column:
     return F.col("event_id") % n == 0
 
 
-def raw_events(spark: SparkSession, sf_dir: str, day: date) -> DataFrame:
-    """All events, moved to one day, with defects: some codes are blank or N/A, some speeds, shares, times and directions wrong."""
+def raw_events(spark: SparkSession, sf_dir: str, day: date, copies: int = 1) -> DataFrame:
+    """All events, each `copies` times with ids of their own, moved to one day, with defects: some codes are blank or N/A, some speeds, shares, times and directions wrong."""
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit(day).cast("timestamp")) + F.unix_timestamp(F.col("event_ts").cast("timestamp")) % 86400)
     moved = F.when(_every(67), F.date_add(F.lit(day), 365)).when(_every(71), F.date_sub(F.lit(day), 1))
     rows = T.detections(spark, sf_dir).withColumn("ts", ts)
+    if copies > 1:
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("event_id", F.col("event_id") * copies + F.col("copy"))
     at = F.when(moved.isNotNull(), F.timestamp_seconds(F.unix_timestamp(moved.cast("timestamp")) + F.unix_timestamp("ts") % 86400)).otherwise(F.col("ts"))
     return rows.select(
         F.col("event_id").alias("id"), F.col("event_id"), at.alias("event_ts"), (F.col("event_id") % 3 == 0).alias("is_camera"), F.when(_every(97), "").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("detector"),
@@ -47,14 +49,14 @@ def raw_events(spark: SparkSession, sf_dir: str, day: date) -> DataFrame:
     )
 
 
-def land(spark: SparkSession, sf_dir: str) -> dict[str, object]:
-    """The three feeds of a day and its manifest as files, and a few lines of the next day: {raw, day}."""
-    made, fresh = _once("feeds", spark, sf_dir)
+def land(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]:
+    """The three feeds of a day as files, and a few lines of the next day: {raw, day}."""
+    made, fresh = _once(f"feeds {copies}", spark, sf_dir)
     if not fresh:
         return made
     day, raw = first_day(spark, sf_dir), f"{fresh_path(spark, 'feeds')}/raw"
     tag, next_tag = day.strftime("%Y%m%d"), (day + timedelta(days=1)).strftime("%Y%m%d")
-    rows = raw_events(spark, sf_dir, day)
+    rows = raw_events(spark, sf_dir, day, copies)
     sensors = rows.where("not is_camera")
     told = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
     line = F.concat_ws(",", "event_id", told, "detector", "segment_code", "direction", "event_type", "speed_kmh", "headway_seconds", "occupancy_pct")
@@ -79,11 +81,11 @@ def land(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     return made
 
 
-def run_lake(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+def run_lake(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]:
     """The lake after a day's jobs over the landed feeds: {lake, day, raw}."""
-    made, fresh = _once("lake", spark, sf_dir)
+    made, fresh = _once(f"lake {copies}", spark, sf_dir)
     if fresh:
-        fed = land(spark, sf_dir)
+        fed = land(spark, sf_dir, copies)
         path = fresh_path(spark, "lake")
         lake.run_day(spark, fed["raw"], path, fed["day"], 1, now=(F.lit(fed["day"]).cast("date") + F.expr("interval 10 days")).cast("timestamp"))
         made.update(fed, lake=path)
