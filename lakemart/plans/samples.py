@@ -21,9 +21,9 @@ PLAIN = {"header": "true", "sep": "\u0001", "quote": "\u0002", "compression": "n
 
 
 def _once(kind: str, spark: SparkSession, sf_dir: str) -> tuple[dict[str, object], bool]:
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    fresh = key not in _made
-    return _made.setdefault(key, {}), fresh
+    """(what was made under this name, filled in once it is whole; whether it is still to be made)."""
+    made = _made.setdefault((kind, spark.sparkContext.applicationId, sf_dir), {})
+    return made, not made
 
 
 def first_day(spark: SparkSession, sf_dir: str) -> date:

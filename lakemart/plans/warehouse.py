@@ -13,6 +13,7 @@ from lakemart.functions import columns as C
 from lakemart.operators import cleanse, dimensions, facts, spines
 from lakemart.plans import audit, extracts
 from lakemart.sources import feeds, sinks
+from lakemart.sources.scratch import cleared
 
 VERSIONED = "effective_date date, expiration_date date, is_current boolean, version_number int, is_inferred boolean, hash_diff string"
 
@@ -155,7 +156,8 @@ def run_nightly(
     began, day = datetime.now(timezone.utc), datetime.strptime(load_date, "%Y-%m-%d").date()
     log.put(batch_id, pipeline, day, "Running", began)
     try:
-        out = _run(spark, root, tables, staged, hourly, load_date, batch_id, upper, full_load, checks, log)
+        with cleared(spark):
+            out = _run(spark, root, tables, staged, hourly, load_date, batch_id, upper, full_load, checks, log)
     except Exception as e:
         log.put(batch_id, pipeline, day, "Failed", began, str(e)[:500])
         raise
