@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import fitting, matrix, numbered, runs, settled, written
+from lakemart.llm.shared import fitting, matrix, runs, settled, written
+from lakemart.operators.numbering import numbered
 
 SCALE = 1024
 #: Products of lengths under which inner products are exact in doubles and in 64-bit integers.
@@ -70,14 +71,13 @@ def rotations(vectors: DataFrame) -> Rotation:
     return out
 
 
-def _blocks(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
-    """Rows sorted by dim and descending length -> the same with their block; blocks of a dimension are numbered by descending length."""
+def blocked(vectors: DataFrame, rows: int) -> DataFrame:
+    """vectors with their block: `rows` neighbours by descending length, of one dimension. Blocks of a dimension are numbered by descending length.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, run in numbered(batches, ["dim"], rows):
-            yield from run.append_column("block", pa.array(np.full(len(run), block))).combine_chunks().to_batches()
-
-    return of
+    Numbers run over all partitions, so blocks are full however many partitions there are.
+    """
+    placed = numbered(vectors, ("dim", F.desc("length"), "row"), "number")
+    return placed.withColumn("block", F.col("dim") * F.lit(1 << 40) + F.floor((F.col("number") - 1) / rows)).drop("number")
 
 
 def integer_products(query: np.ndarray, x: np.ndarray, bound: float) -> np.ndarray:
@@ -201,10 +201,8 @@ def _search(embeddings: DataFrame, every: int, k: int, block: int, query_block:
     vectors = written(rows.mapInArrow(_whole, VECTORS), "vectors")
     turns = rotations(vectors)
     block, query_block = (fitting(n, max(turns, default=1)) for n in (block, query_block))
-    order = ("dim", F.desc("length"), "row")
-    by_length = lambda df, n: df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(n), VECTORS + ", block long")
-    candidates = written(by_length(vectors, block), "candidates")
-    asked = written(by_length(vectors.where(F.col("vec_id") % every == 0), query_block).withColumnRenamed("block", "query_block"), "queries")
+    candidates = blocked(vectors, block)
+    asked = blocked(vectors.where(F.col("vec_id") % every == 0), query_block).withColumnRenamed("block", "query_block")
     blocks = written(candidates.groupBy("dim", "block").agg(F.max("length").alias("longest")), "blocks")
     # The first look is at the longest block of each dimension: one row a dimension.
     first = blocks.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("block"))
