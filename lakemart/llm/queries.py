@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemart.llm import embedding_near_dedup, language_id, line_dedup, mixing, packing, pii, shard_shuffle, simhash_near_dedup, topk_search, warc
+from lakemart.llm import (
+    centroid_clustering, divergence_audit, embedding_near_dedup, language_id, line_dedup, mixing, packing, pii, shard_shuffle, simhash_near_dedup, substring_dedup, topk_search, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +58,50 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_line_dedup, op3_language_id, op4_topk_search, op5_embedding_near_dedup,
         op6_pii, op7_packing, op8_mixing, op9_shard_shuffle, op10_simhash_near_dedup,
+        op11_source_divergence, op12_centroid_clustering, op13_substring_dedup,
     )
 }
 
+def clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """The assignments of all rounds, one after the other."""
+    steps = [f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x FROM v QUALIFY k < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT v.vec_id, v.x, min({k} * list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT + c.k) AS code
+  FROM v, c{r} c GROUP BY v.vec_id, v.x)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+  SELECT k, i, sum(y) AS s, count(*) AS n FROM (SELECT code % {k} AS k, unnest(range(1, 65)) AS i, unnest(x) AS y FROM a{r}) GROUP BY k, i),
+c{r + 1} AS (
+  SELECT c.k, coalesce(m.x, c.x) AS x
+  FROM c{r} c LEFT JOIN (SELECT k, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY k) m ON c.k = m.k)""")
+    return ",\n".join(steps) + f"""
+SELECT a.vec_id, c.k::INT AS cluster, (a.code // {k})::BIGINT AS distance, (sum(a.code // {k}) OVER (PARTITION BY c.k))::BIGINT AS cluster_inertia,
+  (sum(a.code // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.code % {k}"""
+
+
 ORACLES = {
     "op1_warc_dictionary": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -113,4 +151,42 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(n.total, 0) + l.v) AS p,
+    1 + (1000000000 * (k.lang_n + 1)::HUGEINT) // (l.total + l.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)),
+both_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_centroid_clustering": clustering_sql(),
+    "op13_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda s: array_to_string(w[s:s + 19], ' '))) AS x
+  FROM d WHERE len(w) >= 20),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS place FROM h) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM later),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+rest AS (
+  SELECT word.doc_id, count(gone.k) AS n, string_agg(word, ' ' ORDER BY word.k) FILTER (gone.k IS NULL) AS text
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k GROUP BY word.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(rest.n, 0)::BIGINT AS n_removed, sha256(coalesce(rest.text, '')) AS kept_sha256
+FROM d LEFT JOIN rest ON rest.doc_id = d.doc_id""",
 }
