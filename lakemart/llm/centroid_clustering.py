@@ -209,8 +209,8 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) per vector of `vectors` (vec_id, embedding).
 
     Vectors are kept that have dim components, none null or non-finite; component x counts as the integer floor(scale * x).
-    Centroids start as the k vectors of the smallest order_of, of rows that share an id those that come first as packed
-    bytes; fewer vectors give fewer centroids. Each round assigns every vector to its nearest centroid and replaces each
+    Centroids start as the k vectors of the smallest order_of, of rows that share an id those of the smallest components;
+    fewer vectors give fewer centroids. Each round assigns every vector to its nearest centroid and replaces each
     centroid that has vectors by the floor of their mean, exactly. Ties go to the smaller number. Null and repeated ids
     are kept, and each row counts. Distances and their sums past a long are given as the greatest long. Other columns are
     ignored. An empty table gives an empty result.
@@ -221,16 +221,17 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
 def _cluster(vectors: DataFrame, k: int, rounds: int, dim: int, scale: int, seed: int) -> DataFrame:
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") == dim)
-    rows = rows.mapInArrow(_packed(dim, scale), f"vec_id {kind}, small boolean, x binary")
-    some = rows.select(order_of("vec_id", seed).alias("order"), "small", "x").orderBy("order", "x").limit(SAMPLE if k <= SAMPLE else k).collect()  # of bounded size
-    sample = [integers([bytes(r.x)], r.small, scale)[0].tolist() for r in some]
+    sized = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") == dim)
+    whole = sized.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < math.inf)))
+    some = whole.select(order_of("vec_id", seed).alias("order"), "v").orderBy("order", "v").limit(max(k, SAMPLE)).collect()  # of bounded size
+    sample = [[int(x * scale // 1) if abs(x) < 1 << 53 else int(x) * scale for x in r.v] for r in some]
     centroids = sample[:k]
     pivots = [sample[j] for j in farthest_first(np.array(sample, object).reshape(-1, dim), PIVOTS)]
 
     def shipped():
         return spark.sparkContext.broadcast(Assigner(centroids, pivots, dim, scale))  # k + PIVOTS vectors
 
+    rows = sized.mapInArrow(_packed(dim, scale), f"vec_id {kind}, small boolean, x binary")
     kept = written(rows.mapInArrow(_measured(shipped()), f"vec_id {kind}, small boolean, x binary, pivots binary"), "vectors")
     for _ in range(rounds if centroids else 0):
         sums = kept.mapInArrow(_summed(shipped()), "cluster int, part int, place int, digit long").groupBy("cluster", "part", "place").agg(F.sum("digit").alias("digit"))
