@@ -89,15 +89,17 @@ class LanguageFilter:
 def learn(docs: DataFrame, docs_per_language: int = 2000, rate: float = 2e-5) -> LanguageFilter:
     """Learn from the whole texts of docs (text, lang): an n-gram belongs to a language if at least `rate` of its n-grams are that one.
 
-    Rows without a text or a lang teach nothing. At most `docs_per_language` documents of a language are used, chosen by a
-    hash of the text; if a language has fewer, all. The filter has a fixed size, and the driver gets its slots alone.
+    Rows without a text or a lang teach nothing. About `docs_per_language` rows of a language are used, drawn row by
+    row, so that copies are drawn apart and no language vanishes; if a language has no more than that, all. An empty table
+    gives a filter of no language. The filter has a fixed size, and the driver gets its slots alone.
     """
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return LanguageFilter([], np.zeros((1 << SLOT_BITS, 1), np.uint64))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_per_language / n))]), F.col("lang"))
-    taught = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = known.withColumn("draw", F.xxhash64("text", F.monotonically_increasing_id()))
+    taught = drawn.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +177,8 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     score is the share of the text's n-grams that are the language's, corrected: of N n-grams a language that has none is
     given N * f by chance, f its false-positive rate. Equal scores go to the first language by name. A text that is null
-    or has no letter is `und` with score 0; so is any, if the model knows no language. Other columns are ignored.
+    or has no letter is `und` with score 0; so is any, if the model knows no language. Other columns are ignored. Null
+    and repeated ids are kept; an empty table gives an empty result.
     """
     return _scored(docs, F.col("doc_id"), model, False).withColumnRenamed("carried", "doc_id")
 
@@ -186,7 +189,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, **options: float) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang); learned from rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang); learned from rows that are not held out.
+
+    Repeated rows give repeated results, and an empty table gives an empty one. For nulls see predict.
+    """
     model = learn(docs.where(~held_out()), **options)
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -194,7 +200,7 @@ def identify(docs: DataFrame, **options: float) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.1, **options: float) -> DataFrame:
     """docs, all columns, of the rows whose language is known with a score of `least` or more; lang is then what was found.
 
-    The model learns from docs' own text and lang. Text goes through the scorer beside the other columns, so nothing is joined.
+    The model learns from docs' own text and lang. Repeated rows stay or go alike; an empty table stays empty. Text goes through the scorer beside the other columns, so nothing is joined.
     """
     text = {"text": F.col("text").cast("string").alias("text")}  # a struct of all columns, which has the text in it
     scored = _scored(docs, F.struct(*[text.get(c, F.col(f"`{c}`")) for c in docs.columns]), learn(docs, **options), True)

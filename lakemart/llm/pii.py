@@ -18,11 +18,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import written
+from lakemart.llm.shared import cleared, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Strict patterns. Where a run of one class of characters can't match from its first, it can't from a later one.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -268,20 +267,28 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, sample_docs: int = 1200, sample_chars: int = 4000, rounds: int = 1200, trees: int = 16, depth: int = 5, precision: float = 0.99) -> Scorer:
     """Fit the trees on candidates of a sample with personal data planted in it, and calibrate each kind's threshold on as many others.
 
-    The sample is of `sample_docs` rows at most, by a hash of doc_id and text, of each a stretch of `sample_chars`
-    characters from a random place; equal stretches count once. Made-up personal data of every kind, in strict and in
+    The sample is of `sample_docs` distinct texts at most, by a hash of the text, of each a stretch of `sample_chars`
+    characters from a random place; equal texts and equal stretches count once. Made-up personal data of every kind, in strict and in
     other formats, and look-alikes are put between the words, over so many rounds that `rounds` texts come together, so
     a small or clean corpus teaches as much as a large one. The corpus's own candidates count as well: those of strict
     patterns as personal data, others as none. Half of the texts fit the trees; on the other half each kind's threshold
     is the lowest with the given precision, and a kind that doesn't reach it adds nothing. Without any text there is no
     model, and base spans are all.
     """
-    text, draw = F.col("text").cast("string"), F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text").cast("string"))
-    begin = F.pmod(F.xxhash64(F.lit("begin"), F.col("doc_id"), F.col("text").cast("string")), F.greatest(F.lit(1), F.length(text) - sample_chars)) + 1
-    share = min(1.0, 4 * sample_docs / max(1, docs.count()))  # about four times the sample meets in the task that orders it, whatever the table's size
-    drawn = docs.where(text.isNotNull() & (F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30)))
-    some = drawn.select(draw.alias("draw"), F.substring(text, begin.cast("int"), F.lit(sample_chars)).alias("text")).orderBy("draw", "text").limit(sample_docs)
-    sample = written(some.groupBy("text").agg(F.min("draw").alias("draw")), "sample")
+    with cleared(docs.sparkSession):
+        return _train(docs, sample_docs, sample_chars, rounds, trees, depth, precision)
+
+
+def _train(docs: DataFrame, sample_docs: int, sample_chars: int, rounds: int, trees: int, depth: int, precision: float) -> Scorer:
+    text = F.col("text").cast("string")
+    draw = F.xxhash64(F.lit("sample"), text)
+    begin = F.pmod(F.xxhash64(F.lit("begin"), text), F.greatest(F.lit(1), F.length(text) - sample_chars)) + 1
+    texts = docs.where(text.isNotNull())
+    # About four times the sample meets in the task that orders it, whatever the table's size and however often texts repeat.
+    share = min(1.0, 4 * sample_docs / max(1, texts.agg(F.approx_count_distinct(draw)).first()[0]))
+    drawn = texts.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30))
+    some = drawn.select(draw.alias("draw"), F.substring(text, begin.cast("int"), F.lit(sample_chars)).alias("text"))
+    sample = written(some.groupBy("text").agg(F.min("draw").alias("draw")).orderBy("draw", "text").limit(sample_docs), "sample")
     have = sample.count()
     if not have:
         return Scorer([], [], {})
@@ -356,4 +363,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame, **options: float) -> DataFrame:
+    """What find gives with a model fitted on docs (doc_id, text) themselves; see train for options.
+
+    A null text is an empty one. Null and repeated ids are kept, and repeated rows give repeated results. Other columns
+    are ignored. An empty table, or one without any text, gives base spans alone.
+    """
     return find(docs, train(docs, **options))

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemart.llm.shared import fresh_path, prefix_sums
+from lakemart.llm.shared import cleared, fresh_path, prefix_sums, written
 
+#: A bucket of so many times the size aimed at, which takes many equal rows, is cut into parts.
+FULL = 4
 OWN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -47,22 +49,45 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
     Law `rows`: the shards' counts differ by one at most. slot is the place in the shard, from 0 without gaps; size is
     the UTF-8 bytes of the text (null: none) plus 8; text_crc32 is 0 for null; grown_shard is null, as more shards move
     rows anywhere. Buckets are drawn by a hash of doc_id and text, so groups of equal texts, rows without a doc_id and
-    rows that repeat an id spread over all buckets; only rows equal in both stay together. An input column that has the
-    name of an added one, in letters of any case, keeps its values under that name with `_in` added. An empty table gives an empty result.
+    rows that repeat an id spread over all buckets. Rows equal in both would meet in one: a bucket over FULL times
+    bucket_bytes is cut into parts by the rows' numbers in a written copy of the table, so no task holds more than its
+    share. Rows equal in both are told apart by their other columns; those equal in all are exchangeable. An input column
+    that has the name of an added one, in letters of any case, keeps its values under that name with `_in` added. An empty
+    table gives an empty result.
     """
-    spark = docs.sparkSession
+    path = path or fresh_path(docs.sparkSession, "shards")
+    with cleared(docs.sparkSession):
+        out = _placed(docs, shards, bucket_bytes, seed)
+        out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _placed(docs: DataFrame, shards: int, bucket_bytes: int, seed: int) -> DataFrame:
     names = kept_names(docs.columns)
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    scattered = docs.select(F.pmod(key, F.lit(buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    counts = docs.select(F.pmod(key, F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    places = prefix_sums(counts, "bucket", "n")
+    bucket = F.pmod(key, F.lit(buckets))
+    plain = [f"`{f.name}`" for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    scattered = docs.select(
+        bucket.alias("bucket"), F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("key"), F.xxhash64(*plain).alias("other"), size.alias("bytes"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    counted = docs.select(bucket.alias("bucket"), F.least(size, F.lit(bucket_bytes)).alias("bytes"))  # a longer text fills a bucket, and can't be cut
+    counts = written(counted.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "bucket-counts")
+    full = counts.where(F.col("bytes") > FULL * bucket_bytes).select("bucket", F.ceil(F.col("bytes") / bucket_bytes).alias("parts"))
+    if not full.isEmpty():
+        numbered = written(scattered.withColumn("number", F.monotonically_increasing_id()), "scattered", compression="zstd")
+        cut = numbered.join(written(full, "full-buckets"), "bucket", "left")
+        part = F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 2), "number"), "parts"), F.lit(0))
+        scattered = cut.withColumn("bucket", F.col("bucket") + part * buckets).drop("number", "parts", "bytes")
+        counts = written(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "part-counts")
+    places = prefix_sums(counts.select("bucket", "n"), "bucket", "n")
 
     def shuffled(rows: pa.Table, place: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by("key")
+        rows = rows.combine_chunks().sort_by([("key", "ascending"), ("other", "ascending")])
         bucket = rows.column("bucket")[0].as_py()
         order = fisher_yates(len(rows), [seed, bucket])
         start, whole = place.column("start")[0].as_py(), place.column("whole")[0].as_py()
@@ -72,9 +97,9 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
         return pa.table([rows.column("row").take(pa.array(order)), pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], names=["row", "shard", "slot"])
 
     shape = T.StructType([scattered.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    placed = scattered.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(shuffled, shape)
+    placed = scattered.drop("bytes").groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(shuffled, shape)
     own = F.col("row").getField("text").cast("string")
-    out = placed.select(
+    return placed.select(
         *[F.col("row").getField(c).alias(n) for c, n in zip(docs.columns, names, strict=True)],
         (F.coalesce(F.octet_length(own), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(own.cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
@@ -83,6 +108,3 @@ def shuffle_into_shards(docs: DataFrame, path: str | None = None, shards: int =
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
-    path = path or fresh_path(spark, "shards")
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return spark.read.schema(out.schema).parquet(path)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemart.llm.shared import fresh_path, written
+from lakemart.llm.shared import fresh_path, settled, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,9 +143,9 @@ def records_of(raw: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         if line.strip() != b"WARC/1.1":
             raise ValueError("a record begins with something else than its version")
         headers = {}
-        while (line := stream.readline().strip()) != b"":
-            key, _, value = line.decode().partition(": ")
-            headers[key] = value
+        while (line := stream.readline().rstrip(b"\r\n")) != b"":
+            key, _, value = line.decode().partition(":")
+            headers[key] = value.removeprefix(" ")
         block = stream.read(int(headers["Content-Length"]))
         if stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
@@ -191,6 +191,13 @@ def read_archives(manifest: DataFrame, directory: str, payloads: bool = True) ->
 
 
 def round_trip(pages: DataFrame, **options: int) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, as read back from archives in the shared folder."""
-    directory = fresh_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, directory, **options), directory, payloads=False).drop("url", "payload")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, as read back from archives in the shared folder.
+
+    The archives are deleted once they are read. For nulls, repeated rows and empty tables see write_archives.
+    """
+
+    def read() -> DataFrame:
+        directory = fresh_path(pages.sparkSession, "warc")
+        return read_archives(write_archives(pages, directory, **options), directory, payloads=False).drop("url", "payload")
+
+    return settled(pages.sparkSession, "records", read)

@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -240,6 +240,18 @@ def test_language_id_matches_brute_force(spark):
         assert got[r.doc_id].lang_pred == best or share[best] - share[got[r.doc_id].lang_pred] < 0.02
 
 
+@pytest.mark.parametrize("word", ["haus", "garten", "wolke", "strasse"])
+def test_no_language_vanishes_by_its_copies(spark, word):
+    """20,000 copies of one text, with and without ids, teach their language as one of them would."""
+    copies = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id") * 3).alias("doc_id"), F.lit(f"und das {word} ist gar nicht mehr so schön wie früher").alias("text"), F.lit("de").alias("lang"))
+    rnd = random.Random(3)
+    english = spark.createDataFrame([(100_000 + k, " ".join(rnd.choice("the of and house tree when where they this which would".split()) for _ in range(30)), "en") for k in range(300)], copies.schema)
+    model = language_id.learn(copies.unionByName(english), docs_per_language=200)
+    assert model.languages == ["de", "en"]
+    got = language_id.predict(copies.limit(50).unionByName(english), model).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"de": 50, "en": 300}
+
+
 def test_filter_gives_all_languages_of_an_ngram(spark):
     docs = spark.createDataFrame([("hello there world", "en"), ("hello welt dort", "de")] * 3, "text string, lang string")
     model = language_id.learn(docs, rate=0.0)
@@ -310,6 +322,13 @@ def test_texts_without_personal_data_are_left_alone(spark):
         assert r.spans == ""
 
 
+@pytest.mark.parametrize("doc_id", [1, 2, 3, None])
+def test_repeated_rows_leave_the_model_of_personal_data_whole(spark, doc_id):
+    docs = spark.range(30_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("write to anna at the office or call us any day " * 5).alias("text"))
+    model = pii.train(docs, rounds=200)
+    assert model.trees and model.thresholds
+
+
 def test_a_small_table_teaches_as_much_as_a_large_one(spark):
     docs = spark.createDataFrame([(k, f"some words of text number {k} that say little") for k in range(6)], "doc_id long, text string")
     model = pii.train(docs)
@@ -437,9 +456,19 @@ def test_shards(spark):
     assert shard_shuffle.shuffle_into_shards(cases.empty(spark)).count() == 0
 
 
-def test_fisher_yates_is_uniform():
-    from collections import Counter
+def test_rows_equal_in_id_and_text_are_dealt_over_many_tasks(spark):
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), (F.col("id") % 7).alias("n"))
+    docs = docs.unionByName(cases.documents(spark).select("doc_id", "text", F.lit(-1).cast("long").alias("n")))
+    got = shard_shuffle.shuffle_into_shards(docs, bucket_bytes=40_000)
+    p = got.select("shard", "slot", "n").toPandas()
+    counts = p.groupby("shard").slot.agg(["count", "max", "nunique"])
+    assert counts["count"].max() - counts["count"].min() <= 1 and (counts["max"] == counts["count"] - 1).all() and (counts["nunique"] == counts["count"]).all()
+    assert Counter(p.n) == Counter(r.n for r in docs.select("n").collect())
+    # The crowd is not left in its order: neighbours come from anywhere.
+    assert (p.sort_values(["shard", "slot"]).n.diff() == 1).mean() < 0.3
+
 
+def test_fisher_yates_is_uniform():
     seen = Counter(tuple(shard_shuffle.fisher_yates(3, [1, k])) for k in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 850
     assert shard_shuffle.fisher_yates(0, [1]).tolist() == [] and shard_shuffle.fisher_yates(1, [1]).tolist() == [0]

@@ -245,3 +245,16 @@ def test_prefix_sums(spark):
         assert r.start == at
         at += r.n
     assert {r.whole for r in rows} == {at}
+
+
+def test_archives_keep_empty_urls_and_leave_nothing_behind(spark):
+    from lakemart.llm.shared import shared_dir
+
+    pages = spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, "http://x/ y", "a"), (None, "", None)], "page_id long, url string, html string")
+    directory = fresh_path(spark, "warc")
+    got = {r.page_id: r.url for r in warc.read_archives(warc.write_archives(pages, directory), directory).collect()}
+    assert got == {1: "", 2: None, 3: "http://x/%20y", None: ""}
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert warc.round_trip(pages).count() == 4
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["records"]
