@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open: list[list[str]] = []
+#: What is written within the innermost `cleared` of this thread, and the ones around it: jobs of other threads have their own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if within := _open.get():
+        within[-1].append(path)
     return path
 
 
@@ -53,11 +55,13 @@ def discard(df: DataFrame) -> None:
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Deletes, at the end, every table that was written to the shared folder within: what is kept must be written before, elsewhere."""
-    _open.append([])
+    paths: list[str] = []
+    outer = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(outer)
+        for path in paths:
             delete(spark, path)
 
 
