@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -174,33 +175,64 @@ def failed(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("failed_rows"))
 
 
-def orphan(fact: str, dim: str, foreign: str, key: str | None = None, loaded_only: bool = False) -> Check:
-    def check(c: Context) -> DataFrame:
-        rows = c[fact].where(F.col("date_key") == c.date_key) if loaded_only else c[fact]
-        return failed(joins.orphans(rows, c[dim], foreign, key))
+@dataclass(frozen=True)
+class Measure:
+    """What a check counts: rows of a table that meet a condition, after left joins with the keys of dimensions."""
 
-    return check
+    table: str
+    condition: Column
+    #: (foreign key, dimension, its key); the condition finds out by has() whether the row has that member.
+    lookups: tuple[tuple[str, str, str], ...] = ()
+    #: The check fails if there is no such row, in place of by each of them.
+    needed: bool = False
 
+    @property
+    def failures(self) -> Column:
+        n = F.count_if(self.condition)
+        return (n == 0).cast("long") if self.needed else n
 
-def orphan_any(fact: str, keys: Sequence[tuple[str, str, str]]) -> Check:
-    """Rows that lack any of several dimensions: (foreign key, dimension, its key)."""
 
-    def check(c: Context) -> DataFrame:
-        rows, lacks = c[fact], F.lit(False)
-        for k, (foreign, dim, key) in enumerate(keys):
-            rows = rows.join(c[dim].select(F.col(key).alias(foreign), F.lit(True).alias(f"_has{k}")).distinct(), foreign, "left")
-            lacks = lacks | F.col(f"_has{k}").isNull()
-        return failed(rows.where(lacks))
+def has(foreign: str, dim: str) -> str:
+    return f"_has_{dim}_{foreign}"
 
-    return check
 
+class Counted:
+    """A check that is a sum of measures: the runner takes all measures of a table in one pass over it."""
 
-def matching(table: str, condition: str | Callable[[Context], Column], loaded_only: bool = False) -> Check:
-    def check(c: Context) -> DataFrame:
-        rows = c[table].where(F.col("date_key") == c.date_key) if loaded_only else c[table]
-        return failed(rows.where(condition(c) if callable(condition) else condition))
+    def __init__(self, measures: Callable[[Context], list[Measure]]):
+        self.measures = measures
 
-    return check
+    def __call__(self, c: Context) -> DataFrame:
+        out, *rest = [measured(c, m.table, [m]).select(F.col("counts")[0].alias("failed_rows")) for m in self.measures(c)]
+        for x in rest:
+            out = out.unionByName(x)
+        return out.agg(F.sum("failed_rows").alias("failed_rows"))
+
+
+def measured(c: Context, table: str, measures: Sequence[Measure]) -> DataFrame:
+    """One row, `counts`: the failures of each measure, all in one pass over the table; keys that several look up are joined once."""
+    rows = c[table]
+    for foreign, dim, key in sorted({x for m in measures for x in m.lookups}):
+        rows = rows.join(c[dim].select(F.col(key).alias(foreign), F.lit(True).alias(has(foreign, dim))).distinct(), foreign, "left")
+    return rows.agg(F.array(*[m.failures for m in measures]).alias("counts"))
+
+
+def _loaded(c: Context, condition: Column, only: bool) -> Column:
+    return (F.col("date_key") == c.date_key) & condition if only else condition
+
+
+def orphan(fact: str, dim: str, foreign: str, key: str | None = None, loaded_only: bool = False) -> Check:
+    return Counted(lambda c: [Measure(fact, _loaded(c, F.col(has(foreign, dim)).isNull(), loaded_only), ((foreign, dim, key or foreign),))])
+
+
+def orphan_any(fact: str, keys: Sequence[tuple[str, str, str]]) -> Check:
+    """Rows that lack any of several dimensions: (foreign key, dimension, its key)."""
+    lacks = lambda: F.array_contains(F.array(*[F.col(has(f, d)).isNull() for f, d, _ in keys]), True)
+    return Counted(lambda c: [Measure(fact, lacks(), tuple(keys))])
+
+
+def matching(table: str, condition: str | Callable[[Context], Column], loaded_only: bool = False) -> Check:
+    return Counted(lambda c: [Measure(table, _loaded(c, condition(c) if callable(condition) else F.expr(condition), loaded_only))])
 
 
 def repeated(table: str, *keys: str, where: str = "true") -> Check:
@@ -208,6 +240,9 @@ def repeated(table: str, *keys: str, where: str = "true") -> Check:
 
 
 def summed(*checks: Check) -> Check:
+    if all(isinstance(x, Counted) for x in checks):
+        return Counted(lambda c: [m for x in checks for m in x.measures(c)])
+
     def check(c: Context) -> DataFrame:
         out, *rest = [x(c) for x in checks]
         for x in rest:
@@ -227,7 +262,7 @@ def overlapping(table: str, business_key: str, key: str) -> Check:
 
 def empty(table: str, where: str = "true") -> Check:
     """1 if no row meets the condition."""
-    return lambda c: c[table].where(where).agg((F.count("*") == 0).cast("long").alias("failed_rows"))
+    return Counted(lambda c: [Measure(table, F.expr(where), needed=True)])
 
 
 def milestone_order(c: Context) -> DataFrame:
@@ -329,16 +364,63 @@ def target_of(name: str) -> str:
     return next((TARGETS[p] for p in parts if p in ("FTE", "FHT", "FIL")), None) or TARGETS.get(parts[-1], "dimensions")
 
 
+def _together(frames: dict[str, Callable[[], DataFrame]]) -> dict[str, list[int]]:
+    """Frames of one row, `counts`, as one job. What can't be planned is left out, and all are if the job fails."""
+    rows = []
+    for k, make in frames.items():
+        try:
+            rows.append(make().select(F.lit(k).alias("name"), "counts"))
+        except Exception:  # run_checks runs the check by itself, and logs what it raises
+            logging.getLogger(__name__).warning("%s can't be checked with the others", k, exc_info=True)
+    out, *rest = rows or [None]
+    for x in rest:
+        out = out.unionByName(x)
+    try:
+        return {r.name: [int(n or 0) for n in r.counts] for r in out.collect()} if rows else {}  # a row a table or check
+    except Exception:
+        logging.getLogger(__name__).warning("quality checks are run one by one", exc_info=True)
+        return {}
+
+
+def fused(checks: Sequence[tuple[str, str, str, Check]], context: Context) -> dict[str, int]:
+    """The failed rows of checks, by name, in two jobs: the measures of each table in one pass over it, and all else side by side.
+
+    Checks that can't be run so are missing.
+    """
+    by_table: dict[str, list[tuple[str, Measure]]] = {}
+    alone: dict[str, Callable[[], DataFrame]] = {}
+    for name, _, _, check in checks:
+        if isinstance(check, Counted):
+            for m in check.measures(context):
+                by_table.setdefault(m.table, []).append((name, m))
+        else:
+            alone[name] = lambda check=check: check(context).select(F.array(F.col("failed_rows").cast("long")).alias("counts"))
+    sums = _together({t: lambda t=t, own=own: measured(context, t, [m for _, m in own]) for t, own in by_table.items()})
+    out = {name: n[0] for name, n in _together(alone).items()}
+    for table, own in by_table.items():
+        for (name, _), n in zip(own, sums.get(table, [None] * len(own)), strict=True):
+            out[name] = None if n is None or out.get(name, 0) is None else out.get(name, 0) + n
+    return {k: n for k, n in out.items() if n is not None}
+
+
 def run_checks(spark: SparkSession, checks: Sequence[tuple[str, str, str, Check]], context: Context) -> DataFrame:
-    """The log of all checks. One that can't run is a failure of -1 rows, and the others go on."""
-    log = []
+    """The log of all checks. They are run together, and those that can't be one by one: one that fails is a failure of -1 rows, and the others go on.
+
+    Checks that ran together have the same duration_ms, that of all of them.
+    """
+    began, found = time.monotonic(), {}
+    if len({name for name, *_ in checks}) == len(checks):
+        found = fused(checks, context)
+    log, whole = [], int(1000 * (time.monotonic() - began))
     for name, category, severity, check in checks:
-        began, error = time.monotonic(), None
-        try:
-            rows = int(check(context).first().failed_rows or 0)
-        except Exception as e:  # what a user's check raises is logged
-            rows, error = -1, str(e)[:500]
-        log.append((context.batch_id, name, category, severity, target_of(name), rows, "Pass" if rows == 0 else "Fail", int(1000 * (time.monotonic() - began)), error, datetime.now(timezone.utc)))
+        began, error, rows = time.monotonic(), None, found.get(name)
+        if rows is None:
+            try:
+                rows = int(check(context).first().failed_rows or 0)
+            except Exception as e:  # what a user's check raises is logged
+                rows, error = -1, str(e)[:500]
+        took = whole if name in found else int(1000 * (time.monotonic() - began))
+        log.append((context.batch_id, name, category, severity, target_of(name), rows, "Pass" if rows == 0 else "Fail", took, error, datetime.now(timezone.utc)))
     return spark.createDataFrame(log, LOG_SCHEMA)
 
 

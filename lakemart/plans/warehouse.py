@@ -95,21 +95,21 @@ def seed(spark: SparkSession, root: str, first: str, last: str) -> None:
     sinks.publish(spark.createDataFrame([], "table_name string, last_value timestamp"), f"{root}/watermarks")
 
 
-def _size(dim: DataFrame, kind: int) -> tuple[int, int]:
-    """(rows, rows that are later versions)."""
-    row = dim.agg(F.count("*").alias("n"), (F.count_if(F.col("version_number") > 1) if kind == 2 else F.lit(0)).alias("later")).first()
-    return row.n, row.later
+def _put(df: DataFrame, path: str, after: sinks.Snapshot) -> sinks.Snapshot:
+    """The next version of a dimension. Its rows, and those that are later versions, are counted as they are written."""
+    later = F.count_if(F.col("version_number") > 1) if "version_number" in df.columns else F.count_if(F.lit(False))
+    return sinks.publish(df, path, after=after.number, later=later)
 
 
-def load_dimensions(spark: SparkSession, root: str, sources: dict[str, DataFrame], load_date: str, log: audit.BatchLog, batch_id: int) -> dict[str, DataFrame]:
+def load_dimensions(spark: SparkSession, root: str, sources: dict[str, DataFrame], extracted: dict[str, int], load_date: str, log: audit.BatchLog, batch_id: int) -> dict[str, DataFrame]:
     """The next snapshot of each dimension, in the order of the policies; all as they are then."""
     out = {name: sinks.current(spark, f"{root}/{name}") for name in STATIC}
     for p in POLICIES:
-        before = sinks.current(spark, f"{root}/{p.name}")
-        sinks.publish(p.merge(before, sources[p.name], load_date), f"{root}/{p.name}")
-        out[p.name] = sinks.current(spark, f"{root}/{p.name}")
-        (was, later), (now, then) = _size(before, p.kind), _size(out[p.name], p.kind)
-        log.rows(batch_id, p.step, sources[p.name].count(), now - was - (then - later), then - later)
+        before = sinks.snapshot(spark, f"{root}/{p.name}")
+        after = _put(p.merge(spark.read.parquet(before.folder), sources[p.name], load_date), f"{root}/{p.name}", before)
+        out[p.name] = spark.read.parquet(after.folder)
+        more, later = after.metrics["rows"] - before.metrics["rows"], after.metrics["later"] - before.metrics.get("later", 0)
+        log.rows(batch_id, p.step, extracted[p.name], more - later, later)
     return out
 
 
@@ -117,19 +117,18 @@ def infer_members(spark: SparkSession, root: str, dims: dict[str, DataFrame], go
     """Skeletons for business keys that only events have; dims get the new snapshots."""
     for name, column in INFERRED.items():
         p = next(x for x in POLICIES if x.name == name)
-        seen, was = good.select(F.col(column).alias(p.business_key)), dims[name].count()
-        sinks.publish(dimensions.infer_members(seen, dims[name], p.business_key, p.key, {}, load_date), f"{root}/{name}")
-        dims[name] = sinks.current(spark, f"{root}/{name}")
-        log.rows(batch_id, f"InferredMembers.{name}", inserted=dims[name].count() - was)
+        before, seen = sinks.snapshot(spark, f"{root}/{name}"), good.select(F.col(column).alias(p.business_key))
+        after = _put(dimensions.infer_members(seen, dims[name], p.business_key, p.key, {}, load_date), f"{root}/{name}", before)
+        dims[name] = spark.read.parquet(after.folder)
+        log.rows(batch_id, f"InferredMembers.{name}", inserted=after.metrics["rows"] - before.metrics["rows"])
 
 
 def load_events(spark: SparkSession, root: str, dims: dict[str, DataFrame], staged: DataFrame, good: DataFrame, bad: DataFrame, load_date: str, log: audit.BatchLog, batch_id: int) -> None:
     day_key = int(load_date.replace("-", ""))
     fte = facts.load_fact_event(good, dims["segment"], dims["sensor"], dims["vehicle_type"], dims["weather"], dims["camera"])
-    sinks.replace_slice(fte.withColumn("date_key", F.lit(day_key)), f"{root}/fact_event", "date_key", day_key)
+    loaded = sinks.replace_slice(fte.withColumn("date_key", F.lit(day_key)), f"{root}/fact_event", "date_key", day_key)
     rejects = cleanse.build_rejects(bad, batch_id, ("event_id", "detector_code", "segment_code", "speed_kmh", "occupancy_pct"), "sensor_serial").withColumn("date_key", F.lit(day_key))
-    sinks.replace_slice(rejects, f"{root}/rejects", "date_key", day_key)
-    loaded, lost = (feeds.read_known(spark, f"{root}/{t}", f"{c} string, date_key int").where(F.col("date_key") == day_key).count() for t, c in (("fact_event", "event_id"), ("rejects", "event_id")))
+    lost = sinks.replace_slice(rejects, f"{root}/rejects", "date_key", day_key)
     log.rows(batch_id, "Fact.TrafficEvent", staged.count(), loaded, 0, lost)
 
 
@@ -137,9 +136,8 @@ def load_hours(spark: SparkSession, root: str, dims: dict[str, DataFrame], hourl
     day_key = int(load_date.replace("-", ""))
     at = fil.select("segment_key", F.col("detected_date_key").alias("date_key"), F.hour("detected_ts").alias("hour_of_day"))
     fht = facts.hourly_snapshot(hourly, dims["segment"], dims["weather"], at, day_key).withColumn("date_key", F.lit(day_key))
-    sinks.replace_slice(fht, f"{root}/fact_hourly", "date_key", day_key)
-    made = feeds.read_known(spark, f"{root}/fact_hourly", "segment_key int, date_key int").where(F.col("date_key") == day_key)
-    log.rows(batch_id, "Fact.HourlyTraffic", hourly.where(F.col("date_key") == day_key).count(), made.count())
+    made = sinks.replace_slice(fht, f"{root}/fact_hourly", "date_key", day_key)
+    log.rows(batch_id, "Fact.HourlyTraffic", hourly.where(F.col("date_key") == day_key).count(), made)
 
 
 def run_nightly(
@@ -148,6 +146,8 @@ def run_nightly(
 ) -> dict[str, DataFrame]:
     """One date's run on a seeded warehouse; again for the same date it gives the same warehouse. All tables, as checks see them.
 
+    Dimensions, incidents and watermarks are published as versions: of two runs at a time one fails with sinks.Conflict.
+
     tables are the source system's; upper is one bound for all extracts, taken before anything is read. staged and hourly
     are the lake's events and aggregates. Steps are logged with their counts. The quality log is written and nothing is
     raised for it: the gate is the caller's. Watermarks advance last, so what failed is extracted again.
@@ -167,21 +167,23 @@ def run_nightly(
 
 def _run(spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFrame, hourly: DataFrame, load_date: str, batch_id: int, upper: object, full_load: bool, checks: Sequence[tuple[str, str, str, audit.Check]] | None, log: audit.BatchLog) -> dict[str, DataFrame]:
     bound = F.lit(upper).cast("timestamp")
-    marks = sinks.current(spark, f"{root}/watermarks")
+    marked = sinks.snapshot(spark, f"{root}/watermarks")
+    marks = spark.read.parquet(marked.folder)
     known = {r.table_name: r.last_value for r in marks.collect()}  # a row an extract
-    sources = {}
+    sources, extracted = {}, {}
     for name, df in extracts.changed(tables, known, bound, full_load).items():
-        sinks.write_full(df, f"{root}/staging/{name}")
-        sources[name] = spark.read.parquet(f"{root}/staging/{name}")
-        log.rows(batch_id, f"Extract.{name}", sources[name].count())
-    dims = load_dimensions(spark, root, sources, load_date, log, batch_id)
+        extracted[name] = sinks.write_full(df, f"{root}/staging/{name}")["rows"]
+        sources[name] = spark.read.schema(df.schema).parquet(f"{root}/staging/{name}")
+        log.rows(batch_id, f"Extract.{name}", extracted[name])
+    dims = load_dimensions(spark, root, sources, extracted, load_date, log, batch_id)
     good, bad = facts.transactions(staged, load_date)
     infer_members(spark, root, dims, good, load_date, log, batch_id)
     load_events(spark, root, dims, staged, good, bad, load_date, log, batch_id)
     keyed = facts.incident_keys(sources["incident"], dims["incident_type"], dims["segment"], dims["unit"], dims["weather"])
-    sinks.publish(facts.upsert_lifecycle(sinks.current(spark, f"{root}/incidents"), keyed), f"{root}/incidents")
-    fil = facts.lifecycle(sinks.current(spark, f"{root}/incidents"))
-    log.rows(batch_id, "Fact.IncidentLifecycle", sources["incident"].count())
+    before = sinks.snapshot(spark, f"{root}/incidents")
+    after = sinks.publish(facts.upsert_lifecycle(spark.read.parquet(before.folder), keyed), f"{root}/incidents", after=before.number)
+    fil = facts.lifecycle(spark.read.parquet(after.folder))
+    log.rows(batch_id, "Fact.IncidentLifecycle", extracted["incident"])
     load_hours(spark, root, dims, hourly, fil, load_date, log, batch_id)
     day_key = int(load_date.replace("-", ""))
     events = "date_key int, time_key int, segment_key int, sensor_key int, camera_key int, vehicle_type_key int, weather_key int, detector_type string, event_id string, speed_kmh decimal(5,1), speed_over_limit_kmh decimal(12,1), headway_seconds decimal(6,2), occupancy_pct decimal(5,2)"
@@ -193,6 +195,6 @@ def _run(spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFr
     results.write.mode("append").parquet(f"{root}/quality_log")
     for source, _ in extracts.EXTRACTS.values():
         marks = feeds.advance_watermarks(marks, source, upper)
-    sinks.publish(marks, f"{root}/watermarks")
+    sinks.publish(marks, f"{root}/watermarks", after=marked.number)
     log.rows(batch_id, "AdvanceWatermarks", updated=len(extracts.EXTRACTS))
     return out | {"rowlog": log.row_log(), "quality_log": spark.read.parquet(f"{root}/quality_log")}

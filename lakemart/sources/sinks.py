@@ -2,49 +2,173 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, codec: str = "zstd", sort: Sequence[str] = (), files: int | None = None) -> None:
-    """Replace the partitions that df has. One file set per date, or `files` of them, spread by the sort columns, for a huge day."""
-    spread = df.repartition(files, by, *sort) if files else df.repartition(by)
-    rows = spread.sortWithinPartitions(by, *sort) if sort else spread
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(by).parquet(path)
+#: Rows of one file take so many bytes in the shuffle before it; as columns they take a half to a fifth of that.
+FILE_BYTES = 128 << 20
+TARGET = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: So many snapshots of a table stay for those who still read them.
+KEEP = 10
 
 
-def write_full(df: DataFrame, path: str, codec: str = "zstd") -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", codec).parquet(path)
+class Conflict(RuntimeError):
+    """Another writer has published the version that was to be."""
 
 
-def drop_slice(spark: SparkSession, path: str, by: str, value: object) -> bool:
-    """Remove one partition's folder through Hadoop's file system; is there one?"""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+@contextmanager
+def _aimed_at(spark: SparkSession, file_bytes: int) -> Iterator[None]:
+    was = spark.conf.get(TARGET, None)
+    spark.conf.set(TARGET, str(file_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(TARGET) if was is None else spark.conf.set(TARGET, was)
 
 
-def replace_slice(df: DataFrame, path: str, by: str, value: object, **options: object) -> None:
-    """Replace one partition by df's rows of it. Dynamic overwrite leaves a partition that gets no row, so that one is dropped."""
-    rows = df.where(F.col(by) == F.lit(value))
-    if rows.isEmpty():
-        drop_slice(df.sparkSession, path, by, value)
-    else:
-        write_partitioned(rows, path, by, **options)
+def _observed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """df, and what will be known of its rows once it is written: nothing is counted again, and a task that is repeated counts once."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in metrics.items()]), seen
+
+
+def write_partitioned(df: DataFrame, path: str, by: str, codec: str = "zstd", sort: Sequence[str] = (), file_bytes: int = FILE_BYTES) -> int:
+    """Replace the partitions that df has; how many rows were written. df is run once.
+
+    Rows are gathered by date. A date of more than `file_bytes` of shuffled rows is dealt to as many tasks as it takes,
+    each of which writes a file sorted by `sort`; dates with less have one file each, and tasks take several of them.
+    """
+    rows, seen = _observed(df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *sort), {})
+    with _aimed_at(df.sparkSession, file_bytes):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(by).parquet(path)
+    return seen.get["rows"]
+
 
+def write_full(df: DataFrame, path: str, codec: str = "zstd", **metrics: Column) -> dict[str, int]:
+    """Replace a whole dataset; its `rows` and what `metrics`, aggregates by name, say of them."""
+    rows, seen = _observed(df, metrics)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", codec).parquet(path)
+    return seen.get
 
-def publish(df: DataFrame, path: str) -> str:
-    """Write the next snapshot of a small table beside the one that may be its source; current() then finds it."""
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").json(f"{path}/_current")
-    return version
 
+def _at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """(Hadoop's file system, its name of the path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("version string").json(f"{path}/_current").first().version)
+
+def drop_slice(spark: SparkSession, path: str, by: str, value: object) -> bool:
+    """Remove one partition's folder through Hadoop's file system; is there one?"""
+    fs, at = _at(spark, f"{path}/{by}={value}")
+    return fs.delete(at, True)
+
+
+def replace_slice(df: DataFrame, path: str, by: str, value: object, **options: object) -> int:
+    """Replace one partition by df's rows of it; how many there are. df is run once.
+
+    Dynamic overwrite leaves a partition that gets no row as it was, so that one is dropped then.
+    """
+    rows = write_partitioned(df.where(F.col(by) == F.lit(value)), path, by, **options)
+    if not rows:
+        drop_slice(df.sparkSession, path, by, value)
+    return rows
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A published version of a table: its number, its folder, and what was observed as it was written."""
+
+    number: int
+    folder: str
+    metrics: dict[str, int]
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a table's published versions, ascending."""
+    return sorted(int(x) for x in _names(spark, f"{path}/_versions") if x.isdigit())
+
+
+def snapshot(spark: SparkSession, path: str, number: int | None = None) -> Snapshot | None:
+    """A version of a table, by default the latest; None if there is none."""
+    number = number or max(versions(spark, path), default=None)
+    if number is None:
+        return None
+    fs, at = _at(spark, f"{path}/_versions/{number:012d}")
+    stream = fs.open(at)
+    try:
+        told = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Snapshot(number, f"{path}/{told['folder']}", told["metrics"])
+
+
+def _commit(spark: SparkSession, path: str, number: int, folder: str, metrics: dict[str, int]) -> None:
+    """Name a folder as a version. The pointer is written under another name and then renamed, so it is there whole or not
+    at all; Hadoop's rename takes no name that is in use, so of two writers one fails."""
+    fs, draft = _at(spark, f"{path}/_drafts/{folder}")
+    stream = fs.create(draft, True)
+    try:
+        stream.write(bytearray(json.dumps({"folder": folder, "metrics": metrics}), "utf-8"))
+    finally:
+        stream.close()
+    _, at = _at(spark, f"{path}/_versions/{number:012d}")
+    fs.mkdirs(at.getParent())
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise Conflict(f"{path}: version {number} was published by another writer")
+
+
+def publish(df: DataFrame, path: str, after: int | None = None, keep: int = KEEP, **metrics: Column) -> Snapshot:
+    """Write the next version of a table in a folder of its own, and then name it; current() finds it from then on.
+
+    after: the version that df was made from, by default the latest as the writing begins. Conflict, and nothing else, if
+    another writer has published since. A writer that dies at any point leaves the last version as it is. `keep` versions
+    stay; the folders of older ones go, and with them those that no version names.
+    """
+    spark = df.sparkSession
+    number = (max(versions(spark, path), default=0) if after is None else after) + 1
+    folder = f"v-{number:012d}-{uuid.uuid4().hex}"
+    told = write_full(df, f"{path}/{folder}", **metrics)
+    try:
+        _commit(spark, path, number, folder, told)
+    except Conflict:
+        fs, at = _at(spark, f"{path}/{folder}")
+        fs.delete(at, True)
+        raise
+    expire(spark, path, keep)
+    return Snapshot(number, f"{path}/{folder}", told)
+
+
+def expire(spark: SparkSession, path: str, keep: int = KEEP) -> None:
+    """Forget all versions but the last `keep`, their names first. Folders that were never named go when their number is past."""
+    last = max(versions(spark, path), default=0) - max(1, keep)
+    old = [f"_versions/{n:012d}" for n in versions(spark, path) if n <= last]
+    old += [x for x in _names(spark, path) if x.startswith("v-") and int(x.split("-")[1]) <= last]
+    old += [f"_drafts/{x}" for x in _names(spark, f"{path}/_drafts") if x.startswith("v-") and int(x.split("-")[1]) <= last]
+    for x in old:
+        fs, at = _at(spark, f"{path}/{x}")
+        fs.delete(at, True)
+
+
+def current(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The latest version of a published table, or the one of a number. It stays readable while later ones are published, up to KEEP."""
+    found = snapshot(spark, path, number)
+    if found is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(found.folder)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, truncate: bool = True, batch: int = 10_000, **properties: str) -> None:

@@ -1,6 +1,11 @@
 import json
+import os
+import subprocess
+import sys
+import threading
 from datetime import date
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,10 +93,117 @@ def test_watermarks(spark):
 
 
 def test_snapshots_are_published_beside_their_source(spark, tmp_path):
-    sinks.publish(spark.range(3), f"{tmp_path}/dim")
-    old = sinks.current(spark, f"{tmp_path}/dim")
-    sinks.publish(old.unionByName(spark.range(3, 5)), f"{tmp_path}/dim")
-    assert sinks.current(spark, f"{tmp_path}/dim").count() == 5
+    at = f"{tmp_path}/dim"
+    one = sinks.publish(spark.range(3), at, high=F.max("id"))
+    old = sinks.current(spark, at)
+    two = sinks.publish(old.unionByName(spark.range(3, 5)), at, after=one.number)
+    assert sinks.current(spark, at).count() == 5 and old.count() == sinks.current(spark, at, 1).count() == 3
+    assert (one.number, one.metrics, two.number, two.metrics) == (1, {"rows": 3, "high": 2}, 2, {"rows": 5})
+    assert sinks.snapshot(spark, at) == two and sinks.snapshot(spark, at, 1) == one and sinks.snapshot(spark, f"{tmp_path}/none") is None
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, f"{tmp_path}/none")
+
+
+def test_of_two_writers_one_fails_and_changes_nothing(spark, tmp_path):
+    at = f"{tmp_path}/dim"
+    base = sinks.publish(spark.range(1), at)
+    sinks.publish(spark.range(2), at, after=base.number)
+    with pytest.raises(sinks.Conflict):
+        sinks.publish(spark.range(9), at, after=base.number)
+    assert sinks.current(spark, at).count() == 2 and sinks.versions(spark, at) == [1, 2]
+    assert len([x for x in os.listdir(at) if x.startswith("v-")]) == 2 and os.listdir(f"{at}/_drafts") == []
+
+
+@pytest.mark.parametrize("step", ["write_full", "_commit", "expire"])
+def test_a_writer_that_dies_leaves_a_readable_table(spark, tmp_path, monkeypatch, step):
+    """Before the rows are whole, between rows and pointer, and between pointer and clearing up; the next writer goes on from there."""
+    at = f"{tmp_path}/dim"
+    sinks.publish(spark.range(3), at)
+    whole = getattr(sinks, step)
+
+    def dies(df, path, *rest, **more):
+        if step == "write_full":
+            df.limit(1).write.parquet(path)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(sinks, step, dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        sinks.publish(spark.range(4), at)
+    assert sinks.current(spark, at).count() == (4 if step == "expire" else 3)
+    monkeypatch.setattr(sinks, step, whole)
+    for n in range(5, 9):
+        sinks.publish(spark.range(n), at, keep=2)
+        assert sinks.current(spark, at).count() == n
+    assert len(sinks.versions(spark, at)) == 2 and len([x for x in os.listdir(at) if x.startswith("v-")]) == 2  # what was never named has gone as well
+
+
+def test_a_draft_of_a_pointer_is_no_version(spark, tmp_path):
+    at = f"{tmp_path}/dim"
+    sinks.publish(spark.range(3), at)
+    os.makedirs(f"{at}/_drafts", exist_ok=True)
+    open(f"{at}/_drafts/v-000000000002-x", "w").close()
+    assert sinks.current(spark, at).count() == 3 and sinks.publish(spark.range(4), at).number == 2
+
+
+def day_files(path):
+    return {d.name: sorted(d.glob("*.parquet")) for d in path.glob("event_date=*")}
+
+
+def test_a_huge_day_is_dealt_to_many_tasks_and_sorted(spark, tmp_path):
+    rows = spark.range(400_000).select(F.col("id"), (F.xxhash64("id") % 50).cast("string").alias("segment_code"), F.rand(3).alias("x"), F.when(F.col("id") == 7, F.lit("2026-06-02")).when(F.col("id") % 100 == 0, F.lit("2026-06-03")).otherwise(F.lit("2026-06-01")).cast("date").alias("event_date"))
+    at = tmp_path / "events"
+    assert sinks.write_partitioned(rows.repartition(8), str(at), "event_date", sort=("segment_code", "id"), file_bytes=1 << 20) == 400_000
+    files = day_files(at)
+    assert len(files["event_date=2026-06-01"]) >= 4 and len(files["event_date=2026-06-02"]) == len(files["event_date=2026-06-03"]) == 1
+    for f in files["event_date=2026-06-01"]:
+        got = pq.read_table(f, columns=["segment_code", "id"]).to_pylist()
+        assert got == sorted(got, key=lambda r: (r["segment_code"], r["id"]))
+    assert spark.read.parquet(str(at)).agg(F.sum("id")).first()[0] == 400_000 * 399_999 // 2
+    assert spark.conf.get(sinks.TARGET, None) is None or spark.conf.get(sinks.TARGET) != str(1 << 20)
+    # A day alone is replaced; by no row, it goes.
+    assert sinks.replace_slice(rows.where("id < 1000"), str(at), "event_date", "2026-06-01") == 989
+    assert sinks.replace_slice(rows.limit(0), str(at), "event_date", "2026-06-02") == 0
+    assert sinks.replace_slice(rows.where("id < 0"), str(at), "event_date", "2026-06-02") == 0
+    assert {k: len(v) for k, v in day_files(at).items()} == {"event_date=2026-06-01": 1, "event_date=2026-06-03": 1}
+
+
+def test_a_slice_runs_its_input_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).withColumn("event_date", F.lit("2026-06-01").cast("date"))
+    assert sinks.replace_slice(rows.mapInArrow(counted, rows.schema), str(tmp_path / "z"), "event_date", "2026-06-01") == 1000
+    assert ran.value == 1000
+
+
+RETRIED = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from lakemart.session import session
+from lakemart.sources import sinks
+spark = session("retry", spark__master="local[2,3]", spark__ui__enabled="false", spark__sql__shuffle__partitions="3", spark__local__dir={tmp!r}, spark__sql__warehouse__dir={tmp!r} + "/w")
+spark.sparkContext.setLogLevel("OFF")
+def fails_once(batches):
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+rows = spark.range(1000).withColumn("event_date", F.lit("2026-06-01").cast("date"))
+wrong = rows.mapInArrow(fails_once, rows.schema)
+print("ROWS", sinks.write_partitioned(wrong, {tmp!r} + "/a", "event_date"), sinks.write_full(wrong, {tmp!r} + "/b", high=F.max("id")))
+"""
+
+
+def test_a_repeated_task_counts_once(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", RETRIED.format(repo=repo, tmp=str(tmp_path))], capture_output=True, text=True, timeout=300)
+    assert "ROWS 1000 {'rows': 1000, 'high': 999}" in out.stdout, out.stdout + out.stderr[-2000:]
 
 
 def test_jdbc(spark, tmp_path):
@@ -101,3 +213,24 @@ def test_jdbc(spark, tmp_path):
     for truncate in (True, True, False):
         sinks.write_jdbc(staged, url, "events", truncate, **driver)
     assert spark.read.format("jdbc").options(url=url, dbtable="events", **driver).load().count() == 10
+
+
+def test_scratch_tables_belong_to_their_thread(spark):
+    """Jobs of several threads at a time: none deletes what another still reads."""
+    from lakemart.sources.scratch import settled, written
+
+    wrong: list[Exception] = []
+
+    def job(n):
+        try:
+            for _ in range(3):
+                assert settled(spark, "threads", lambda: written(spark.range(n), "part").unionByName(written(spark.range(n), "part"))).count() == 2 * n
+        except Exception as e:
+            wrong.append(e)
+
+    jobs = [threading.Thread(target=job, args=(n,)) for n in (10, 20, 30, 40)]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    assert not wrong

@@ -33,6 +33,36 @@ def test_all_forty_checks_pass_on_a_sound_warehouse(spark):
     assert audit.quality_report(log).count() == 40
 
 
+def executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_the_gate_takes_two_jobs_and_gives_what_single_checks_give(spark):
+    c = context(spark)
+    c.tables["fte"] = c["fte"].withColumns({"segment_key": F.lit(99), "weather_key": F.lit(None).cast("int"), "speed_kmh": F.lit(300.0)}).unionByName(c["fte"])
+    before = executions(spark)
+    log = audit.run_checks(spark, audit.catalogue(), c)
+    assert executions(spark) - before == 2
+    alone = {name: int(check(c).first().failed_rows or 0) for name, _, _, check in audit.catalogue()}
+    assert {r.check_name: r.failed_rows for r in log.collect()} == alone and alone["ORPHAN_FTE_WEATHER"] == 1
+
+
+@pytest.mark.parametrize(
+    "broken",
+    [
+        lambda c: c["nothing"],
+        lambda c: c["fte"].selectExpr("raise_error('x') as failed_rows"),
+        audit.matching("fte", "no_such_column = 1"),
+        audit.matching("fte", "raise_error('x') = 1"),
+        audit.orphan("fte", "segment", "no_such_key"),
+    ],
+)
+def test_a_check_that_fails_leaves_the_others_alone(spark, broken):
+    c = context(spark)
+    log = audit.run_checks(spark, [*audit.catalogue()[:14], ("BROKEN", "Own", "Error", broken), ("OWN", "Own", "Error", audit.matching("fht", "hour_of_day > 20"))], c)
+    assert {r.check_name: r.failed_rows for r in log.where("failed_rows <> 0").collect()} == {"BROKEN": -1, "OWN": 3}
+
+
 def test_failures_are_found_and_errors_block(spark):
     c = context(spark)
     c.tables["fte"] = c["fte"].withColumns({"segment_key": F.lit(99), "speed_kmh": F.lit(300.0), "camera_key": F.lit(1)}).unionByName(c["fte"])
