@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemart.sources.json_arrays import read_json_array
+
 # The feeds' fields.
 SENSOR_SCHEMA = (
     "event_id string, event_ts timestamp, sensor_serial string, segment_code string, direction string, vehicle_type_code string, "
@@ -31,8 +33,9 @@ def ingest_date(path: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(path, r"_(\d{8})\.[a-z]+(?:/[^/]*)?$", 1), F.lit("yyyyMMdd")).cast("date")
 
 
-def add_audit(df: DataFrame, source: str, batch_id: int) -> DataFrame:
-    path = F.col("_metadata.file_path")
+def add_audit(df: DataFrame, source: str, batch_id: int, path: Column | None = None) -> DataFrame:
+    """df with where and when its rows came from; path: the file of each, if df is not itself a scan."""
+    path = F.col("_metadata.file_path") if path is None else path
     return df.select("*", F.current_timestamp().alias("_ingest_ts"), path.alias("_source_file"), F.lit(source).alias("_source"), F.lit(batch_id).alias("_batch_id"), ingest_date(path).alias("ingest_date"))
 
 
@@ -43,14 +46,16 @@ def read_csv_feed(spark: SparkSession, path: str, schema: str = SENSOR_SCHEMA, b
 
 
 def read_camera_json(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
-    rows = spark.read.schema(CAMERA_SCHEMA).option("multiLine", True).json(path)
-    lifted = add_audit(rows, "camera", batch_id).withColumn("event_ts", F.col("detection.timestamp"))
+    """Arrays of events, however large a file: see read_json_array."""
+    rows = read_json_array(spark, path, CAMERA_SCHEMA)
+    lifted = add_audit(rows, "camera", batch_id, F.col("_path")).drop("_path").withColumn("event_ts", F.col("detection.timestamp"))
     return lifted.withColumn("event_date", F.to_date("event_ts"))
 
 
 def read_weather_json(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
-    rows = spark.read.schema(WEATHER_SCHEMA).option("multiLine", True).json(path)
-    return add_audit(rows, "weather", batch_id).withColumnRenamed("observed_at", "observed_ts").withColumn("event_date", F.to_date("observed_ts"))
+    """Arrays of observations, however large a file: see read_json_array."""
+    rows = read_json_array(spark, path, WEATHER_SCHEMA)
+    return add_audit(rows, "weather", batch_id, F.col("_path")).drop("_path").withColumnRenamed("observed_at", "observed_ts").withColumn("event_date", F.to_date("observed_ts"))
 
 
 def _file(spark: SparkSession, path: str):
