@@ -412,6 +412,24 @@ def test_other_vocabularies_are_packed_by_their_own_rules(spark):
         assert np.frombuffer(b"".join(got[got.doc_id == r.doc_id].ids), "<u4").tolist() == model.encode(r.text, add_special_tokens=False).ids + [2]
 
 
+def test_sketches_bound_what_sets_share(spark):
+    """No similar pair goes by its sketches, at any sizes, and most others do."""
+    rnd = np.random.default_rng(6)
+    rows = []
+    for k in range(400):
+        n = int(rnd.choice([1, 3, 30, 63, 65, 250, 1000]))
+        a = rnd.integers(0, 1 << 63, n, np.uint64)
+        keep = a[rnd.random(n) < rnd.choice([0.0, 0.5, 0.8, 0.9, 0.95, 1.0])]
+        b = np.concatenate([keep, rnd.integers(0, 1 << 63, int(rnd.choice([0, 1, n // 20, n // 4, n])), np.uint64)])
+        b = b if len(b) else a[:1]
+        both = len(np.intersect1d(a, b))
+        rows.append((k, len(a), len(b), both * 5 >= (len(a) + len(b) - both) * 4, *(jaccard_near_dedup.sketch(v).view(np.int64).tolist() for v in (a, b))))
+    df = spark.createDataFrame(rows, "k int, n int, m int, similar boolean, x array<long>, y array<long>")
+    got = df.withColumn("may", jaccard_near_dedup.may_share_enough("x", "n", "y", "m")).collect()
+    assert all(r.may for r in got if r.similar) and sum(r.similar for r in got) > 60
+    assert sum(r.may for r in got if not r.similar) < 0.4 * sum(not r.similar for r in got)
+
+
 # ---------------------------------------------------------------- sharding
 
 
