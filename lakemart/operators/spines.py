@@ -48,12 +48,16 @@ def build_dim_time(spark: SparkSession) -> DataFrame:
 
 def build_dim_weather(spark: SparkSession) -> DataFrame:
     """All combinations of condition and bands, and one row per condition whose bands are unknown."""
-    names = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
-    conditions = spark.createDataFrame([*CONDITION_NAMES.items()], "condition_code string, condition_name string")
-    bands = names(C.TEMPERATURE_NAMES, "temp_band").crossJoin(names(("None", *C.PRECIPITATION_NAMES), "precip_band")).crossJoin(names(C.VISIBILITY_NAMES, "visibility_band"))
-    unknown = spark.createDataFrame([("Unknown",) * 3], bands.schema)
+    each = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    named = F.array(*[F.struct(F.lit(k).alias("condition_code"), F.lit(v).alias("condition_name")) for k, v in CONDITION_NAMES.items()])
+    conditions = spark.range(0, 1, 1, 1).select(F.inline(named))  # one partition: a join of small frames would multiply theirs
+    bands = {"temp_band": C.TEMPERATURE_NAMES, "precip_band": ("None", *C.PRECIPITATION_NAMES), "visibility_band": C.VISIBILITY_NAMES}
+    known = conditions
+    for name, values in bands.items():
+        known = known.withColumn(name, each(values))
+    unknown = conditions.withColumns({name: F.lit("Unknown") for name in bands})
     severe = F.col("condition_code").isin(*SEVERE) | (F.col("precip_band") == "Heavy") | (F.col("visibility_band") == "Poor")
-    return conditions.crossJoin(bands.unionByName(unknown)).withColumn("is_severe", severe.cast("int"))
+    return known.unionByName(unknown).withColumn("is_severe", severe.cast("int"))
 
 
 def with_unknown_member(dim: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

@@ -180,3 +180,10 @@ def test_reachable_edges_repeat_none_on_a_path(spark):
     edges = spark.createDataFrame([("ab", 1, 2), ("bc", 2, 3), ("ca", 3, 1), ("bd", 2, 4)], "edge string, src int, dst int")
     got = sorted((r.hop, r.edge, ">".join(r.path)) for r in spines.reachable(edges, 1, 5).collect())
     assert got == [(1, "ab", "ab"), (2, "bc", "ab>bc"), (2, "bd", "ab>bd"), (3, "ca", "ab>bc>ca")]
+
+
+def test_weather_members_are_made_in_few_partitions(spark):
+    from lakemart.operators import spines
+
+    members = spines.build_dim_weather(spark)
+    assert members.rdd.getNumPartitions() <= 2 and members.count() == members.distinct().count()
