@@ -54,6 +54,36 @@ def distinct_where(column: Column, condition: Column) -> Column:
     return F.count_distinct(F.when(condition, column))
 
 
+def hours_seen(hour: Column, condition: Column | None = None) -> Column:
+    """The hours of day (0 to 23) that occur, where a condition holds, as a mask of bits. Masks of several loads merge by all_hours."""
+    met = hour.between(0, 23) if condition is None else hour.between(0, 23) & condition
+    return F.coalesce(F.bit_or(F.when(met, F.call_function("shiftleft", F.lit(1), hour.cast("int")))), F.lit(0))
+
+
+def all_hours(mask: str) -> Column:
+    return F.bit_or(mask)
+
+
+def hours_in(mask: Column) -> Column:
+    return F.bit_count(mask)
+
+
+#: Size of a quantile sketch: with 200, ranks are within about 1.65 % of the rows, at 99 % confidence.
+SKETCH_K = 200
+SKETCH_ERROR = 0.0165
+
+
+def sketched(column: str, k: int = SKETCH_K) -> Column:
+    """A mergeable sketch of a column's values, to be kept beside an hour's exact figures; null if there is no value."""
+    return F.kll_sketch_agg_double(F.col(column).cast("double"), k)
+
+
+def quantile_of_sketches(df: DataFrame, by: Names, sketch: str, named: dict[str, float], k: int = SKETCH_K) -> DataFrame:
+    """Quantiles of any coarser grouping from sketches alone: what was counted once is merged, not read again."""
+    merged = df.where(F.col(sketch).isNotNull()).groupBy(*by).agg(F.kll_merge_agg_double(sketch, k).alias("_sketch"))
+    return merged.select(*by, F.kll_sketch_get_n_double("_sketch").alias("n_values"), *[F.kll_sketch_get_quantile_double("_sketch", F.lit(p)).alias(n) for n, p in named.items()])
+
+
 def share(condition: Column, of: Column | None = None) -> Column:
     """Percent of the rows, or of the non-null values of a column, that meet a condition."""
     whole = F.count("*") if of is None else F.count(of)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemart.functions.columns import UNKNOWN_KEY
+from lakemart.sources.scratch import discard, written
 
 
 def lookup_key(fact: DataFrame, dim: DataFrame, on: dict[str, str], key: str, unknown: int = UNKNOWN_KEY) -> DataFrame:
@@ -36,12 +37,18 @@ def pit_join(fact: DataFrame, dim: DataFrame, on: dict[str, str], at: str, effec
     return fact.join(dim, valid, "left").drop(*[dim[d] for f, d in on.items() if f == d])
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str], take: Sequence[str], tie: Sequence[str | Column] = ()) -> DataFrame:
-    """left with the columns `take` (prefixed right_) of the latest right row of its key at or before its time, in one shuffle.
+#: A key with more rows than this, of both sides together, is cut into ranges of time.
+CROWDED = 1 << 22
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: Sequence[str], take: Sequence[str], tie: Sequence[str | Column] = (), crowded: int | None = CROWDED) -> DataFrame:
+    """left with the columns `take` (prefixed right_) of the latest right row of its key at or before its time.
 
     Of right rows at the same time the one with the smallest `tie` counts, a null being the largest. Rows are unioned, and
     a running last does the rest, so no pair is made that isn't kept. Rows with a null key or time match nothing, and
-    left ones of that kind stay out of the shuffle.
+    left ones of that kind stay out of the shuffle. Keys are counted first: those with more than `crowded` rows are dealt
+    to many tasks (_met_in_ranges), so that no task has more rows of a key; what
+    is written for that goes with the caller's scratch.cleared. With None nothing is counted.
     """
     known = F.lit(True)
     for c in by:
@@ -52,13 +59,42 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     )
     nothing = lambda c: F.lit(None).cast(rights.schema[c].dataType).alias(c)
     lefts = left.where(known & F.col(left_ts).isNotNull()).select(*by, F.col(left_ts).alias("_ts"), nothing("_tie"), nothing("_right"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
-    order = [F.desc_nulls_first(f"_tie.t{k}") for k in range(max(1, len(tie)))]  # the smallest comes last, and is met last
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", *order).rowsBetween(Window.unboundedPreceding, 0)
-    met = rights.unionByName(lefts).withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    order = ["_ts", "_side", *[F.desc_nulls_first(f"_tie.t{k}") for k in range(max(1, len(tie)))]]  # the smallest tie comes last, and is met last
+    both = rights.unionByName(lefts)
+    busy = None
+    if crowded is not None:
+        busy = written(both.select(*by).groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > crowded).select(*by), "asof-busy")
+        if busy.isEmpty():
+            discard(busy)
+            busy = None
+    if busy is None:
+        met = _running_last(both, by, order)
+    else:
+        met = _running_last(both.join(busy, [*by], "left_anti"), by, order).unionByName(_met_in_ranges(both.join(busy, [*by], "left_semi"), by, order))
     rest = left.where(~(known & F.col(left_ts).isNotNull())).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(f"right_{c}") for c in take])
     return met.select("_left.*", *[F.col(f"_met.{c}").alias(f"right_{c}") for c in take]).unionByName(rest)
 
 
+def _running_last(both: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """(_left, _met) of the left rows: the last right row of the key until then."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_met", F.last("_right", ignorenulls=True).over(w)).where("_side = 1").select("_left", "_met")
+
+
+def _met_in_ranges(both: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """As _running_last, where a key may have more rows than a task can take.
+
+    Rows are range-partitioned by key and order, and written, so that each keeps the range it is in. A running last goes
+    through a key's rows of a range; what it ends with, a row a key and range, is carried on to the key's later ranges.
+    """
+    dealt = written(both.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "asof")
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    held = dealt.withColumns({"_held": F.last("_right", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.lead(F.lit(1)).over(inside)})
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.where("_after is null").select(*by, "_range", F.last("_held", ignorenulls=True).over(before).alias("_carried"))
+    return held.where("_side = 1").join(carried, [*by, "_range"]).select("_left", F.coalesce("_held", "_carried").alias("_met"))
+
+
 def asof_join_unkeyed(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: Sequence[str], tie: Sequence[str | Column], buckets: int = 200) -> DataFrame:
     """As asof_join, where nothing but time joins the sides.
 
@@ -117,11 +153,25 @@ def filter_exists(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataF
 
 
 def overlapping_intervals(dim: DataFrame, business_key: str, key: str, effective: str = "effective_date", expires: str = "expiration_date") -> DataFrame:
-    """Pairs of versions of one business key that are valid on some same day."""
-    a, b = dim.alias("a"), dim.alias("b")
-    both = (F.col(f"a.{business_key}") == F.col(f"b.{business_key}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    meet = (F.col(f"a.{effective}") <= F.col(f"b.{expires}")) & (F.col(f"b.{effective}") <= F.col(f"a.{expires}"))
-    return a.join(b, both & meet).select(F.col(f"a.{business_key}").alias(business_key), F.col(f"a.{key}").alias("first_key"), F.col(f"b.{key}").alias("second_key"))
+    """Pairs of versions of one business key that are valid on some same day.
+
+    A sweep over each key's days counts the versions begun until then: the place of a version is that count where it
+    begins, and it meets those begun after it up to the count where it ends. Only these pairs are made, so a key of many
+    versions that keep apart makes none. Rows with a null key or date meet nothing; versions that end before they begin
+    meet what they begin and end within, as the two inequalities have it. Repeated rows pair as often as they are there.
+    """
+    v = dim.select(F.col(business_key).alias("_bk"), F.col(key).alias("_key"), F.col(effective).alias("_from"), F.col(expires).alias("_to")).dropna()
+    versions = v.repartition("_bk").groupBy("_bk", "_key", "_from", "_to").agg(F.count("*").alias("_n"))
+    days = versions.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_day", F.when(F.col("_end") == 0, F.col("_from")).otherwise(F.col("_to")))
+    begun = F.sum(1 - F.col("_end")).over(Window.partitionBy("_bk").orderBy("_day", "_end", "_key", "_from", "_to").rowsBetween(Window.unboundedPreceding, 0))
+    at = days.withColumn("_begun", begun).groupBy("_bk", "_key", "_from", "_to", "_n").agg(
+        F.max(F.when(F.col("_end") == 0, F.col("_begun"))).alias("_place"), F.max(F.when(F.col("_end") == 1, F.col("_begun"))).alias("_last")
+    )
+    meets = at.where("_last > _place").withColumn("_other", F.explode(F.sequence(F.col("_place") + 1, F.col("_last"))))
+    others = at.select("_bk", F.col("_place").alias("_other"), F.col("_key").alias("_key2"), F.col("_to").alias("_to2"), F.col("_n").alias("_n2"))
+    pairs = meets.join(others, ["_bk", "_other"]).where((F.col("_from") <= F.col("_to2")) & (F.col("_key") != F.col("_key2")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_n") * F.col("_n2")))
+    return pairs.select(F.col("_bk").alias(business_key), F.least("_key", "_key2").alias("first_key"), F.greatest("_key", "_key2").alias("second_key"), copies.alias("_copy")).drop("_copy")
 
 
 def stamp_counts(snapshot: DataFrame, events: DataFrame, on: Sequence[str], name: str) -> DataFrame:

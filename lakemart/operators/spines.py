@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemart.functions import columns as C
+from lakemart.sources.scratch import written
 
 #: National holidays of the sample calendar, by month and day.
 HOLIDAYS = {
@@ -91,14 +92,48 @@ def reachable(edges: DataFrame, start: int, max_hops: int, edge: str = "edge") -
     return out.drop("at")
 
 
-def routes(edges: DataFrame, start: int, end: int, max_edges: int, k: int) -> DataFrame:
-    """The k shortest routes of up to max_edges edges (src, dst, length) between two nodes, without a repeated node; none goes on from the end."""
+#: So many unfinished routes a hop are followed first, to find routes that others must then be shorter than.
+BEAM = 1000
+
+
+def still_to_go(edges: DataFrame, end: int, max_edges: int) -> DataFrame:
+    """(at, hops, rest): the length of the shortest walk to `end` from a node with at most `hops` edges, for hops up to max_edges; no row if there is none."""
+    step = edges.select(F.col("src"), F.col("dst").alias("at"), "length")
+    exact = edges.sparkSession.range(1).select(F.lit(end).cast(edges.schema["dst"].dataType).alias("at"), F.lit(0).cast(edges.schema["length"].dataType).alias("rest"))
+    walks = exact.withColumn("edges", F.lit(0))
+    for k in range(1, max_edges):
+        exact = step.join(exact, "at").groupBy(F.col("src").alias("at")).agg(F.min(F.col("length") + F.col("rest")).alias("rest"))
+        walks = walks.unionByName(exact.withColumn("edges", F.lit(k)))
+    within = walks.withColumn("hops", F.explode(F.sequence(F.col("edges"), F.lit(max_edges - 1))))
+    return within.groupBy("at", "hops").agg(F.min("rest").alias("rest"))
+
+
+def routes(edges: DataFrame, start: int, end: int, max_edges: int, k: int, beam: int = BEAM) -> DataFrame:
+    """The k shortest routes of up to max_edges edges (src, dst, length) between two nodes, without a repeated node; none goes on from the end.
+
+    The shortest walks to the end within the edges left bound each unfinished route from below; one that can't reach the
+    end so is not followed. The `beam` most promising of each hop are followed first: the k-th route so found bounds the
+    length from above, and all others are followed while they can still be as short. Whatever the beam, the routes are the
+    same. Edges without a node or a length are none.
+    """
+    edges = edges.dropna(subset=["src", "dst", "length"])
+    bounds = written(still_to_go(edges, end, max_edges), "routes")
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("length").alias("more"))
-    here = edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.lit(1).alias("hops"), F.array("src", "dst").alias("path"), "length")
-    out = here
-    for _ in range(max_edges - 1):
-        here = here.where(F.col("at") != end).join(step, "at").where(~F.array_contains("path", F.col("next")))
-        here = here.select(F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"), (F.col("length") + F.col("more")).alias("length"))
-        out = out.unionByName(here)
-    found = out.where(F.col("at") == end)
+    first = edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.lit(1).alias("hops"), F.array("src", "dst").alias("path"), "length")
+
+    def hopeful(here: DataFrame, hops: int) -> DataFrame:
+        left = bounds.where(F.col("hops") == max_edges - hops).select("at", "rest")
+        return here.join(left, "at").withColumn("least", F.col("length") + F.col("rest"))
+
+    def walked(keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        here = out = keep(hopeful(first, 1))
+        for hops in range(2, max_edges + 1):
+            on = here.where(F.col("at") != end).join(step, "at").where(~F.array_contains("path", F.col("next")))
+            on = on.select(F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("next")).alias("path"), (F.col("length") + F.col("more")).alias("length"))
+            here = keep(hopeful(on, hops))
+            out = out.unionByName(here)
+        return out.where(F.col("at") == end)
+
+    told = walked(lambda here: here.orderBy("least", "path").limit(beam)).select("length").orderBy("length").limit(k).agg(F.count("*").alias("n"), F.max("length").alias("longest")).first()
+    found = walked((lambda here: here.where(F.col("least") <= told.longest)) if told.n == k else lambda here: here)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("route"), "hops", "length").orderBy("length", "hops", "route").limit(k)

@@ -56,7 +56,7 @@ def bi_traffic_daily(fte: DataFrame) -> DataFrame:
 
 def bi_detector_daily(fte: DataFrame, technology: str, key: str) -> DataFrame:
     """Detections, hours with any and their share of the day, by detector of one technology."""
-    hours = A.distinct_where(F.floor(F.col("time_key") / 60), F.col("time_key") >= 0)
+    hours = A.hours_in(A.hours_seen(F.floor(F.col("time_key") / 60)))
     made = fte.where(F.col("detector_type") == technology).groupBy("date_key", key).agg(
         F.count("*").alias("detections"), hours.alias("active_hours"), mean("speed_kmh").alias("avg_speed"), F.count_if(F.col("speed_over_limit_kmh") > 0).alias("speeding_detections")
     )

@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import date
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lakemart.sources.scratch import cleared, written
 
 #: Rows of one file take so many bytes in the shuffle before it; as columns they take a half to a fifth of that.
 FILE_BYTES = 128 << 20
@@ -171,10 +173,68 @@ def current(spark: SparkSession, path: str, number: int | None = None) -> DataFr
     return spark.read.parquet(found.folder)
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, truncate: bool = True, batch: int = 10_000, **properties: str) -> None:
-    """Bulk insert in batches, after truncating or behind what is there."""
+def write_jdbc(df: DataFrame, url: str, table: str, truncate: bool = True, batch: int = 10_000, mode: str | None = None, **properties: str) -> None:
+    """Bulk insert in batches, after truncating or behind what is there; mode="overwrite" without truncating makes the table anew."""
     writer = df.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, truncate=str(truncate).lower(), **properties)
-    writer.mode("overwrite" if truncate else "append").save()
+    writer.mode(mode or ("overwrite" if truncate else "append")).save()
+
+
+def _sql_name(name: str) -> str:
+    if not name.replace("_", "").replace(".", "").isalnum():
+        raise ValueError(f"not a plain name: {name}")
+    return name
+
+
+def _in_transaction(spark: SparkSession, url: str, properties: dict[str, str], statements: Sequence[tuple[str, Sequence[object]]]) -> list[int]:
+    """Run statements with their parameters in one transaction of the database; how many rows each has touched."""
+    if "driver" in properties:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    given = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        touched = []
+        try:
+            for sql, values in statements:
+                statement = connection.prepareStatement(sql)
+                for at, v in enumerate(values, 1):
+                    statement.setObject(at, spark._jvm.java.sql.Date.valueOf(v.isoformat()) if isinstance(v, date) else v)
+                touched.append(statement.executeUpdate())
+                statement.close()
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+        return touched
+    finally:
+        connection.close()
+
+
+def replace_jdbc_slice(df: DataFrame, url: str, table: str, by: str, value: object, connections: int = 8, batch: int = 10_000, **properties: str) -> int:
+    """Replace a table's rows of one `by` value (a number, text or date) by df's; how many there are.
+
+    Rows go to `<table>_stage` by at most `connections` tasks, each with one connection. One transaction then deletes the
+    slice and inserts the stage, so readers see the old slice or the new one, and a load that fails, anywhere, leaves the
+    old one. It may be repeated: the next load replaces the stage. Rows are numbered before they are staged, and of those
+    that share a number one is taken, so a task that runs twice, its first rows being committed already, adds nothing.
+    The table must be there.
+    """
+    spark, stage = df.sparkSession, f"{_sql_name(table)}_stage"
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    there = {c.lower(): c for c in spark.read.format("jdbc").options(url=url, dbtable=table, **properties).load().columns}  # the table's own case
+    into = ", ".join(quote(there[c.lower()]) for c in df.columns)
+    staged, row, copy = ", ".join("s." + quote(c) for c in df.columns), quote("load_row"), quote("load_copy")
+    with cleared(spark):
+        rows = written(df.where(F.col(by) == F.lit(value)).withColumn("load_row", F.monotonically_increasing_id()), "jdbc-slice")
+        told_apart = F.xxhash64(F.reflect(F.lit("java.util.UUID"), F.lit("randomUUID")))  # unlike uuid(), another one when a task runs again
+        write_jdbc(rows.coalesce(connections).withColumn("load_copy", told_apart), url, stage, truncate=False, mode="overwrite", batch=batch, **properties)
+    _, inserted = _in_transaction(spark, url, properties, [
+        (f"DELETE FROM {table} WHERE {quote(there[by.lower()])} = ?", [value]),
+        (f"INSERT INTO {table} ({into}) SELECT {staged} FROM {stage} s WHERE NOT EXISTS (SELECT 1 FROM {stage} o WHERE o.{row} = s.{row} AND o.{copy} < s.{copy})", []),
+    ])
+    return inserted
 
 
 # The columns of the two staging contracts, by the name that they have in the lake.

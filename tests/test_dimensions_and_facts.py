@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -153,8 +154,6 @@ def test_rows_without_a_key_are_one_group(spark):
 
 
 def test_asof_joins_match_brute_force(spark):
-    import random
-
     rnd = random.Random(3)
     left = [(k, rnd.choice(("a", "b", None)), rnd.choice((None, *range(100)))) for k in range(400)]
     right = [(rnd.choice(("a", "b", "c", None)), rnd.choice((None, *range(0, 120, 3))), rnd.choice(("s1", "s2", "s3", None))) for _ in range(150)]
@@ -170,12 +169,79 @@ def test_asof_joins_match_brute_force(spark):
 
     keyed = joins.asof_join(lefts, rights, "t", "u", ("k",), ("s",), ("s",))
     assert {r.id: r.right_s for r in keyed.collect()} == {i: best(k, t, True) for i, k, t in left}
+    for crowded in (None, 0, 40):  # all keys by one task each, all in ranges, and some
+        cut = joins.asof_join(lefts, rights, "t", "u", ("k",), ("s",), ("s",), crowded)
+        assert {r.id: r.right_s for r in cut.collect()} == {i: best(k, t, True) for i, k, t in left}
     for buckets in (1, 7, 200):
         free = joins.asof_join_unkeyed(lefts, rights, "t", "u", ("s",), ("s",), buckets)
         assert {r.id: r.right_s for r in free.collect()} == {i: best(k, t, False) for i, k, t in left}
     assert {r.right_s for r in joins.asof_join_unkeyed(lefts, rights.limit(0), "t", "u", ("s",), ("s",)).collect()} == {None}
 
 
+def test_a_busy_key_of_an_asof_join_is_many_tasks_work(spark):
+    rows = spark.range(200_000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("t"), "id")
+    rights = rows.where("id % 50000 = 7")  # few, so that ranges without any carry one on
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")  # or so few rows would be one range
+    try:
+        kept = joins.asof_join(rows.repartition(8), rights, "t", "t", ("k",), ("id",), ("id",), crowded=50_000)
+        assert kept.count() == 200_000
+        assert kept.where("not right_id <=> if(id < 7, null, id - (id - 7) % 50000)").count() == 0
+        tasks = kept.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and max(r["count"] for r in tasks) < 200_000
+    finally:
+        spark.conf.unset(merge)
+
+
+def test_overlaps_by_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice(("a", "b", "c", None)), rnd.randrange(60), rnd.choice((None, *range(1, 40))), rnd.choice((None, *range(1, 40)))) for _ in range(240)]
+    rows += rows[:30]
+    dim = spark.createDataFrame(rows, "b string, k int, e int, x int")
+    want = sorted((r[0], r[1], s[1]) for r in rows for s in rows if None not in (*r, *s) and r[0] == s[0] and r[1] < s[1] and r[2] <= s[3] and s[2] <= r[3])
+    assert seen(joins.overlapping_intervals(dim, "b", "k", "e", "x"), "b", "first_key", "second_key") == want and want
+    assert joins.overlapping_intervals(dim.limit(0), "b", "k", "e", "x").count() == 0
+
+
+def test_many_versions_that_keep_apart_make_no_pair(spark):
+    """100,000 versions of one key, one after the other, and one that is open over the last ten."""
+    days = lambda c: F.date_add(F.lit("1000-01-01").cast("date"), c.cast("int"))
+    dim = spark.range(100_000).select(F.lit("a").alias("b"), F.col("id").alias("k"), days(F.col("id") * 2).alias("e"), days(F.col("id") * 2 + 1).alias("x"))
+    assert joins.overlapping_intervals(dim, "b", "k", "e", "x").count() == 0
+    late = spark.range(1).select(F.lit("a").alias("b"), F.lit(-1).cast("long").alias("k"), days(F.lit(2 * 99_990)).alias("e"), days(F.lit(400_000)).alias("x"))
+    assert joins.overlapping_intervals(dim.unionByName(late), "b", "k", "e", "x").count() == 10
+
+
+def test_routes_by_brute_force(spark):
+    rnd = random.Random(3)
+    graph = {(a, b): rnd.randrange(1, 9) for a in range(12) for b in rnd.sample(range(12), 4) if a != b}
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in graph.items()], "src int, dst int, length int")
+    found, here = [], [((0,), 0)]
+    for _ in range(5):
+        here = [((*p, b), n + m) for p, n in here if len(p) == 1 or p[-1] != 7 for (a, b), m in graph.items() if a == p[-1] and b not in p]
+        found += [(n, len(p) - 1, ">".join(map(str, p))) for p, n in here if p[-1] == 7]
+    for k, beam in ((4, 1), (4, 1000), (10_000, 1000)):
+        got = [(r.length, r.hops, r.route) for r in spines.routes(edges, 0, 7, 5, k, beam).collect()]
+        assert got == sorted(found)[:k]
+    assert spines.routes(edges, 0, 99, 5, 3).count() == 0
+
+
+def test_routes_of_a_great_graph_follow_what_can_still_arrive(spark):
+    """100,000 edges, twenty from each node: of 20^5 paths, those near the shortest are followed."""
+    nodes = 5000
+    edges = spark.range(nodes * 20).select((F.col("id") % nodes).alias("src"), (F.xxhash64("id") % nodes + nodes).alias("d"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90)) + 10).alias("length")).select("src", F.pmod("d", F.lit(nodes)).alias("dst"), "length")
+    edges = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("length").alias("length"))
+    got = spines.routes(edges, 1, 2, 6, 5).collect()
+    assert len(got) == 5 and all(r.route.startswith("1>") and r.route.endswith(">2") and r.hops <= 6 for r in got)
+
+
+def test_hours_are_merged_as_masks(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 0), ("a", 23), ("b", 5), ("b", None), ("c", None), ("c", 24), ("c", -1)], "k string, h int")
+    loads = [rows.where(c).groupBy("k").agg(analytics.hours_seen(F.col("h")).alias("m")) for c in ("h = 0", "h is null or h <> 0")]
+    both = loads[0].unionByName(loads[1]).groupBy("k").agg(analytics.hours_in(analytics.all_hours("m")).alias("n"))
+    assert seen(both, "k", "n") == [("a", 2), ("b", 1), ("c", 0)]
+
+
 def test_reachable_edges_repeat_none_on_a_path(spark):
     edges = spark.createDataFrame([("ab", 1, 2), ("bc", 2, 3), ("ca", 3, 1), ("bd", 2, 4)], "edge string, src int, dst int")
     got = sorted((r.hop, r.edge, ">".join(r.path)) for r in spines.reachable(edges, 1, 5).collect())

@@ -215,6 +215,31 @@ def test_jdbc(spark, tmp_path):
     assert spark.read.format("jdbc").options(url=url, dbtable="events", **driver).load().count() == 10
 
 
+def test_a_jdbc_slice_is_replaced_once_however_often_it_is_loaded(spark, tmp_path, monkeypatch):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    day = lambda n, d: spark.range(n).select("id", F.lit("x").alias("code"), F.lit(d).cast("date").alias("day"))
+    have = lambda: {(r.day.day, r["count"]) for r in spark.read.format("jdbc").options(url=url, dbtable="facts", **driver).load().groupBy("day").count().collect()}
+    sinks.write_jdbc(day(5, "2026-06-01").unionByName(day(7, "2026-06-02")), url, "facts", **driver)
+    load = lambda n: sinks.replace_jdbc_slice(day(n, "2026-06-02").repartition(6).unionByName(day(3, "2026-06-01")), url, "facts", "day", date(2026, 6, 2), connections=2, **driver)
+    whole = sinks.write_jdbc
+    # A task that is run again after its rows were committed: the stage has them twice.
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_jdbc", lambda df, *a, **o: (whole(df, *a, **o), whole(df, *a, **(o | {"mode": "append"}))))
+        assert load(9) == 9
+    assert have() == {(1, 5), (2, 9)}
+    # A load that fails between the deletion and the end leaves the slice as it was.
+    with monkeypatch.context() as m:
+        run = sinks._in_transaction
+        m.setattr(sinks, "_in_transaction", lambda s, u, p, statements: run(s, u, p, [*statements, ("INSERT INTO missing_table VALUES (1)", [])]))
+        with pytest.raises(Exception, match="(?i)missing_table"):
+            load(2)
+    assert have() == {(1, 5), (2, 9)}
+    assert load(2) == load(2) == 2 and have() == {(1, 5), (2, 2)}
+    assert load(0) == 0 and have() == {(1, 5)}
+    with pytest.raises(ValueError, match="plain name"):
+        sinks.replace_jdbc_slice(day(1, "2026-06-02"), url, "facts; drop", "day", date(2026, 6, 2), **driver)
+
+
 def test_scratch_tables_belong_to_their_thread(spark):
     """Jobs of several threads at a time: none deletes what another still reads."""
     from lakemart.sources.scratch import settled, written
