@@ -43,6 +43,21 @@ W = lambda m, n: f"sum({m} * vehicle_count)::DOUBLE / nullif(sum(vehicle_count),
 SPEED, JAM, TOTAL = W("avg_speed", "avg_speed"), W("congestion_index", "avg_congestion"), "sum(vehicle_count)::BIGINT AS total_vehicles"
 INC, HEAVY = "sum(incident_count)::BIGINT AS incidents", "sum(heavy_vehicle_count)::BIGINT AS heavy_vehicles"
 
+
+def p85_of_hours(det: DataFrame) -> DataFrame:
+    """A day's 85th percentile of speed from the sketches of its hours and segments."""
+    hours = det.groupBy("date_key", "hour_of_day", "segment_key").agg(A.sketched("speed_kmh").alias("speeds"))
+    return A.quantile_of_sketches(hours, ("date_key",), "speeds", {"p85": 0.85})
+
+
+def merged_hours(det: DataFrame) -> DataFrame:
+    """Hours of each day and segment with any detection, and with fast ones, from the masks of two loads."""
+    hour, by = F.floor(F.col("time_key") / 60), ("date_key", "segment_key")
+    load = lambda rows: rows.groupBy(*by).agg(A.hours_seen(hour, F.col("speed_kmh") > 50).alias("fast"), A.hours_seen(hour).alias("seen"))
+    both = load(det.where("event_id % 2 = 0")).unionByName(load(det.where("event_id % 2 = 1")))
+    return both.groupBy(*by).agg(A.hours_in(A.all_hours("fast")).alias("fast_hours"), A.hours_in(A.all_hours("seen")).alias("active_hours"))
+
+
 bind("a2_hourly_traffic", "SELECT date_key, hour_of_day, segment_code, vehicle_count, heavy_vehicle_count, avg_speed, p85_speed, congestion_index, incident_count FROM fht")(
     lambda s, d: T.hourly(s, d).select("date_key", "hour_of_day", "segment_code", "vehicle_count", "heavy_vehicle_count", "avg_speed", "p85_speed", "congestion_index", "incident_count")
 )
@@ -58,6 +73,10 @@ bind("a7_weighted_avg", f"SELECT segment_code, {TOTAL}, {SPEED}, {JAM} FROM fht
 bind("a8_conditional_share", "SELECT segment_code, count(*) FILTER (speed_over_limit_kmh > 10) AS speeding, count(*) FILTER (speed_over_limit_kmh > 10)::DOUBLE * 100 / count(*)::DOUBLE AS pct FROM det GROUP BY ALL")(
     lambda s, d: T.detections(s, d).groupBy("segment_code").agg(F.count_if(F.col("speed_over_limit_kmh") > 10).alias("speeding"), A.share(F.col("speed_over_limit_kmh") > 10).alias("pct"))
 )
+bind("a3_sketched_p85", "SELECT date_key, count(speed_kmh) AS n_values, true AS within FROM det WHERE speed_kmh IS NOT NULL GROUP BY ALL")(
+    lambda s, d: A.sketch_holds(T.detections(s, d), ("date_key",), "speed_kmh", p85_of_hours(T.detections(s, d)), "p85", 0.85)
+)
+bind("a9_active_hours_merged", "SELECT date_key, segment_key, count(DISTINCT CASE WHEN speed_kmh > 50 THEN time_key // 60 END) AS fast_hours, count(DISTINCT time_key // 60) AS active_hours FROM det GROUP BY ALL")(lambda s, d: merged_hours(T.detections(s, d)))
 bind("a9_distinct_where", "SELECT date_key, count(DISTINCT CASE WHEN speed_kmh > 50 THEN segment_key END) AS n FROM det GROUP BY ALL")(
     lambda s, d: T.detections(s, d).groupBy("date_key").agg(A.distinct_where(F.col("segment_key"), F.col("speed_kmh") > 50).alias("n"))
 )

@@ -301,14 +301,77 @@ bind("q_report_summary", f", {NIGHT} SELECT 1::BIGINT AS batch_id, 40::BIGINT AS
     lambda s, d: audit.quality_summary(samples.run_warehouse(s, d)["tables"]["quality_log"]).select("batch_id", "checks_run", "passed", "failed_errors", "failed_warnings", "gate_result")
 )
 
+
+
+def planted_log(s: SparkSession, d: str) -> DataFrame:
+    """A log of each detection that is too fast as a failed check: errors for sensors, warnings for cameras, and a pass for those that aren't."""
+    fast = F.col("speed_kmh") > 50
+    log = T.detections(s, d).groupBy("date_key", "detector_type").agg(F.count_if(fast).alias("failed_rows"))
+    status, severity = F.when(F.col("failed_rows") > 2, "Fail").otherwise("Pass"), F.when(F.col("detector_type") == "SENSOR", "Error").otherwise("Warning")
+    return log.select(F.lit(1).alias("batch_id"), F.concat_ws("-", "detector_type", "date_key").alias("check_name"), F.lit("Speed").alias("category"), severity.alias("severity"), status.alias("status"), "failed_rows", F.lit("2026-01-01").cast("timestamp").alias("checked_at"))
+
+
+LOGGED = "log AS (SELECT detector_type || '-' || date_key AS check_name, CASE WHEN detector_type = 'SENSOR' THEN 'Error' ELSE 'Warning' END AS severity, CASE WHEN count(*) FILTER (speed_kmh > 50) > 2 THEN 'Fail' ELSE 'Pass' END AS status FROM det GROUP BY date_key, detector_type)"
+
+
+def reported(s: SparkSession, d: str) -> DataFrame:
+    """The report with the place that each row has in it: rows are taken in the order the report gives."""
+    return audit.quality_report(planted_log(s, d)).coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1).select("place", "check_name", "severity", "status")
+
+
+def gated(s: SparkSession, d: str) -> DataFrame:
+    """Which checks close the gate: what assert_quality says, as rows."""
+    try:
+        audit.assert_quality(planted_log(s, d))
+        names = []
+    except ValueError as e:
+        names = str(e).split(": ", 1)[1].split(", ")
+    return s.createDataFrame([(n,) for n in names], "check_name string")
+
+
+def own_rule(s: SparkSession, d: str) -> DataFrame:
+    """A user's rule beside the library's, and what it rejects."""
+    rules = [*C.boundary_rules(), C.Rule("TOO_SLOW", F.col("speed_kmh") < 20)]
+    return cleanse.apply_rules(lake.conformed_bronze(s, samples.run_lake(s, d)["lake"], samples.run_lake(s, d)["day"]), rules).dropDuplicates(["event_id"]).select("event_id", "reject_reason")
+
+
+bind("t7_report_order", f", {LOGGED} SELECT row_number() OVER (ORDER BY status <> 'Fail', CASE WHEN status = 'Fail' THEN severity <> 'Error' END, check_name) AS place, check_name, severity, status FROM log")(reported)
+bind("ext_own_rule", f", {FEED} SELECT event_id::VARCHAR AS event_id, CASE WHEN NOT named THEN 'MISSING_KEY' WHEN tenths <= 0 OR tenths > 2500 THEN 'SPEED_RANGE' WHEN NOT cam AND (occ < 0 OR occ > 100) THEN 'OCCUPANCY_RANGE' WHEN on_day <> d THEN 'DATE_MISMATCH' WHEN tenths < 200 THEN 'TOO_SLOW' END AS reject_reason FROM raw")(own_rule)
+bind("q_gate", f", {LOGGED} SELECT check_name FROM log WHERE severity = 'Error' AND status = 'Fail'")(gated)
+
 # ---------------------------------------------------------------- views over the warehouse
 
+VERSION = "true AS is_current, 1 AS version_number, is_inferred"
+#: View -> (dimension, its key, the code that keys are given by, its rows without the unknown member); keys follow the code, inferred members last.
 SHOWN = {
-    "road_segment": ("segment", "segment_code", "xseg", "segment_code", "dseg", "segment_code"), "sensor": ("sensor", "serial_number", "", "", "dsen", "serial_number"), "vehicle_type": ("vehicle_type", "type_code", "", "", "xveh", "type_code"),
-    "incident_type": ("incident_type", "type_code", "", "", "xtype", "type_code"), "emergency_unit": ("unit", "unit_code", "", "", "xunit", "unit_code"), "traffic_light": ("light", "controller_code", "", "", "xlight", "controller_code"), "traffic_camera": ("camera", "camera_code", "", "", "xcam", "camera_code"),
+    "road_segment": ("segment", "segment_key", "segment_code", f"""SELECT dseg.segment_code, road_code, road_name, 'C' || (substr(road_code, 2)::INT % 3) AS road_category, city, district, CASE WHEN NOT is_inferred THEN 'NB' END AS direction, start_intersection, end_intersection,
+  latitude::DOUBLE AS latitude, latitude::DOUBLE - 20 AS longitude, length_m::INT AS length_m, lane_count::INT AS lane_count, xseg.speed_limit::INT AS speed_limit, xseg.speed_limit::INT AS current_speed_limit, {VERSION} FROM dseg LEFT JOIN xseg USING (segment_code)"""),
+    "sensor": ("sensor", "sensor_key", "serial_number", f"""SELECT dsen.serial_number, sensor_type_name, technology, segment_code, CASE WHEN NOT is_inferred THEN 'OK' END AS status_class, CASE WHEN NOT is_inferred THEN DATE '1994-01-01' END AS install_date, {VERSION} FROM dsen LEFT JOIN xsen USING (serial_number)"""),
+    "vehicle_type": ("vehicle_type", "vehicle_type_key", "type_code", "SELECT type_code, type_code[1] || lower(type_code[2:]) AS type_name, 'Any' AS category, (type_code IN ('PURCHASE', 'SIGNUP'))::INT AS is_heavy FROM xveh"),
+    "incident_type": ("incident_type", "incident_type_key", "type_code", "SELECT type_code, type_name, category, 2 AS default_severity FROM xtype"),
+    "emergency_unit": ("unit", "unit_key", "unit_code", "SELECT unit_code, 'Police' AS unit_type, 'HQ' AS home_station, vehicle_make, vehicle_model FROM xunit"),
+    "traffic_light": ("light", "light_key", "controller_code", "SELECT controller_code, intersection_name, current_timing_plan, NULL::VARCHAR AS previous_timing_plan, NULL::DATE AS timing_plan_changed, cycle_seconds::INT AS cycle_seconds, 'OK' AS status FROM xlight"),
+    "traffic_camera": ("camera", "camera_key", "camera_code", "SELECT camera_code, intersection_name, 'M' AS model, '4k' AS resolution, '2' AS firmware_version, 'OK' AS status FROM xcam"),
 }
-for _k, (_view, (_dim, _code, _, _, _sql, _col)) in enumerate(SHOWN.items(), 4):
-    bind(f"b{_k if _k < 6 else _k + 1}_{_view}", f", {NIGHT} SELECT {_col} AS code FROM {_sql} UNION ALL SELECT 'Unknown'")(lambda s, d, v=_view, t=_dim, c=_code: semantic.bi_view(v, samples.run_warehouse(s, d)["tables"][t]).select(F.col(c).alias("code")))
+#: Columns of the unknown member that are no texts.
+NOT_TEXT = {"latitude", "longitude", "length_m", "lane_count", "speed_limit", "current_speed_limit", "install_date", "is_heavy", "default_severity", "timing_plan_changed", "cycle_seconds"}
+VERSIONED_AS = {"is_current": "true", "version_number": "1", "is_inferred": "false"}
+
+
+def view_sql(view: str) -> str:
+    """All columns of a view: its members, numbered, and the unknown one."""
+    _, key, code, members = SHOWN[view]
+    columns = [c for c in semantic.PROJECTIONS[view] if c != key]
+    order = f"is_inferred, {code}" if "is_inferred" in columns else code
+    unknown = ", ".join("NULL" if c in NOT_TEXT else VERSIONED_AS.get(c, "'Unknown'") for c in columns)
+    names = ", ".join(columns)
+    return f", {NIGHT}, members AS ({members}) SELECT row_number() OVER (ORDER BY {order})::INT AS {key}, {names} FROM members UNION ALL SELECT -1, {unknown}"
+
+
+for _k, (_view, (_dim, *_)) in enumerate(SHOWN.items(), 4):
+    bind(f"b{_k if _k < 6 else _k + 1}_{_view}", view_sql(_view))(
+        lambda s, d, v=_view, t=_dim: (lambda x: x.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude") if c in x.columns}))(semantic.bi_view(v, samples.run_warehouse(s, d)["tables"][t]))
+    )
 bind("b6_weather", f", {FEED} SELECT condition_code, count(*) AS n FROM (SELECT unnest(['DRY', 'RAIN', 'SNOW', 'FOG', 'ICE', 'STORM']) AS condition_code, unnest(range(6)) AS z) c, range(61) r GROUP BY 1 UNION ALL SELECT 'UNK', 1")(
     lambda s, d: semantic.bi_view("weather", samples.run_warehouse(s, d)["tables"]["weather"]).groupBy("condition_code").agg(F.count("*").alias("n"))
 )

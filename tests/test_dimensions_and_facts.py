@@ -242,6 +242,16 @@ def test_hours_are_merged_as_masks(spark):
     assert seen(both, "k", "n") == [("a", 2), ("b", 1), ("c", 0)]
 
 
+def test_quantiles_come_from_merged_sketches(spark):
+    rows = spark.range(60_000).select((F.col("id") % 24).alias("h"), F.when(F.col("id") % 3 == 0, F.lit("a")).when(F.col("id") % 1000 == 1, F.lit("few")).otherwise(F.lit("b")).alias("k"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(9973))).alias("x"))
+    rows = rows.unionByName(spark.range(5).select(F.lit(1).cast("long").alias("h"), F.lit("none").alias("k"), F.lit(None).cast("long").alias("x")))
+    hours = rows.groupBy("k", "h").agg(analytics.sketched("x").alias("s"))
+    found = analytics.quantile_of_sketches(hours, ("k",), "s", {"p50": 0.5, "p85": 0.85})
+    for name, p in (("p50", 0.5), ("p85", 0.85)):
+        assert {r.k: r.within for r in analytics.sketch_holds(rows, ("k",), "x", found, name, p).collect()} == {"a": True, "b": True, "few": True}
+    assert [r.within for r in analytics.sketch_holds(rows, ("k",), "x", found.withColumn("p85", F.lit(100.0)), "p85", 0.85).collect()] == [False] * 3
+
+
 def test_reachable_edges_repeat_none_on_a_path(spark):
     edges = spark.createDataFrame([("ab", 1, 2), ("bc", 2, 3), ("ca", 3, 1), ("bd", 2, 4)], "edge string, src int, dst int")
     got = sorted((r.hop, r.edge, ">".join(r.path)) for r in spines.reachable(edges, 1, 5).collect())
