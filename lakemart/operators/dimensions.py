@@ -59,11 +59,20 @@ def scd2_merge(dim: DataFrame, source: DataFrame, business_key: str, key: str, t
     and carried on. type6 {column: source column} has the current value on all versions. Unknown keys become version 1;
     members that the source lacks stay. The same source again changes nothing.
     """
-    type0, type6 = type0 or {}, type6 or {}
+    rows = with_new_keys(scd2_branches(dim.where("is_current"), source, business_key, key, type2, load_date, type1, type0), key, [business_key], dim)
+    out = dim.where("not is_current").unionByName(rows)
+    for c, origin in (type6 or {}).items():
+        out = type6_sync(out, business_key, origin, c)
+    return out
+
+
+def scd2_branches(dim: DataFrame, source: DataFrame, business_key: str, key: str, type2: Sequence[str], load_date: str, type1: Sequence[str] = (), type0: dict[str, str] | None = None) -> DataFrame:
+    """What becomes of a dimension's current rows, dim: each with its branch taken, and those that expire beside their
+    successors. New versions have no key yet. Closed versions aren't needed, and aren't there."""
+    type0 = type0 or {}
     day = F.lit(load_date).cast("date")
     s = source.withColumn("_hash", hash_diff(type2)).select(F.col(business_key).alias("_bk"), "_hash", F.struct(*source.columns).alias("_new"))
-    past, current = dim.where("not is_current"), dim.where("is_current")
-    both = current.join(s, current[business_key] == s["_bk"], "full")
+    both = dim.join(s, dim[business_key] == s["_bk"], "full")
     branch = (
         F.when(F.col("_bk").isNull(), "absent").when(F.col(key).isNull(), "new").when(F.col("is_inferred"), "completed")
         .when(F.col("hash_diff").eqNullSafe(F.col("_hash")), "same").when(F.col("effective_date") >= day, "corrected").otherwise("changed")
@@ -108,11 +117,7 @@ def scd2_merge(dim: DataFrame, source: DataFrame, business_key: str, key: str, t
     ended = F.struct(*[
         {"expiration_date": F.date_sub(day, 1), "is_current": F.lit(False)}.get(c, F.col(c)).cast(dim.schema[c].dataType).alias(c) for c in dim.columns
     ])
-    rows = told.select(F.explode(F.when(F.col("_branch") == "changed", F.array(ended, successor)).when(F.col("_branch") == "new", F.array(successor)).otherwise(F.array(in_place))).alias("_row")).select("_row.*")
-    out = with_new_keys(past.unionByName(rows), key, [business_key], dim)
-    for c, origin in type6.items():
-        out = type6_sync(out, business_key, origin, c)
-    return out
+    return told.select(F.explode(F.when(F.col("_branch") == "changed", F.array(ended, successor)).when(F.col("_branch") == "new", F.array(successor)).otherwise(F.array(in_place))).alias("_row")).select("_row.*")
 
 
 def type6_sync(dim: DataFrame, business_key: str, source: str, target: str) -> DataFrame:

@@ -91,6 +91,7 @@ class Snapshot:
     number: int
     folder: str
     metrics: dict[str, int]
+    carried: tuple[str, ...] = ()  # parts of earlier versions' folders that belong to this one as they are
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
@@ -114,16 +115,16 @@ def snapshot(spark: SparkSession, path: str, number: int | None = None) -> Snaps
         told = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return Snapshot(number, f"{path}/{told['folder']}", told["metrics"])
+    return Snapshot(number, f"{path}/{told['folder']}", told["metrics"], tuple(f"{path}/{x}" for x in told.get("carried", ())))
 
 
-def _commit(spark: SparkSession, path: str, number: int, folder: str, metrics: dict[str, int]) -> None:
+def _commit(spark: SparkSession, path: str, number: int, folder: str, metrics: dict[str, int], carried: Sequence[str] = ()) -> None:
     """Name a folder as a version. The pointer is written under another name and then renamed, so it is there whole or not
     at all; Hadoop's rename takes no name that is in use, so of two writers one fails."""
     fs, draft = _at(spark, f"{path}/_drafts/{folder}")
     stream = fs.create(draft, True)
     try:
-        stream.write(bytearray(json.dumps({"folder": folder, "metrics": metrics}), "utf-8"))
+        stream.write(bytearray(json.dumps({"folder": folder, "metrics": metrics, "carried": [*carried]}), "utf-8"))
     finally:
         stream.close()
     _, at = _at(spark, f"{path}/_versions/{number:012d}")
@@ -154,11 +155,31 @@ def publish(df: DataFrame, path: str, after: int | None = None, keep: int = KEEP
     return Snapshot(number, f"{path}/{folder}", told)
 
 
+def publish_parts(parts: dict[str, DataFrame], path: str, after: int, carry: Sequence[str] = (), keep: int = KEEP) -> Snapshot:
+    """As publish, a version that has several parts, each a folder of its own; `carry` are parts of the version `after` that
+    stay as they are: they are named again, not written again. Conflict as there. Metrics: rows of each part that is written."""
+    spark, number = next(iter(parts.values())).sparkSession, after + 1
+    folder = f"v-{number:012d}-{uuid.uuid4().hex}"
+    told = {name: write_full(df, f"{path}/{folder}/{name}")["rows"] for name, df in parts.items()}
+    kept = [x.removeprefix(f"{path}/") for x in carry]
+    try:
+        _commit(spark, path, number, folder, told, kept)
+    except Conflict:
+        fs, at = _at(spark, f"{path}/{folder}")
+        fs.delete(at, True)
+        raise
+    expire(spark, path, keep)
+    return Snapshot(number, f"{path}/{folder}", told, tuple(carry))
+
+
 def expire(spark: SparkSession, path: str, keep: int = KEEP) -> None:
-    """Forget all versions but the last `keep`, their names first. Folders that were never named go when their number is past."""
+    """Forget all versions but the last `keep`, their names first. Folders that were never named go when their number is
+    past, and so do those that the versions which stay carry nothing of."""
     last = max(versions(spark, path), default=0) - max(1, keep)
     old = [f"_versions/{n:012d}" for n in versions(spark, path) if n <= last]
-    old += [x for x in _names(spark, path) if x.startswith("v-") and int(x.split("-")[1]) <= last]
+    past = [x for x in _names(spark, path) if x.startswith("v-") and int(x.split("-")[1]) <= last]
+    used = {c.removeprefix(f"{path}/").split("/")[0] for n in versions(spark, path) if n > last for c in snapshot(spark, path, n).carried} if past else set()
+    old += [x for x in past if x not in used]
     old += [f"_drafts/{x}" for x in _names(spark, f"{path}/_drafts") if x.startswith("v-") and int(x.split("-")[1]) <= last]
     for x in old:
         fs, at = _at(spark, f"{path}/{x}")

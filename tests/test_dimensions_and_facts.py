@@ -1,11 +1,15 @@
 import random
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakemart.operators import analytics, dimensions, facts, joins, spines
+from lakemart.plans import history
+from lakemart.sources import sinks
+from lakemart.sources.scratch import written
 
 T2 = ("road_name", "speed_limit")
 OPTIONS = {"type0": {"original_limit": "speed_limit"}, "type6": {"current_limit": "speed_limit"}}
@@ -43,6 +47,32 @@ def test_a_change_makes_a_version_and_a_rerun_makes_none(spark, day1):
     assert len(set(keys)) == 4 and None not in keys
 
 
+def test_a_split_history_is_the_whole_one_and_writes_no_closed_version_twice(spark, tmp_path):
+    at, whole = f"{tmp_path}/segment", dimensions.first_versions(source(spark, *[(f"S{k:03d}", "A", 50) for k in range(100)]), "segment_code", "segment_key", T2, "2026-06-01", {"original_limit": F.col("speed_limit"), "current_limit": F.col("speed_limit")})
+    history.begin(whole, at)
+    show = ("segment_code", "segment_key", "version_number", "speed_limit", "original_limit", "current_limit", "is_current", "effective_date", "expiration_date")
+    nights = [("02", 1, 60), ("03", 3, 70), ("03", 3, 70), ("03", 3, 75), ("04", 1, 80), ("05", 200, 90)]  # a change, one of others, a rerun, a correction, a second version, a new member
+    written_once, whole = {}, written(whole, "whole")
+    for day, k, limit in nights:
+        src = source(spark, (f"S{k:03d}", "A", limit))
+        whole = written(merge(whole, src, f"2026-06-{day}"), "whole")
+        told = history.load(src, at, "segment_code", "segment_key", T2, f"2026-06-{day}", type0=OPTIONS["type0"], parts=3)
+        got = history.all_versions(spark, at, "segment_code", OPTIONS["type6"])
+        assert seen(got, *show) == seen(whole, *show)
+        assert told.metrics["closed"] <= 3 and told.metrics["current"] == whole.where("is_current").count()
+        files = {str(f): f.stat().st_mtime_ns for c in told.carried for f in Path(c.removeprefix("file:")).glob("*.parquet")}
+        assert all(written_once.get(f, t) == t for f, t in files.items())
+        written_once |= files
+    first = history.all_versions(spark, at, "segment_code", OPTIONS["type6"], 1)
+    assert first.count() == 100  # readers of the first version still have it
+    for _ in range(12):  # versions go, and what later ones carry stays
+        told = history.load(src, at, "segment_code", "segment_key", T2, "2026-06-05", type0=OPTIONS["type0"], parts=30)
+    assert len(sinks.versions(spark, at)) == sinks.KEEP and seen(history.all_versions(spark, at, "segment_code", OPTIONS["type6"]), *show) == seen(whole, *show)
+    with pytest.raises(sinks.Conflict):
+        sinks.publish_parts({"current": whole.limit(1)}, at, told.number - 1)
+    assert history.current_versions(spark, at).count() == 101
+
+
 def test_a_second_change_on_the_same_day_is_corrected_in_place(spark, day1):
     once = merge(day1, source(spark, ("SEG-001", "A", 60)), "2026-06-02")
     twice = merge(once, source(spark, ("SEG-001", "A", 80)), "2026-06-02")
