@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemart.operators import dimensions
@@ -16,15 +16,19 @@ CURRENT, CLOSED = "current", "closed"
 #: So many parts of closed versions, one a load, are gathered into one by the next load.
 PARTS = 32
 
+def _later() -> Column:
+    """How many versions came after first ones, told by current rows alone: it grows by one with each version that begins."""
+    return F.coalesce(F.sum(F.col("version_number") - 1), F.lit(0))
+
 
 def begin(first: DataFrame, path: str) -> sinks.Snapshot:
     """Publish a dimension with its versions as the first of a split history."""
-    return sinks.publish_parts({CURRENT: first.where("is_current"), CLOSED: first.where("not is_current")}, path, 0)
+    return sinks.publish_parts({CURRENT: first.where("is_current"), CLOSED: first.where("not is_current")}, path, 0, later=_later())
 
 
 def _closed(found: sinks.Snapshot) -> list[str]:
     """The folders of closed versions, those that have none left out."""
-    return [*found.carried, *([f"{found.folder}/{CLOSED}"] if found.metrics[CLOSED] else [])]
+    return [*found.carried, *([f"{found.folder}/{CLOSED}"] if found.metrics.get(CLOSED) else [])]
 
 
 def current_versions(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
@@ -47,7 +51,8 @@ def all_versions(spark: SparkSession, path: str, business_key: str, type6: dict[
 
 
 def load(source: DataFrame, path: str, business_key: str, key: str, type2: Sequence[str], load_date: str, type1: Sequence[str] = (), type0: dict[str, str] | None = None, parts: int = PARTS) -> sinks.Snapshot:
-    """Publish what scd2_merge makes of the last version and a source. Its metrics are the rows written: current versions, and those closed by this load.
+    """Publish what scd2_merge makes of the last version and a source. Its metrics are the rows written, current versions and
+    those closed by this load, and `later`.
 
     Only current versions are read: the greatest key is among them, as no version closes without a successor. Earlier
     closed parts are carried by name. Once there are `parts` of them they are gathered into one.
@@ -62,4 +67,13 @@ def load(source: DataFrame, path: str, business_key: str, key: str, type2: Seque
         if len(carry) >= parts:
             closed = reduce(DataFrame.unionByName, [closed, spark.read.schema(closed.schema).parquet(*carry)])
             carry = []
-        return sinks.publish_parts({CURRENT: rows.where("is_current"), CLOSED: closed}, path, last.number, carry)
+        return sinks.publish_parts({CURRENT: rows.where("is_current"), CLOSED: closed}, path, last.number, carry, later=_later())
+
+
+def infer(facts: DataFrame, path: str, business_key: str, key: str, defaults: dict[str, object], load_date: str) -> sinks.Snapshot:
+    """Publish the last version with a skeleton for each business key that facts have and it doesn't. Every member has a
+    current version, so only those are read, and all closed parts are named again."""
+    last = sinks.snapshot(facts.sparkSession, path)
+    before = facts.sparkSession.read.parquet(f"{last.folder}/{CURRENT}")
+    rows = dimensions.infer_members(facts, before, business_key, key, defaults, load_date)
+    return sinks.publish_parts({CURRENT: rows}, path, last.number, _closed(last), later=_later())

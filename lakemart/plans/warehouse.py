@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions import columns as C
 from lakemart.operators import cleanse, dimensions, facts, spines
-from lakemart.plans import audit, extracts
+from lakemart.plans import audit, extracts, history
 from lakemart.sources import feeds, sinks
 from lakemart.sources.scratch import cleared
 
@@ -43,12 +43,28 @@ class Dimension:
     def step(self) -> str:
         return f"Dim.{self.name}{' (SCD2)' if self.kind == 2 else ''}"
 
-    def merge(self, dim: DataFrame, source: DataFrame, load_date: str) -> DataFrame:
+    def begin(self, first: DataFrame, root: str) -> sinks.Snapshot:
+        return history.begin(first, f"{root}/{self.name}") if self.kind == 2 else sinks.publish(first, f"{root}/{self.name}")
+
+    def read(self, spark: SparkSession, root: str) -> DataFrame:
+        """The dimension as it is now; one with versions has all of them."""
+        path = f"{root}/{self.name}"
+        return history.all_versions(spark, path, self.business_key, self.type6) if self.kind == 2 else sinks.current(spark, path)
+
+    def load(self, source: DataFrame, root: str, load_date: str) -> tuple[int, int]:
+        """Publish the next version, from the last one and a source: (new members, new versions of known ones), counted as
+        rows are written. Of a dimension with versions only current ones are read and written."""
+        spark, path = source.sparkSession, f"{root}/{self.name}"
+        before = sinks.snapshot(spark, path)
         if self.kind == 2:
-            return dimensions.scd2_merge(dim, source, self.business_key, self.key, self.attributes, load_date, self.type1, self.type0, self.type6)
+            after = history.load(source, path, self.business_key, self.key, self.attributes, load_date, self.type1, self.type0)
+            return after.metrics[history.CURRENT] - before.metrics[history.CURRENT], after.metrics["later"] - before.metrics["later"]
+        dim = spark.read.parquet(before.folder)
         if self.kind == 3:
-            return dimensions.scd3_merge(dim, source, self.business_key, self.tracked, self.attributes, self.key, load_date)
-        return dimensions.scd1_merge(dim, source, self.business_key, self.attributes, self.key)
+            rows = dimensions.scd3_merge(dim, source, self.business_key, self.tracked, self.attributes, self.key, load_date)
+        else:
+            rows = dimensions.scd1_merge(dim, source, self.business_key, self.attributes, self.key)
+        return sinks.publish(rows, path, after=before.number).metrics["rows"] - before.metrics["rows"], 0
 
 
 ROAD = ("road_code", "road_name", "road_category", "city", "district", "direction", "start_intersection", "end_intersection", "lane_count", "speed_limit")
@@ -90,26 +106,18 @@ def seed(spark: SparkSession, root: str, first: str, last: str) -> None:
     for name, dim in made.items():
         sinks.publish(with_unknown(dim, STATIC[name]), f"{root}/{name}")
     for p in POLICIES:
-        sinks.publish(with_unknown(spark.createDataFrame([], p.schema), p.key), f"{root}/{p.name}")
+        p.begin(with_unknown(spark.createDataFrame([], p.schema), p.key), root)
     sinks.publish(spark.createDataFrame([], INCIDENT), f"{root}/incidents")
     sinks.publish(spark.createDataFrame([], "table_name string, last_value timestamp"), f"{root}/watermarks")
 
 
-def _put(df: DataFrame, path: str, after: sinks.Snapshot) -> sinks.Snapshot:
-    """The next version of a dimension. Its rows, and those that are later versions, are counted as they are written."""
-    later = F.count_if(F.col("version_number") > 1) if "version_number" in df.columns else F.count_if(F.lit(False))
-    return sinks.publish(df, path, after=after.number, later=later)
-
-
 def load_dimensions(spark: SparkSession, root: str, sources: dict[str, DataFrame], extracted: dict[str, int], load_date: str, log: audit.BatchLog, batch_id: int) -> dict[str, DataFrame]:
     """The next snapshot of each dimension, in the order of the policies; all as they are then."""
     out = {name: sinks.current(spark, f"{root}/{name}") for name in STATIC}
     for p in POLICIES:
-        before = sinks.snapshot(spark, f"{root}/{p.name}")
-        after = _put(p.merge(spark.read.parquet(before.folder), sources[p.name], load_date), f"{root}/{p.name}", before)
-        out[p.name] = spark.read.parquet(after.folder)
-        more, later = after.metrics["rows"] - before.metrics["rows"], after.metrics["later"] - before.metrics.get("later", 0)
-        log.rows(batch_id, p.step, extracted[p.name], more - later, later)
+        new, later = p.load(sources[p.name], root, load_date)
+        out[p.name] = p.read(spark, root)
+        log.rows(batch_id, p.step, extracted[p.name], new, later)
     return out
 
 
@@ -118,9 +126,9 @@ def infer_members(spark: SparkSession, root: str, dims: dict[str, DataFrame], go
     for name, column in INFERRED.items():
         p = next(x for x in POLICIES if x.name == name)
         before, seen = sinks.snapshot(spark, f"{root}/{name}"), good.select(F.col(column).alias(p.business_key))
-        after = _put(dimensions.infer_members(seen, dims[name], p.business_key, p.key, {}, load_date), f"{root}/{name}", before)
-        dims[name] = spark.read.parquet(after.folder)
-        log.rows(batch_id, f"InferredMembers.{name}", inserted=after.metrics["rows"] - before.metrics["rows"])
+        after = history.infer(seen, f"{root}/{name}", p.business_key, p.key, {}, load_date)
+        dims[name] = p.read(spark, root)
+        log.rows(batch_id, f"InferredMembers.{name}", inserted=after.metrics[history.CURRENT] - before.metrics[history.CURRENT])
 
 
 def load_events(spark: SparkSession, root: str, dims: dict[str, DataFrame], staged: DataFrame, good: DataFrame, bad: DataFrame, load_date: str, log: audit.BatchLog, batch_id: int) -> None:

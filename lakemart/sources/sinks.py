@@ -92,6 +92,13 @@ class Snapshot:
     folder: str
     metrics: dict[str, int]
     carried: tuple[str, ...] = ()  # parts of earlier versions' folders that belong to this one as they are
+    parts: tuple[str, ...] = ()  # of a version in parts: their names, each a folder in its own
+
+    @property
+    def folders(self) -> list[str]:
+        """The folders that hold the version's rows. Parts without rows are left out, unless there are no others."""
+        own = [f"{self.folder}/{x}" for x in self.parts if self.metrics[x]]
+        return [*own, *self.carried] or [f"{self.folder}/{x}" for x in self.parts[:1]] or [self.folder]
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
@@ -115,16 +122,16 @@ def snapshot(spark: SparkSession, path: str, number: int | None = None) -> Snaps
         told = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return Snapshot(number, f"{path}/{told['folder']}", told["metrics"], tuple(f"{path}/{x}" for x in told.get("carried", ())))
+    return Snapshot(number, f"{path}/{told['folder']}", told["metrics"], tuple(f"{path}/{x}" for x in told.get("carried", ())), tuple(told.get("parts", ())))
 
 
-def _commit(spark: SparkSession, path: str, number: int, folder: str, metrics: dict[str, int], carried: Sequence[str] = ()) -> None:
+def _commit(spark: SparkSession, path: str, number: int, folder: str, metrics: dict[str, int], carried: Sequence[str] = (), parts: Sequence[str] = ()) -> None:
     """Name a folder as a version. The pointer is written under another name and then renamed, so it is there whole or not
     at all; Hadoop's rename takes no name that is in use, so of two writers one fails."""
     fs, draft = _at(spark, f"{path}/_drafts/{folder}")
     stream = fs.create(draft, True)
     try:
-        stream.write(bytearray(json.dumps({"folder": folder, "metrics": metrics, "carried": [*carried]}), "utf-8"))
+        stream.write(bytearray(json.dumps({"folder": folder, "metrics": metrics, "carried": [*carried], "parts": [*parts]}), "utf-8"))
     finally:
         stream.close()
     _, at = _at(spark, f"{path}/_versions/{number:012d}")
@@ -155,21 +162,25 @@ def publish(df: DataFrame, path: str, after: int | None = None, keep: int = KEEP
     return Snapshot(number, f"{path}/{folder}", told)
 
 
-def publish_parts(parts: dict[str, DataFrame], path: str, after: int, carry: Sequence[str] = (), keep: int = KEEP) -> Snapshot:
+def publish_parts(parts: dict[str, DataFrame], path: str, after: int, carry: Sequence[str] = (), keep: int = KEEP, **metrics: Column) -> Snapshot:
     """As publish, a version that has several parts, each a folder of its own; `carry` are parts of the version `after` that
-    stay as they are: they are named again, not written again. Conflict as there. Metrics: rows of each part that is written."""
+    stay as they are: they are named again, not written again. Conflict as there. Metrics: rows of each part that is
+    written, by its name, and what `metrics` say of the first part."""
     spark, number = next(iter(parts.values())).sparkSession, after + 1
     folder = f"v-{number:012d}-{uuid.uuid4().hex}"
-    told = {name: write_full(df, f"{path}/{folder}/{name}")["rows"] for name, df in parts.items()}
+    told: dict[str, int] = {}
+    for name, df in parts.items():
+        seen = write_full(df, f"{path}/{folder}/{name}", **({} if told else metrics))
+        told |= {name if k == "rows" else k: v for k, v in seen.items()}
     kept = [x.removeprefix(f"{path}/") for x in carry]
     try:
-        _commit(spark, path, number, folder, told, kept)
+        _commit(spark, path, number, folder, told, kept, tuple(parts))
     except Conflict:
         fs, at = _at(spark, f"{path}/{folder}")
         fs.delete(at, True)
         raise
     expire(spark, path, keep)
-    return Snapshot(number, f"{path}/{folder}", told, tuple(carry))
+    return Snapshot(number, f"{path}/{folder}", told, tuple(carry), tuple(parts))
 
 
 def expire(spark: SparkSession, path: str, keep: int = KEEP) -> None:
@@ -191,7 +202,7 @@ def current(spark: SparkSession, path: str, number: int | None = None) -> DataFr
     found = snapshot(spark, path, number)
     if found is None:
         raise FileNotFoundError(f"nothing is published at {path}")
-    return spark.read.parquet(found.folder)
+    return spark.read.parquet(*found.folders)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, truncate: bool = True, batch: int = 10_000, mode: str | None = None, **properties: str) -> None:

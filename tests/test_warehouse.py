@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lakemart.plans import audit, bindings_jobs, lake, samples, warehouse
+from lakemart.plans import audit, bindings_jobs, history, lake, samples, warehouse
 from lakemart.sources import sinks
 
 DATA = "/root/testdata/sf0.001"
@@ -58,6 +58,15 @@ def test_a_rerun_changes_nothing_and_a_change_makes_a_version(spark, night, tmp_
     marks = {r.last_value.year for r in sinks.current(spark, f"{root}/watermarks").collect()}
     assert marks == {2101}
 
+    closed = sinks.snapshot(spark, f"{root}/segment")
+    rows = {r.step: (r.rows_inserted, r.rows_updated) for r in third["rowlog"].where("batch_id = 3").collect()}
+    assert versions and rows["Dim.segment (SCD2)"] == (0, 1) and rows["InferredMembers.segment"][0] == 0
+    assert closed.parts == (history.CURRENT,) and len(closed.carried) == 1 and spark.read.parquet(*closed.carried).count() == 1
+    assert sinks.current(spark, f"{root}/segment").count() == third["segment"].count()
+    fourth = warehouse.run_nightly(spark, root, source, staged.limit(0), hourly.limit(0), str(late + datetime.timedelta(days=1)), 4, "2102-01-01 00:00:00", checks=())
+    assert shown(fourth) == shown(third)
+    assert sinks.snapshot(spark, f"{root}/segment").carried == closed.carried  # named again, not written again
+
 
 def test_a_failed_night_keeps_its_watermarks(spark, tmp_path):
     root = str(tmp_path)
