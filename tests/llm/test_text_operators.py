@@ -123,6 +123,29 @@ def test_pipeline_near_dedup_links_all_pairs_at_the_bound(spark):
     assert jaccard_near_dedup.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_pipeline_near_dedup_links_by_simhash_and_completes_it(spark, monkeypatch):
+    """Fingerprints link the near copies; a pair that is similar and far apart by them is linked all the same."""
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    base, short = words(6000), words(9)
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(words(300)), " ".join(short), " ".join([*short, "x"])]
+    asked, forests = [], []
+    real = simhash_near_dedup.fingerprint_links
+
+    def seen(fps, *args, **options):
+        asked.extend(r.fp & (2**64 - 1) for r in fps.collect())
+        out = real(fps, *args, **options)
+        forests.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_near_dedup, "fingerprint_links", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_near_dedup.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    fps = [simhash_near_dedup.fingerprint(t) for t in texts]
+    assert sorted(asked) == sorted(set(fps)) and forests == [1] and (fps[3] ^ fps[4]).bit_count() > 3
+
+
 # ---------------------------------------------------------------- line dedup
 
 
