@@ -4,7 +4,7 @@ Spark's multi-line reader gives a file to one task. Here files are cut at closin
 any byte on. Whether a brace ends a record depends on all before it: on quotes, and on how deep it is. So a first pass
 tells of each block (a split of a file) how it changes both, for either state that it may begin in; a row a block is put
 together file by file, and the second pass knows what each block begins in. Records that cross blocks are joined from
-their parts.
+their parts. A file of a single block is known to begin between records, and goes through one pass alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ LEAD = re.compile(rb"[\s,\[\xef\xbb\xbf]*")
 BETWEEN = re.compile(rb"[\s,\[\]\xef\xbb\xbf]*\Z")
 LOW = -(1 << 60)
 Block = tuple[str, int]
+#: What is known of the block of a file that has no other, as `beginnings` tells it; how it ends is seen when it is read.
+WHOLE_FILE = False, 0, True, None
 
 
 def braces(piece: bytes) -> tuple[int, int, int]:
@@ -113,15 +115,16 @@ def beginnings(survey: list[dict]) -> dict[Block, tuple[bool, int, bool, bool]]:
 
 def _recorded(shipped):
     """A row a record or part of one: what a block has before the end of the record that it begins in and after the last
-    one that it ends is a part, of place 0 and 1; all else is whole, of place -1."""
+    one that it ends is a part, of place 0 and 1; all else is whole, of place -1. So is all of a file that is one block."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, rows, size = shipped.value, [], 0
         for (path, block), pieces in _blocks(batches):
-            quoted, depth, last, open_end = starts[path, block]
-            state, held, length, place, cut = State(quoted, depth), [], 0, 0 if quoted or depth else -1, False
-            for piece, _, final in pieces:
-                ended = not (final and last and open_end)
+            quoted, depth, last, open_end = starts.get((path, block), WHOLE_FILE)
+            state, held, length, place, cut, read = State(quoted, depth), [], 0, 0 if quoted or depth else -1, False, 0
+            for piece, file_size, final in pieces:
+                read += len(piece) + 1
+                ended = not (final and last and (read > file_size if open_end is None else open_end))
                 held.append(piece + b"}" * ended)
                 length += len(piece) + 1
                 done = state.take(piece, ended)
@@ -133,7 +136,8 @@ def _recorded(shipped):
                     yield _batch(rows)
                     rows, size = [], 0
             if held:
-                rows.append((path, block, 1 if place < 0 else 0, b"".join(held), False))
+                tail = -1 if open_end is None else 1 if place < 0 else 0
+                rows.append((path, block, tail, b"".join(held), False))
                 size += length
         yield _batch(rows)
 
@@ -180,12 +184,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str, corrupt: str =
     """
     pieces = spark.read.option("lineSep", "}").text(path)
     meta = F.col("_metadata")
-    pieces = pieces.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"))
-    survey = [r.asDict() for r in pieces.mapInArrow(_surveyed, SURVEY_DDL).collect()]  # a row a block of a file
+    pieces = pieces.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"), (meta["file_block_length"] < meta["file_size"]).alias("split"))
+    of_split = pieces.where("split").drop("split")
+    pieces = pieces.drop("split")
+    survey = [r.asDict() for r in of_split.mapInArrow(_surveyed, SURVEY_DDL).collect()]  # a row a block of a file that has several
     shipped = spark.sparkContext.broadcast(beginnings(survey))  # a few numbers a block
-    found = pieces.mapInArrow(_recorded(shipped), "path string, block long, place int, text binary, done boolean")
+    shape = "path string, block long, place int, text binary, done boolean"
+    found = pieces.mapInArrow(_recorded(shipped), shape)
     # Parts are what crosses a block's end: few, and gathered by file.
-    joined = found.where("place >= 0").groupBy("path").applyInArrow(_joined, "path string, text binary, done boolean")
+    joined = of_split.mapInArrow(_recorded(shipped), shape).where("place >= 0").groupBy("path").applyInArrow(_joined, "path string, text binary, done boolean")
     texts = found.where("place < 0").select("path", "text", "done").unionByName(joined).mapInArrow(_trimmed, "path string, text string, done boolean")
     row = F.from_json(F.when(F.col("done"), F.col("text")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     rows = texts.select(row.alias("row"), F.col("path").alias("_path"), F.when(~F.col("done"), F.col("text")).alias("_rest")).select("row.*", "_path", "_rest")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lakemart.sources.scratch import cleared, written
 
-#: Rows of one file take so many bytes in the shuffle before it; as columns they take a half to a fifth of that.
-FILE_BYTES = 128 << 20
+#: Rows of one file take so many bytes in the shuffle before it; as columns they take a half to a fifth of that. A task
+#: sorts what it writes, and in memory rows take some twelve times their compressed bytes in the shuffle.
+FILE_BYTES = 32 << 20
 TARGET = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: So many snapshots of a table stay for those who still read them.
 KEEP = 10

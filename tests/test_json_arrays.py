@@ -53,6 +53,21 @@ def test_a_large_file_is_read_by_several_tasks(spark, tmp_path, blocks):
     assert got.where("_corrupt_record is null and detection.plate_hash = 'q\"{' and ingest_date = date '2026-06-01'").select("event_id").distinct().count() == got.count() == 20_000
 
 
+def test_files_of_one_block_are_gone_through_once(spark, tmp_path, blocks, monkeypatch):
+    """The survey gets the blocks of files that were cut, and no others."""
+    (tmp_path / "a.json").write_text(json.dumps(objects(5)))
+    (tmp_path / "b.json").write_text(json.dumps(objects(400)))
+    told = []
+    real = json_arrays.beginnings
+    monkeypatch.setattr(json_arrays, "beginnings", lambda survey: told.append({r["path"][-6:] for r in survey}) or real(survey))
+    blocks(1 << 14)
+    assert json_arrays.read_json_array(spark, str(tmp_path), SCHEMA).count() == 405 and told == [{"b.json"}]
+    blocks(1 << 24)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 22))
+    got = json_arrays.read_json_array(spark, str(tmp_path), SCHEMA)
+    assert told[1:] == [set()] and got.where("_corrupt_record is null").count() == got.count() == 405
+
+
 GOOD = '{"id": 1, "name": "a"}'
 CASES = {
     "a value of another kind": (f'[{GOOD}, {{"id": "x", "name": "b"}}, {GOOD}]', [(1, "a", None)] * 2 + [(None, "b", '{"id": "x", "name": "b"}')]),
