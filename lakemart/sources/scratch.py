@@ -32,11 +32,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files go when the query that made them has ended, in place of when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it again: lineage ends there, a lost executor loses nothing, and what was shuffled for it is deleted."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with _clean_shuffles(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -70,5 +85,6 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], **opt
     path = fresh_path(spark, name)
     with cleared(spark):
         out = make()
-        out.write.options(**options).parquet(path)
+        with _clean_shuffles(spark):
+            out.write.options(**options).parquet(path)
     return spark.read.schema(out.schema).parquet(path)
