@@ -58,7 +58,7 @@ bind("s2_camera_json", f", {FEED} SELECT event_id::VARCHAR AS event_id, CASE WHE
     lambda s, d: bronze("camera_events")(s, d).selectExpr("event_id", "camera_code", ntz("event_ts"), "detection.speed_kmh as speed_kmh")
 )
 bind("s3_weather_json", f", {FEED} SELECT lower(station_code) AS station_code, observed_ts, visibility_m, count(*) * (CASE WHEN any_value(h) % 5 = 0 THEN 2 ELSE 1 END) AS n FROM obs GROUP BY ALL")(
-    lambda s, d: bronze("weather_observations")(s, d).groupBy("station_code", F.expr(ntz("observed_ts")), "visibility_m").agg(F.count("*").alias("n"))
+    lambda s, d: s.read.parquet(f"{samples.run_weather(s, d)['lake']}/bronze/weather_observations").groupBy("station_code", F.expr(ntz("observed_ts")), "visibility_m").agg(F.count("*").alias("n"))
 )
 
 
@@ -142,9 +142,11 @@ bind("k3_quarantine", f", {FEED} SELECT event_id, reject_reason FROM bad")(zone(
 bind("p3_corrupt_rows", f", {FEED} SELECT 'bad' || event_id AS event_id, 'SENSOR' AS detector_type, 'bad' || event_id || ',what' AS raw_line, d AS ingest_date FROM raw WHERE NOT cam AND event_id % 79 = 0")(
     lambda s, d: s.read.parquet(f"{samples.run_lake(s, d)['lake']}/silver/quarantine").where("reject_reason = 'CORRUPT_RECORD'").select("event_id", "detector_type", "raw_line", "ingest_date")
 )
-bind("d3_weather_dedup", f", {FEED} SELECT station_code, observed_ts, condition_code, temperature_c::DECIMAL(4,1) AS temperature_c, visibility_m FROM obs")(zone("silver/weather", "station_code", ntz("observed_ts"), "condition_code", "temperature_c", "visibility_m"))
+bind("d3_weather_dedup", f", {FEED} SELECT station_code, observed_ts, condition_code, temperature_c::DECIMAL(4,1) AS temperature_c, visibility_m FROM obs")(
+    lambda s, d: s.read.parquet(f"{samples.run_weather(s, d)['lake']}/silver/weather").selectExpr("station_code", ntz("observed_ts"), "condition_code", "temperature_c", "visibility_m")
+)
 bind("a1_weather_hourly", f", {FEED} SELECT d AS event_date, h AS hour_of_day, round(avg_temp_c, 3) AS avg_temp_c, round(precipitation_mm, 3) AS precipitation_mm, visibility_m, condition_code FROM wh, day")(
-    lambda s, d: A.weather_hourly(s.read.parquet(f"{samples.run_lake(s, d)['lake']}/silver/weather")).select("event_date", "hour_of_day", F.round("avg_temp_c", 3).cast("double").alias("avg_temp_c"), F.round("precipitation_mm", 3).cast("double").alias("precipitation_mm"), "visibility_m", "condition_code")
+    lambda s, d: A.weather_hourly(s.read.parquet(f"{samples.run_weather(s, d)['lake']}/silver/weather")).select("event_date", "hour_of_day", F.round("avg_temp_c", 3).cast("double").alias("avg_temp_c"), F.round("precipitation_mm", 3).cast("double").alias("precipitation_mm"), "visibility_m", "condition_code")
 )
 bind("j1_weather_join", f", {FEED} SELECT event_id::VARCHAR AS event_id, condition_code, visibility_m FROM good LEFT JOIN wh USING (h)")(zone("gold/traffic_events", "event_id", "condition_code", "visibility_m"))
 bind("k4_gold_hourly", f", {FEED} SELECT d AS event_date, h AS hour_of_day, segment_code, count(*) AS vehicle_count, count(*) FILTER (vehicle_type_code IN ('TRK', 'ART', 'BUS')) AS heavy_vehicle_count, (quantile_disc(tenths, 0.85) / 10.0)::DECIMAL(7,1) AS p85_speed FROM good WHERE segment_code IS NOT NULL GROUP BY ALL")(

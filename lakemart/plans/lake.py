@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +18,14 @@ from lakemart.sources.scratch import cleared, written
 HEAVY = ("TRK", "ART", "BUS")
 
 
-def ingest(spark: SparkSession, raw: str, lake: str, load_date: str | None, batch_id: int) -> None:
+#: Feed -> (its reader, its files' kind).
+FEEDS = {"sensor_readings": (feeds.read_csv_feed, "csv"), "camera_events": (feeds.read_camera_json, "json"), "weather_observations": (feeds.read_weather_json, "json")}
+
+
+def ingest(spark: SparkSession, raw: str, lake: str, load_date: str | None, batch_id: int, only: Sequence[str] = tuple(FEEDS)) -> None:
     """Files of a date (or all) to bronze, as they came, by the date in their names."""
-    for feed, read, kind in (("sensor_readings", feeds.read_csv_feed, "csv"), ("camera_events", feeds.read_camera_json, "json"), ("weather_observations", feeds.read_weather_json, "json")):
+    for feed in only:
+        read, kind = FEEDS[feed]
         rows = read(spark, feeds.pattern(raw, feed, kind, load_date), batch_id=batch_id)
         sinks.write_partitioned(rows, f"{lake}/bronze/{feed}", "ingest_date")
 
@@ -34,9 +39,13 @@ def conformed_bronze(spark: SparkSession, lake: str, load_date: str) -> DataFram
 def clean(spark: SparkSession, lake: str, load_date: str, now: Column | None = None) -> None:
     """Bronze of a date to silver: every row is kept or quarantined with a reason, and the counts are written as data.
 
-    Corrupt rows keep what could be parsed of them, and the raw line. Weather that can't be read, or is of another date
-    than its file, is quarantined beside the events.
+    Corrupt rows keep what could be parsed of them, and the raw line.
     """
+    clean_events(spark, lake, load_date, now)
+    clean_observations(spark, lake, load_date)
+
+
+def clean_events(spark: SparkSession, lake: str, load_date: str, now: Column | None = None) -> None:
     zone = lambda name: feeds.read_zone(spark, f"{lake}/bronze/{name}", "ingest_date", load_date)
     (_, bad_lines), (_, bad_records) = cleanse.split_corrupt(zone("sensor_readings")), cleanse.split_corrupt(zone("camera_events"))
     events = conformed_bronze(spark, lake, load_date)
@@ -50,12 +59,16 @@ def clean(spark: SparkSession, lake: str, load_date: str, now: Column | None = N
         sinks.replace_slice(good.drop("raw_line").withColumn("event_date", day), f"{lake}/silver/events", "event_date", load_date, sort=("segment_code", "event_ts"))
         for rows, name in ((bad, "quarantine"), (cleanse.reject_metrics(bad), "quality_metrics"), (cleanse.reconcile(every), "reconciliation")):
             sinks.replace_slice(rows.withColumn("ingest_date", day), f"{lake}/silver/{name}", "ingest_date", load_date)
-        observed, unread = cleanse.split_corrupt(zone("weather_observations"))
-        clear = cleanse.clean_weather(observed)
-        sinks.replace_slice(clear, f"{lake}/silver/weather", "event_date", load_date)
-        reason = F.when(F.col("observed_ts").isNull(), "MISSING_KEY").when(F.to_date("observed_ts") != day, "DATE_MISMATCH")
-        astray = observed.withColumns({"reject_reason": reason, "_corrupt_record": F.lit(None).cast("string")}).where("reject_reason is not null")
-        sinks.replace_slice(astray.unionByName(unread).withColumn("ingest_date", day), f"{lake}/silver/weather_quarantine", "ingest_date", load_date)
+
+
+def clean_observations(spark: SparkSession, lake: str, load_date: str) -> None:
+    """Bronze weather of a date to silver; what can't be read, or is of another date than its file, is quarantined beside the events."""
+    day = F.lit(load_date).cast("date")
+    observed, unread = cleanse.split_corrupt(feeds.read_zone(spark, f"{lake}/bronze/weather_observations", "ingest_date", load_date))
+    sinks.replace_slice(cleanse.clean_weather(observed), f"{lake}/silver/weather", "event_date", load_date)
+    reason = F.when(F.col("observed_ts").isNull(), "MISSING_KEY").when(F.to_date("observed_ts") != day, "DATE_MISMATCH")
+    astray = observed.withColumns({"reject_reason": reason, "_corrupt_record": F.lit(None).cast("string")}).where("reject_reason is not null")
+    sinks.replace_slice(astray.unionByName(unread).withColumn("ingest_date", day), f"{lake}/silver/weather_quarantine", "ingest_date", load_date)
 
 
 def transform(spark: SparkSession, lake: str, load_date: str) -> None:

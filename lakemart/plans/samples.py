@@ -49,12 +49,21 @@ def raw_events(spark: SparkSession, sf_dir: str, day: date, copies: int = 1) ->
     )
 
 
+def _raw(spark: SparkSession, sf_dir: str, copies: int) -> dict[str, object]:
+    """Where the feeds of a day are landed: {raw, day}."""
+    made, fresh = _once(f"raw {copies}", spark, sf_dir)
+    if fresh:
+        made.update(day=str(first_day(spark, sf_dir)), raw=f"{fresh_path(spark, 'feeds')}/raw")
+    return made
+
+
 def land(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]:
     """The three feeds of a day as files, and a few lines of the next day: {raw, day}."""
     made, fresh = _once(f"feeds {copies}", spark, sf_dir)
     if not fresh:
         return made
-    day, raw = first_day(spark, sf_dir), f"{fresh_path(spark, 'feeds')}/raw"
+    at = _raw(spark, sf_dir, copies)
+    day, raw = date.fromisoformat(at["day"]), at["raw"]
     tag, next_tag = day.strftime("%Y%m%d"), (day + timedelta(days=1)).strftime("%Y%m%d")
     rows = raw_events(spark, sf_dir, day, copies)
     sensors = rows.where("not is_camera")
@@ -68,6 +77,18 @@ def land(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]
     cameras = rows.where("is_camera").select(F.struct(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("detector") != "", F.concat(F.lit("k"), "detector")).alias("camera_code"), detection.alias("detection")).alias("row"), F.col("id"))
     chunks = cameras.groupBy(F.floor(F.col("id") / CHUNK)).agg(F.to_json(F.collect_list("row")).alias("text")).select("text")  # each a file of its own
     chunks.write.option("compression", "none").option("maxRecordsPerFile", 1).text(f"{raw}/camera_events_{tag}.json")
+    made.update(land_weather(spark, sf_dir, copies))
+    return made
+
+
+def land_weather(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]:
+    """The day's weather alone, an observation for each hour and station that the events have: {raw, day}."""
+    made, fresh = _once(f"weather feed {copies}", spark, sf_dir)
+    if not fresh:
+        return made
+    at = _raw(spark, sf_dir, copies)
+    day, raw = date.fromisoformat(at["day"]), at["raw"]
+    rows = raw_events(spark, sf_dir, day, copies)
     h, st = F.hour("event_ts"), F.col("id") % 3
     hours = rows.groupBy(h.alias("h"), st.alias("st")).agg(F.count("*").alias("n"))
     observed = F.concat(F.lit(f"{day}T"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":10:00"))
@@ -76,8 +97,8 @@ def land(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, object]
         F.lit(5.0).alias("wind_speed_kmh"), (F.col("h") * 150 + F.col("st") * 10).cast("int").alias("visibility_m"), F.lower(F.element_at(F.array(*[F.lit(c) for c in C.CONDITIONS]), ((F.col("h") + F.col("st")) % 6 + 1).cast("int"))).alias("condition_code"),
     )
     twice = hours.select(F.explode(F.when(F.col("h") % 5 == 0, F.array(one, one)).otherwise(F.array(one))).alias("row"))  # a row an hour and station
-    twice.agg(F.to_json(F.collect_list("row")).alias("text")).write.option("compression", "none").text(f"{raw}/weather_observations_{tag}.json")
-    made.update(raw=raw, day=str(day))
+    twice.agg(F.to_json(F.collect_list("row")).alias("text")).write.option("compression", "none").text(f"{raw}/weather_observations_{day:%Y%m%d}.json")
+    made.update(at)
     return made
 
 
@@ -92,6 +113,19 @@ def run_lake(spark: SparkSession, sf_dir: str, copies: int = 1) -> dict[str, obj
     return made
 
 
+def run_weather(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+    """A lake with the weather's jobs of the day, which need no event; the whole lake, if the session has it: {lake, day, raw}."""
+    whole, missing = _once("lake 1", spark, sf_dir)
+    made, fresh = _once("weather", spark, sf_dir) if missing else (whole, False)
+    if fresh:
+        fed = land_weather(spark, sf_dir)
+        path = fresh_path(spark, "weather-lake")
+        lake.ingest(spark, fed["raw"], path, fed["day"], 1, ("weather_observations",))
+        lake.clean_observations(spark, path, fed["day"])
+        made.update(fed, lake=path)
+    return made
+
+
 # ---------------------------------------------------------------- the source system
 
 CHANGED = "modified_at"

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lakemart.plans import bindings
+from lakemart.plans import bindings, lake, samples
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +44,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["a1_weather_hourly", "d3_weather_dedup", "s3_weather_json"])
+def test_the_weather_needs_no_job_over_events(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(samples, "_made", {})
+    monkeypatch.setattr(lake, "run_day", None)
+    test_query(spark, duck, name)
