@@ -375,16 +375,16 @@ for _k, (_view, (_dim, *_)) in enumerate(SHOWN.items(), 4):
         lambda s, d, v=_view, t=_dim: (lambda x: x.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude") if c in x.columns}))(semantic.bi_view(v, samples.run_warehouse(s, d)["tables"][t]))
     )
 bind("b6_weather", f", {FEED} SELECT condition_code, count(*) AS n FROM (SELECT unnest(['DRY', 'RAIN', 'SNOW', 'FOG', 'ICE', 'STORM']) AS condition_code, unnest(range(6)) AS z) c, range(61) r GROUP BY 1 UNION ALL SELECT 'UNK', 1")(
-    lambda s, d: semantic.bi_view("weather", samples.run_warehouse(s, d)["tables"]["weather"]).groupBy("condition_code").agg(F.count("*").alias("n"))
+    lambda s, d: semantic.bi_view("weather", samples.seed_warehouse(s, d)["dims"]["weather"]).groupBy("condition_code").agg(F.count("*").alias("n"))
 )
 bind("b1_date", "WITH x AS (SELECT date_key, full_date FROM date) SELECT date_key, full_date, 'Q' || quarter(full_date) AS quarter FROM x")(
-    lambda s, d: semantic.bi_date(samples.run_warehouse(s, d)["tables"]["date"]).join(T.dates(s, d).select("date_key"), "date_key").select("date_key", "full_date", "quarter")
+    lambda s, d: semantic.bi_date(samples.seed_warehouse(s, d)["dims"]["date"]).join(T.dates(s, d).select("date_key"), "date_key").select("date_key", "full_date", "quarter")
 )
 bind("b2_hour", "SELECT DISTINCT hour_of_day, lpad(hour_of_day::VARCHAR, 2, '0') || ':00' AS hour_label, (hour_of_day IN (7, 8, 16, 17, 18))::INT AS is_rush_hour FROM det")(
-    lambda s, d: semantic.bi_hour(samples.run_warehouse(s, d)["tables"]["time"]).join(T.detections(s, d).select("hour_of_day").distinct(), "hour_of_day").select("hour_of_day", "hour_label", "is_rush_hour")
+    lambda s, d: semantic.bi_hour(samples.seed_warehouse(s, d)["dims"]["time"]).join(T.detections(s, d).select("hour_of_day").distinct(), "hour_of_day").select("hour_of_day", "hour_label", "is_rush_hour")
 )
 bind("b3_time_of_day", "SELECT DISTINCT time_key, lpad((time_key // 60)::VARCHAR, 2, '0') || ':' || lpad((time_key % 60)::VARCHAR, 2, '0') AS time FROM det")(
-    lambda s, d: semantic.bi_time_of_day(samples.run_warehouse(s, d)["tables"]["time"]).join(T.detections(s, d).select("time_key").distinct(), "time_key").select("time_key", "time")
+    lambda s, d: semantic.bi_time_of_day(samples.seed_warehouse(s, d)["dims"]["time"]).join(T.detections(s, d).select("time_key").distinct(), "time_key").select("time_key", "time")
 )
 bind("g6_weather_members", "WITH c AS (SELECT DISTINCT condition_code FROM fht) SELECT condition_code, 61::BIGINT AS n, (CASE WHEN condition_code IN ('SNOW', 'FOG', 'ICE', 'STORM') THEN 61 ELSE 30 END)::BIGINT AS severe FROM c")(
     lambda s, d: spines.build_dim_weather(s).groupBy("condition_code").agg(F.count("*").alias("n"), F.sum("is_severe").alias("severe")).join(T.hourly(s, d).select("condition_code").distinct(), "condition_code")

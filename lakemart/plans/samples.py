@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakemart.functions import columns as C
 from lakemart.plans import lake, warehouse
 from lakemart.plans import tables as T
+from lakemart.sources import sinks
 from lakemart.sources.scratch import fresh_path
 
 _made: dict[tuple[str, str, str], dict[str, object]] = {}
@@ -170,15 +171,25 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def seed_warehouse(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+    """A new warehouse for the tables' span of days, before any night: {root, last, dims}. The generated dimensions in dims stay as they are ever after."""
+    made, fresh = _once("seed", spark, sf_dir)
+    if fresh:
+        root, first = fresh_path(spark, "warehouse"), first_day(spark, sf_dir)
+        span = T.table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("lo")).first()
+        last = max(T.table(spark, sf_dir, "events").agg(F.max(F.to_date("ts")).alias("d")).first().d, T.incident_source(spark, sf_dir).agg(F.max(F.greatest("detected_ts", "closed_ts")).alias("t")).first().t.date())
+        warehouse.seed(spark, root, str(min(span.lo, first)), str(last + timedelta(days=1)))
+        made.update(root=root, last=last, dims={name: sinks.current(spark, f"{root}/{name}") for name in warehouse.STATIC})
+    return made
+
+
 def run_warehouse(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     """A warehouse after one night: seeded, loaded from the source tables and the lake's day. {root, day, tables}."""
     made, fresh = _once("warehouse", spark, sf_dir)
     if fresh:
         fed = run_lake(spark, sf_dir)
-        root = fresh_path(spark, "warehouse")
-        span = T.table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("lo")).first()
-        last = max(T.table(spark, sf_dir, "events").agg(F.max(F.to_date("ts")).alias("d")).first().d, T.incident_source(spark, sf_dir).agg(F.max(F.greatest("detected_ts", "closed_ts")).alias("t")).first().t.date())
-        warehouse.seed(spark, root, str(min(span.lo, date.fromisoformat(fed["day"]))), str(last + timedelta(days=1)))
+        seeded = seed_warehouse(spark, sf_dir)
+        root, last = seeded["root"], seeded["last"]
         staged, hourly = lake.staged_events(spark, fed["lake"], fed["day"]), lake.staged_hourly(spark, fed["lake"], fed["day"])
         upper = f"{last + timedelta(days=1)} 00:00:00"
         tables = warehouse.run_nightly(spark, root, source_tables(spark, sf_dir), staged, hourly, fed["day"], 1, upper)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lakemart.plans import bindings, lake, samples
+from lakemart.plans import bindings, lake, samples, warehouse
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,3 +51,11 @@ def test_the_weather_needs_no_job_over_events(spark, duck, monkeypatch, name):
     monkeypatch.setattr(samples, "_made", {})
     monkeypatch.setattr(lake, "run_day", None)
     test_query(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["b1_date", "b2_hour", "b3_time_of_day", "b6_weather"])
+def test_generated_dimensions_need_no_night(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(samples, "_made", {})
+    monkeypatch.setattr(lake, "run_day", None)
+    monkeypatch.setattr(warehouse, "run_nightly", None)
+    test_query(spark, duck, name)
