@@ -12,7 +12,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,18 @@ LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "co
 SPLITS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+class Known(dict):
+    """What is known by word. `of` tells what isn't yet, and that is kept; nothing but the words asked for is gone through."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.of(word)
+        return found
+
+
 class WordTokenizer:
     """Ids of a tokenizer. If it is a lower-casing one whose words are independent, each word is encoded once and remembered, and so is what stands between white space."""
 
@@ -62,31 +74,22 @@ class WordTokenizer:
         )
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = self.kind.char
-        self.known: dict[str, bytes] = {}  # between white space
-        self.words: dict[str, bytes] = {}
+        self.words = Known(self.word)
+        self.known = Known(lambda x: b"".join(map(self.words.__getitem__, WORD.findall(x))))  # between white space
 
     def pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()  # little-endian, as all machines that Spark runs on
 
     def word(self, word: str) -> bytes:
-        if word not in self.words:
-            self.words[word] = self.pack([x.id for x in self.merges.tokenize(word.encode().decode("latin-1").translate(SHOWN))])
-        return self.words[word]
+        return self.pack([x.id for x in self.merges.tokenize(word.encode().decode("latin-1").translate(SHOWN))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        split: list[list[str] | None] = []
-        met: set[str] = set()
-        for x in texts:
-            split.append(x.lower().split() if self.independent and not OTHER.search(x) else None)
-            met.update(split[-1] or ())
         for kept in (self.known, self.words):
             if len(kept) > WORDS_KEPT:
                 kept.clear()
-        for x in met - self.known.keys():
-            self.known[x] = b"".join([self.word(w) for w in WORD.findall(x)])
         find = self.known.__getitem__
-        return [self.pack(self.model.encode(x, add_special_tokens=False).ids) if parts is None else b"".join(map(find, parts)) for x, parts in zip(texts, split, strict=True)]
+        return [b"".join(map(find, x.lower().split())) if self.independent and not OTHER.search(x) else self.pack(self.model.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
 _loaded: dict[str, WordTokenizer] = {}

@@ -404,6 +404,20 @@ def test_other_formats_are_found_in_texts_without_digits(spark):
 # ---------------------------------------------------------------- packing
 
 
+def test_packing_asks_for_its_own_words_alone():
+    model, texts = packing.WordTokenizer("word_bpe_49k.json"), ["one two two", "three one", "One, two"]
+
+    class Known(type(model.known)):
+        def keys(self):
+            raise AssertionError("goes through all known words")
+
+    want = [model.pack(model.model.encode(x, add_special_tokens=False).ids) for x in texts]
+    kept = Known.__new__(Known)
+    vars(kept).update(getattr(model.known, "__dict__", {}))
+    model.known = kept
+    assert model.encode(texts[:1]) + model.encode(texts[1:]) == want and set(model.known) == {"one", "two", "three", "one,"}
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
