@@ -235,7 +235,7 @@ UNKNOWN = "coalesce(nullif({c}, ''), 'Unknown')"
 
 def fact_event(s: SparkSession, d: str) -> DataFrame:
     """The event fact with its keys turned back into codes through the dimensions."""
-    t = samples.run_warehouse(s, d)["tables"]
+    t = samples.run_events(s, d)["tables"]
     out = t["fte"]
     for dim, key, code in (("segment", "segment_key", "segment_code"), ("sensor", "sensor_key", "serial_number"), ("camera", "camera_key", "camera_code"), ("vehicle_type", "vehicle_type_key", "type_code")):
         out = out.join(t[dim].select(key, code), key)
@@ -246,7 +246,7 @@ def fact_event(s: SparkSession, d: str) -> DataFrame:
 bind("f1_event_fact", f", {NIGHT} SELECT event_id, date_key, time_key, coalesce(segment_code, 'Unknown') AS segment_code, coalesce(serial_number, 'Unknown') AS serial_number, coalesce(camera_code, 'Unknown') AS camera_code, vehicle_type_code, condition_code, detector_type, (speed_kmh - speed_limit)::DOUBLE AS over FROM f LEFT JOIN dseg USING (segment_code) LEFT JOIN wh USING (h)")(fact_event)
 BANDS = "CASE WHEN avg_temp_c < -5 THEN 'Below -5' WHEN avg_temp_c < 5 THEN '-5 to 5' WHEN avg_temp_c < 15 THEN '5 to 15' WHEN avg_temp_c < 25 THEN '15 to 25' ELSE 'Above 25' END AS temp_band, CASE WHEN precipitation_mm = 0 THEN 'None' WHEN precipitation_mm < 2.5 THEN 'Light' WHEN precipitation_mm < 7.5 THEN 'Moderate' ELSE 'Heavy' END AS precip_band, CASE WHEN visibility_m < 500 THEN 'Poor' WHEN visibility_m < 2000 THEN 'Reduced' ELSE 'Good' END AS visibility_band"
 bind("j5_weather_lookup", f", {NIGHT} SELECT event_id, condition_code, {BANDS} FROM f JOIN wh USING (h)")(
-    lambda s, d: (lambda t: t["fte"].join(t["weather"], "weather_key").select("event_id", "condition_code", "temp_band", "precip_band", "visibility_band"))(samples.run_warehouse(s, d)["tables"])
+    lambda s, d: (lambda t: t["fte"].join(t["weather"], "weather_key").select("event_id", "condition_code", "temp_band", "precip_band", "visibility_band"))(samples.run_events(s, d)["tables"])
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +73,12 @@ EXTRACTS: dict[str, tuple[str, Callable[[DataFrame, Tables], DataFrame]]] = {
 }
 
 
-def changed(tables: Tables, marks: dict[str, object], upper: Column, full_load: bool = False) -> dict[str, DataFrame]:
-    """What each extract has to stage: rows changed after its own table's watermark, up to one bound that is the same for all."""
+def changed(tables: Tables, marks: dict[str, object], upper: Column, full_load: bool = False, only: Sequence[str] = tuple(EXTRACTS)) -> dict[str, DataFrame]:
+    """What each extract, or `only` some, have to stage: rows changed after its own table's watermark, up to one bound that is the same for all."""
     out = {}
     for name, (source, denormalise) in EXTRACTS.items():
+        if name not in only:
+            continue
         last = F.lit(marks[source]).cast("timestamp") if source in marks else None
         out[name] = denormalise(feeds.incremental_extract(tables[source], "modified_at", last, upper, full_load), tables)
     return out

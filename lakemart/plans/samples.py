@@ -171,9 +171,9 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def seed_warehouse(spark: SparkSession, sf_dir: str) -> dict[str, object]:
-    """A new warehouse for the tables' span of days, before any night: {root, last, dims}. The generated dimensions in dims stay as they are ever after."""
-    made, fresh = _once("seed", spark, sf_dir)
+def seed_warehouse(spark: SparkSession, sf_dir: str, kind: str = "seed") -> dict[str, object]:
+    """A new warehouse for the tables' span of days, before any night, one a kind: {root, last, dims}. The generated dimensions in dims stay as they are ever after."""
+    made, fresh = _once(kind, spark, sf_dir)
     if fresh:
         root, first = fresh_path(spark, "warehouse"), first_day(spark, sf_dir)
         span = T.table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("lo")).first()
@@ -195,3 +195,17 @@ def run_warehouse(spark: SparkSession, sf_dir: str) -> dict[str, object]:
         tables = warehouse.run_nightly(spark, root, source_tables(spark, sf_dir), staged, hourly, fed["day"], 1, upper)
         made.update(fed, root=root, tables=tables)
     return made
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> dict[str, object]:
+    """A warehouse with the night's event fact and the dimensions that it looks up, which need no incident, hour or check; the whole
+    warehouse, if the session has it: {root, day, tables}."""
+    whole, missing = _once("warehouse", spark, sf_dir)
+    made, fresh = _once("event fact", spark, sf_dir) if missing else (whole, False)
+    if fresh:
+        fed = run_lake(spark, sf_dir)
+        seeded = seed_warehouse(spark, sf_dir, "seed of events")
+        upper = f"{seeded['last'] + timedelta(days=1)} 00:00:00"
+        tables = warehouse.run_events(spark, seeded["root"], source_tables(spark, sf_dir), lake.staged_events(spark, fed["lake"], fed["day"]), fed["day"], 1, upper)
+        made.update(fed, root=seeded["root"], tables=tables)
+    return made

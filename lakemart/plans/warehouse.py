@@ -70,6 +70,9 @@ POLICIES = (
 STATIC = {"date": "date_key", "time": "time_key", "weather": "weather_key"}
 #: What events may know before the source system does: dimension -> the event's column.
 INFERRED = {"segment": "segment_code", "sensor": "sensor_serial"}
+#: The dimensions with a source that the event fact looks up.
+EVENT_DIMENSIONS = ("segment", "sensor", "vehicle_type", "camera")
+EVENTS = "date_key int, time_key int, segment_key int, sensor_key int, camera_key int, vehicle_type_key int, weather_key int, detector_type string, event_id string, speed_kmh decimal(5,1), speed_over_limit_kmh decimal(12,1), headway_seconds decimal(6,2), occupancy_pct decimal(5,2)"
 INCIDENT = "incident_number string, " + ", ".join(f"{m}_ts timestamp" for m in facts.MILESTONES) + ", current_status string, severity int, lanes_blocked int, incident_type_key int, segment_key int, unit_key int, weather_key int"
 UNKNOWN_VERSION = {"effective_date": "1900-01-01", "expiration_date": dimensions.OPEN_END, "is_current": True, "version_number": 1, "is_inferred": False, "hash_diff": ""}
 
@@ -102,9 +105,9 @@ def _put(df: DataFrame, path: str, after: sinks.Snapshot) -> sinks.Snapshot:
 
 
 def load_dimensions(spark: SparkSession, root: str, sources: dict[str, DataFrame], extracted: dict[str, int], load_date: str, log: audit.BatchLog, batch_id: int) -> dict[str, DataFrame]:
-    """The next snapshot of each dimension, in the order of the policies; all as they are then."""
+    """The next snapshot of each dimension that has a source, in the order of the policies; all as they are then."""
     out = {name: sinks.current(spark, f"{root}/{name}") for name in STATIC}
-    for p in POLICIES:
+    for p in (x for x in POLICIES if x.name in sources):
         before = sinks.snapshot(spark, f"{root}/{p.name}")
         after = _put(p.merge(spark.read.parquet(before.folder), sources[p.name], load_date), f"{root}/{p.name}", before)
         out[p.name] = spark.read.parquet(after.folder)
@@ -113,6 +116,16 @@ def load_dimensions(spark: SparkSession, root: str, sources: dict[str, DataFrame
     return out
 
 
+def stage(spark: SparkSession, root: str, tables: extracts.Tables, known: dict[str, object], upper: object, full_load: bool, log: audit.BatchLog, batch_id: int, only: Sequence[str] = tuple(extracts.EXTRACTS)) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(what each extract has to give, staged; how many rows that is)."""
+    sources, extracted = {}, {}
+    for name, df in extracts.changed(tables, known, F.lit(upper).cast("timestamp"), full_load, only).items():
+        extracted[name] = sinks.write_full(df, f"{root}/staging/{name}")["rows"]
+        sources[name] = spark.read.schema(df.schema).parquet(f"{root}/staging/{name}")
+        log.rows(batch_id, f"Extract.{name}", extracted[name])
+    return sources, extracted
+
+
 def infer_members(spark: SparkSession, root: str, dims: dict[str, DataFrame], good: DataFrame, load_date: str, log: audit.BatchLog, batch_id: int) -> None:
     """Skeletons for business keys that only events have; dims get the new snapshots."""
     for name, column in INFERRED.items():
@@ -123,8 +136,11 @@ def infer_members(spark: SparkSession, root: str, dims: dict[str, DataFrame], go
         log.rows(batch_id, f"InferredMembers.{name}", inserted=after.metrics["rows"] - before.metrics["rows"])
 
 
-def load_events(spark: SparkSession, root: str, dims: dict[str, DataFrame], staged: DataFrame, good: DataFrame, bad: DataFrame, load_date: str, log: audit.BatchLog, batch_id: int) -> None:
+def load_events(spark: SparkSession, root: str, dims: dict[str, DataFrame], staged: DataFrame, load_date: str, log: audit.BatchLog, batch_id: int) -> None:
+    """Inferred members, the event fact and its rejects; dims get the new snapshots."""
     day_key = int(load_date.replace("-", ""))
+    good, bad = facts.transactions(staged, load_date)
+    infer_members(spark, root, dims, good, load_date, log, batch_id)
     fte = facts.load_fact_event(good, dims["segment"], dims["sensor"], dims["vehicle_type"], dims["weather"], dims["camera"])
     loaded = sinks.replace_slice(fte.withColumn("date_key", F.lit(day_key)), f"{root}/fact_event", "date_key", day_key)
     rejects = cleanse.build_rejects(bad, batch_id, ("event_id", "detector_code", "segment_code", "speed_kmh", "occupancy_pct"), "sensor_serial").withColumn("date_key", F.lit(day_key))
@@ -140,6 +156,18 @@ def load_hours(spark: SparkSession, root: str, dims: dict[str, DataFrame], hourl
     log.rows(batch_id, "Fact.HourlyTraffic", hourly.where(F.col("date_key") == day_key).count(), made)
 
 
+def run_events(spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFrame, load_date: str, batch_id: int, upper: object) -> dict[str, DataFrame]:
+    """Of one date's run on a seeded warehouse what the event fact needs: the extracts and dimensions that it looks up, and
+    itself. All of these tables. Watermarks stay, so that a whole run extracts all of it again."""
+    log = audit.BatchLog(spark, f"{root}/audit")
+    known = {r.table_name: r.last_value for r in sinks.current(spark, f"{root}/watermarks").collect()}  # a row an extract
+    with cleared(spark):
+        sources, extracted = stage(spark, root, tables, known, upper, False, log, batch_id, EVENT_DIMENSIONS)
+        dims = load_dimensions(spark, root, sources, extracted, load_date, log, batch_id)
+        load_events(spark, root, dims, staged, load_date, log, batch_id)
+    return dims | {"fte": feeds.read_known(spark, f"{root}/fact_event", EVENTS)}
+
+
 def run_nightly(
     spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFrame, hourly: DataFrame, load_date: str, batch_id: int, upper: object, full_load: bool = False,
     checks: Sequence[tuple[str, str, str, audit.Check]] | None = None, pipeline: str = "NightlyWarehouseRefresh",
@@ -166,19 +194,12 @@ def run_nightly(
 
 
 def _run(spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFrame, hourly: DataFrame, load_date: str, batch_id: int, upper: object, full_load: bool, checks: Sequence[tuple[str, str, str, audit.Check]] | None, log: audit.BatchLog) -> dict[str, DataFrame]:
-    bound = F.lit(upper).cast("timestamp")
     marked = sinks.snapshot(spark, f"{root}/watermarks")
     marks = spark.read.parquet(marked.folder)
     known = {r.table_name: r.last_value for r in marks.collect()}  # a row an extract
-    sources, extracted = {}, {}
-    for name, df in extracts.changed(tables, known, bound, full_load).items():
-        extracted[name] = sinks.write_full(df, f"{root}/staging/{name}")["rows"]
-        sources[name] = spark.read.schema(df.schema).parquet(f"{root}/staging/{name}")
-        log.rows(batch_id, f"Extract.{name}", extracted[name])
+    sources, extracted = stage(spark, root, tables, known, upper, full_load, log, batch_id)
     dims = load_dimensions(spark, root, sources, extracted, load_date, log, batch_id)
-    good, bad = facts.transactions(staged, load_date)
-    infer_members(spark, root, dims, good, load_date, log, batch_id)
-    load_events(spark, root, dims, staged, good, bad, load_date, log, batch_id)
+    load_events(spark, root, dims, staged, load_date, log, batch_id)
     keyed = facts.incident_keys(sources["incident"], dims["incident_type"], dims["segment"], dims["unit"], dims["weather"])
     before = sinks.snapshot(spark, f"{root}/incidents")
     after = sinks.publish(facts.upsert_lifecycle(spark.read.parquet(before.folder), keyed), f"{root}/incidents", after=before.number)
@@ -186,9 +207,8 @@ def _run(spark: SparkSession, root: str, tables: extracts.Tables, staged: DataFr
     log.rows(batch_id, "Fact.IncidentLifecycle", extracted["incident"])
     load_hours(spark, root, dims, hourly, fil, load_date, log, batch_id)
     day_key = int(load_date.replace("-", ""))
-    events = "date_key int, time_key int, segment_key int, sensor_key int, camera_key int, vehicle_type_key int, weather_key int, detector_type string, event_id string, speed_kmh decimal(5,1), speed_over_limit_kmh decimal(12,1), headway_seconds decimal(6,2), occupancy_pct decimal(5,2)"
     out = dims | {
-        "fte": feeds.read_known(spark, f"{root}/fact_event", events), "fil": fil, "fht": spark.read.parquet(f"{root}/fact_hourly"), "staged": staged.withColumn("date_key", F.lit(day_key)), "staged_hourly": hourly,
+        "fte": feeds.read_known(spark, f"{root}/fact_event", EVENTS), "fil": fil, "fht": spark.read.parquet(f"{root}/fact_hourly"), "staged": staged.withColumn("date_key", F.lit(day_key)), "staged_hourly": hourly,
         "rejects": feeds.read_known(spark, f"{root}/rejects", "batch_id int, event_id string, event_ts timestamp, reject_reason string, sensor_serial string, payload string, date_key int"), "rowlog": log.row_log(), "batches": log.latest(),
     }
     results = audit.run_checks(spark, audit.catalogue() if checks is None else checks, audit.Context(out, day_key, batch_id, day_key))

@@ -4,7 +4,8 @@ Spark's multi-line reader gives a file to one task. Here files are cut at closin
 any byte on. Whether a brace ends a record depends on all before it: on quotes, and on how deep it is. So a first pass
 tells of each block (a split of a file) how it changes both, for either state that it may begin in; a row a block is put
 together file by file, and the second pass knows what each block begins in. Records that cross blocks are joined from
-their parts. A file of a single block is known to begin between records, and goes through one pass alone.
+their parts. A file of a single block is known to begin between records; where all files are that small, one pass goes
+through them, and no other.
 """
 
 from __future__ import annotations
@@ -174,6 +175,13 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("path"), trimmed, b.column("done")], names=["path", "text", "done"]).filter(keep)
 
 
+def _may_be_split(spark: SparkSession, path: str) -> bool:
+    """Is there a file that a scan may cut? By its size alone: no content is read, and a split is never smaller than this bound."""
+    conf = spark._jsparkSession.sessionState().conf()
+    bound = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+    return (spark.read.format("binaryFile").load(path).agg(F.max("length").alias("n")).first().n or 0) > bound
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
     """The objects of files that are arrays of them, one a row, by schema, and `_path`, the file that each is of.
 
@@ -185,15 +193,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str, corrupt: str =
     pieces = spark.read.option("lineSep", "}").text(path)
     meta = F.col("_metadata")
     pieces = pieces.select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"), F.col("value").cast("binary").alias("piece"), (meta["file_block_length"] < meta["file_size"]).alias("split"))
-    of_split = pieces.where("split").drop("split")
+    of_split = pieces.where("split").drop("split") if _may_be_split(spark, path) else None
     pieces = pieces.drop("split")
-    survey = [r.asDict() for r in of_split.mapInArrow(_surveyed, SURVEY_DDL).collect()]  # a row a block of a file that has several
+    survey = [] if of_split is None else [r.asDict() for r in of_split.mapInArrow(_surveyed, SURVEY_DDL).collect()]  # a row a block of a file that has several
     shipped = spark.sparkContext.broadcast(beginnings(survey))  # a few numbers a block
     shape = "path string, block long, place int, text binary, done boolean"
-    found = pieces.mapInArrow(_recorded(shipped), shape)
-    # Parts are what crosses a block's end: few, and gathered by file.
-    joined = of_split.mapInArrow(_recorded(shipped), shape).where("place >= 0").groupBy("path").applyInArrow(_joined, "path string, text binary, done boolean")
-    texts = found.where("place < 0").select("path", "text", "done").unionByName(joined).mapInArrow(_trimmed, "path string, text string, done boolean")
+    texts = pieces.mapInArrow(_recorded(shipped), shape).where("place < 0").select("path", "text", "done")
+    if of_split is not None:  # parts are what crosses a block's end: few, and gathered by file
+        texts = texts.unionByName(of_split.mapInArrow(_recorded(shipped), shape).where("place >= 0").groupBy("path").applyInArrow(_joined, "path string, text binary, done boolean"))
+    texts = texts.mapInArrow(_trimmed, "path string, text string, done boolean")
     row = F.from_json(F.when(F.col("done"), F.col("text")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     rows = texts.select(row.alias("row"), F.col("path").alias("_path"), F.when(~F.col("done"), F.col("text")).alias("_rest")).select("row.*", "_path", "_rest")
     return rows.withColumn(corrupt, F.coalesce(corrupt, "_rest")).drop("_rest")

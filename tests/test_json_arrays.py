@@ -102,3 +102,14 @@ def test_a_lost_quote_is_kept_in_parts(spark, tmp_path, blocks):
     parts = [r._corrupt_record for r in got if r._corrupt_record]
     assert len(got) - len(parts) == 50 and len(parts) >= 2 and max(map(len, parts)) < 2.1 * json_arrays.RECORD_BYTES
     assert abs(sum(map(len, parts)) - len(rest)) <= 2 * len(parts)
+
+
+def test_files_that_no_scan_cuts_get_no_survey(spark, tmp_path, blocks, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"part {k}%20.json").write_text(json.dumps(objects(40, k)))
+    monkeypatch.setattr(json_arrays, "_joined", None)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 22))
+    monkeypatch.setattr(json_arrays, "_surveyed", None)
+    got = json_arrays.read_json_array(spark, str(tmp_path), SCHEMA)
+    want = spark.read.schema(SCHEMA).option("multiLine", True).json(str(tmp_path))
+    assert rows(got.drop("_path")) == rows(want) and got.select("_path").distinct().count() == 3

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lakemart.plans import bindings, lake, samples, warehouse
+from lakemart.plans import bindings, extracts, lake, samples, warehouse
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +59,11 @@ def test_generated_dimensions_need_no_night(spark, duck, monkeypatch, name):
     monkeypatch.setattr(lake, "run_day", None)
     monkeypatch.setattr(warehouse, "run_nightly", None)
     test_query(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["f1_event_fact", "j5_weather_lookup"])
+def test_the_event_fact_needs_no_incident_hour_or_check(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(samples, "_made", {})
+    monkeypatch.setattr(warehouse, "run_nightly", None)
+    monkeypatch.setitem(extracts.EXTRACTS, "incident", ("incident", None))
+    test_query(spark, duck, name)
