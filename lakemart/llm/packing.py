@@ -8,14 +8,17 @@ windows: a document that crosses a window's end leaves a boundary record on each
 from __future__ import annotations
 
 import array
+import codecs
 import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +27,16 @@ from lakemart.llm.shared import prefix_sums, settled, written
 
 LENGTH = 4096
 END = 2
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
+#: Bytes of the texts whose words are looked up at once.
+BATCH = 2 << 20
 MOST_STARTS = 1 << 19
 #: Texts of these characters alone are split into words here; the tokenizer itself takes any other text.
-OTHER = re.compile(r"[^\x00-\x1b\x20-įı-ſ‐-‧‰-⁞]|<\|")
+OTHER = r"[^\x00-\x1b\x20-įı-ſ‐-‧‰-⁞]|<\|"
 WORD = re.compile(r"[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+")
-#: Byte-level vocabularies write a byte as the Latin-1 character of its number; those that don't print follow from 256 on.
+#: By byte, the character that byte-level vocabularies write for it: the Latin-1 one of its number; those that don't print follow from 256 on.
 _hidden = [*range(33), *range(127, 161), 173]
-SHOWN = {b: chr(256 + k) for k, b in enumerate(_hidden)}
+SHOWN = "".join(chr(256 + _hidden.index(b) if b in _hidden else b) for b in range(256))
 
 
 #: How a tokenizers file says that it lower-cases and splits as WORD does, with byte-level words of their own.
@@ -40,16 +45,28 @@ SPLITS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}
 
 
 class Known(dict):
-    """What is known by word. `of` tells what isn't yet, and that is kept; nothing but the words asked for is gone through."""
+    """What is known by word. `of` tells what isn't yet, and that is kept; nothing but the words asked for is gone through.
+
+    Once WORDS_KEPT are known they step back to `before`. Those asked for again return from there; the rest goes when the next step back.
+    """
 
     def __init__(self, of: Callable[[str], bytes]):
         super().__init__()
         self.of = of
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.of(word)
+        found = self.before.pop(word, None)
+        if found is None:
+            found = self.of(word)
+        self[word] = found
         return found
 
+    def turn(self) -> None:
+        if len(self) > WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+
 
 class WordTokenizer:
     """Ids of a tokenizer. If it is a lower-casing one whose words are independent, each word is encoded once and remembered, and so is what stands between white space."""
@@ -74,22 +91,39 @@ class WordTokenizer:
         )
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = self.kind.char
-        self.words = Known(self.word)
-        self.known = Known(lambda x: b"".join(map(self.words.__getitem__, WORD.findall(x))))  # between white space
+        self.packed = [self.pack([x]) for x in range(self.model.get_vocab_size())]
+        self.words = Known(self.word)  # of no letters
+        self.known = Known(self.between)  # between white space
 
     def pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()  # little-endian, as all machines that Spark runs on
 
     def word(self, word: str) -> bytes:
-        return self.pack([x.id for x in self.merges.tokenize(word.encode().decode("latin-1").translate(SHOWN))])
+        shown = codecs.charmap_decode(word.encode(), "strict", SHOWN)[0]
+        return b"".join([self.packed[x.id] for x in self.merges.tokenize(shown)])
+
+    def between(self, space: str) -> bytes:
+        """The ids of what stands between white space. Letters alone are one word, which is kept once, however it was met."""
+        if space.isalpha():
+            return self.word(space)
+        return b"".join([(self.known if x.isalpha() else self.words)[x] for x in WORD.findall(space)])
+
+    def looked_up(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts that are split here. What they have between white space is asked for once for all of them."""
+        parts = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        met = parts.values.dictionary_encode()
+        found = map(self.known.__getitem__, met.dictionary.to_numpy(zero_copy_only=False))
+        ids = pa.array(list(found), pa.large_binary()).take(met.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
-        for kept in (self.known, self.words):
-            if len(kept) > WORDS_KEPT:
-                kept.clear()
-        find = self.known.__getitem__
-        return [b"".join(map(find, x.lower().split())) if self.independent and not OTHER.search(x) else self.pack(self.model.encode(x, add_special_tokens=False).ids) for x in texts]
+        self.known.turn()
+        self.words.turn()
+        column = pa.array(texts, pa.large_string())
+        other = pc.match_substring_regex(column, OTHER) if self.independent else pa.array([True] * len(texts), pa.bool_())
+        ids = iter(self.looked_up(column.filter(pc.invert(other))))
+        return [self.pack(self.model.encode(x, add_special_tokens=False).ids) if o else next(ids) for x, o in zip(texts, other.to_pylist(), strict=True)]
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -101,17 +135,24 @@ def tokenizer(vocabulary: str) -> WordTokenizer:
     return _loaded[vocabulary]
 
 
+def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts that together have about `most` bytes; a longer text is in a stretch of its own or begins one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
+    yield from ((a, b - a) for a, b in pairwise(cuts))
+
+
 def _tokenized(vocabulary: str, end: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, start = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
-            for k in range(0, len(b), 256):
-                ids = [x + model.pack([end]) for x in model.encode([x or "" for x in b.column("text").slice(k, 256).to_pylist()])]
+            for k, rows in _stretches(b.column("text"), BATCH):
+                ids = [x + model.pack([end]) for x in model.encode([x or "" for x in b.column("text").slice(k, rows).to_pylist()])]
                 n = np.array([len(x) // model.kind.itemsize for x in ids], np.int64)
                 begin = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.record_batch(
-                    [b.column("doc_id").slice(k, 256), pa.array([part] * len(ids), pa.int64()), pa.array(begin), pa.array(n), pa.array(ids, pa.binary())],
+                    [b.column("doc_id").slice(k, rows), pa.array([part] * len(ids), pa.int64()), pa.array(begin), pa.array(n), pa.array(ids, pa.binary())],
                     names=["doc_id", "part", "begin", "n", "ids"],
                 )
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -418,6 +419,44 @@ def test_packing_asks_for_its_own_words_alone():
     assert model.encode(texts[:1]) + model.encode(texts[1:]) == want and set(model.known) == {"one", "two", "three", "one,"}
 
 
+def test_packing_looks_a_batch_s_words_up_once_and_keeps_those_met_again(monkeypatch):
+    model, asked, made = packing.WordTokenizer("word_bpe_49k.json"), [], []
+    texts = ["one two two\u00a0two", " One  two, two", "", "d'été été 7\x00", "中文 two"]
+    want = [model.pack(model.model.encode(x, add_special_tokens=False).ids) for x in texts]
+
+    class Known(type(model.known)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    class Merges:
+        def tokenize(self, word, of=model.merges):
+            made.append(word)
+            return of.tokenize(word)
+
+    model.known, model.merges = Known(model.known.of), Merges()
+    assert model.encode(texts[:2]) == want[:2] and sorted(set(asked) - {""}) == ["one", "two", "two,"] and asked.count("two") <= 2  # by itself, and within "two,"
+    monkeypatch.setattr(packing, "WORDS_KEPT", 1)
+    assert model.encode(texts) == want and model.encode(texts) == want and len(made) == len(set(made))
+    for x in range(9):
+        model.encode([f"{chr(97 + x)}x {chr(97 + x)}y"])
+    assert len(model.known) + len(model.known.before) <= 4
+
+
+def test_packing_splits_as_the_tokenizer_does_at_any_character():
+    model = packing.WordTokenizer("word_bpe_49k.json")
+    texts = [f"A{c}b {c}{c} x'S" for c in map(chr, [*range(0x400), *range(0x2000, 0x2100), 0x3000, 0xFB01])]
+    assert model.encode(texts) == [model.pack(model.model.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_packing_takes_texts_in_stretches_of_bounded_size():
+    texts = pa.array(["x" * 5, None, "", "é" * 4, "x" * 30, "x", "x" * 9, None])
+    got = list(packing._stretches(texts, 10))
+    assert [k for k, n in got] == [0, *np.cumsum([n for _, n in got])[:-1]] and sum(n for _, n in got) == len(texts)
+    assert all(sum(len((x or "").encode()) for x in texts.slice(k, n).to_pylist()[1:]) <= 10 for k, n in got) and len(got) > 2
+    assert list(packing._stretches(texts.slice(1, 1), 10)) == [(0, 1)]
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
